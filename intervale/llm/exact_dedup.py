@@ -25,7 +25,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A store leaves its executor's disk once its part is committed to the shared folder.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Bits of the filter that keeps rows without a copy out of the byte comparison.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 def sha256_digest(normalised: Column) -> Column:
@@ -96,13 +100,38 @@ class ExactDedup:
 
     def _collisions(self) -> DataFrame:
         """Digests of which some row's bytes differ from the content that the state points at."""
-        kept = self.groups.select("keep_row", "digest").join(
-            self.landed.select(F.col(self.row).alias("keep_row"), F.col(self.text_col).alias("kept_text")), "keep_row"
-        ).select("digest", "kept_text")
-        hits = self.landed.select(F.col(self.key).alias("digest"), F.col(self.text_col).alias("hit_text"))
-        differ = hits.join(kept, "digest").where(self._text("hit_text") != self._text("kept_text"))
+        rows = self.landed.where(self._may_have_copies()).select(F.col(self.key).alias("digest"), F.col(self.row).alias("row"), F.col(self.text_col).alias("text"))
+        hits = rows.join(self.groups.select("digest", "keep_row"), "digest")
+        kept = hits.where("row = keep_row").select("digest", F.col("text").alias("kept_text"))
+        differ = hits.where("row != keep_row").join(kept, "digest").where(self._text("text") != self._text("kept_text"))
         return self.scratch.table(differ.select("digest").distinct(), "collisions")
 
+    def _may_have_copies(self) -> Column:
+        """True for every row whose digest has a group, and for few others.
+
+        One bit a hashed digest, in 2 to 8 bytes a group and 8 MB at most, so
+        that the texts of rows without copies aren't shuffled.  Beyond that
+        size the filter lets more rows through and the result is the same.
+        """
+        bits = LEAST_BITS
+        wanted = 16 * self.groups.count()
+        while bits < min(wanted, MOST_BITS):
+            bits *= 2
+
+        def place(digest: Column) -> Column:
+            return F.pmod(F.xxhash64(digest), F.lit(bits))
+
+        words = self.groups.select(place(F.col("digest")).alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("bits")
+        )
+        whole = self.landed.sparkSession.range(bits // 32).select(F.col("id").alias("word")).join(words, "word", "left")
+        # Two levels, so that one task gathers rows of arrays instead of single words.
+        chunks = whole.groupBy(F.expr("word div 1024").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("words"))
+        filled = chunks.agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, words))), c -> transform(c.words, w -> w.bits))")).alias("bits"))
+        at = place(F.col(self.key))
+        word = F.get(filled.scalar(), (at / 32).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0
+
     def result(self) -> DataFrame:
         """The landed rows with keep_id, keep_row, group_size (as columns of one struct named by ``decision``)."""
         self.groups = self.scratch.table(self.groups, "groups")
