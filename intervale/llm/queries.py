@@ -5,24 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from intervale.llm.runtime import read_table
+from intervale.llm.runtime import id_remainder, read_table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from intervale.llm.simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, distance=2)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.sentencepiece_unigram import piece_digests
+
+    return piece_digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.mixing import mixed_sources
+
+    return mixed_sources(read_table(spark, sf_dir, "documents"), max_repeat=2.0, block_docs=4096, seed="mix")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from intervale.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.language_id import fit, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    return identify(docs, fit(docs.where(~held_out)), held_out=held_out)
+
+
 SQL = {
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

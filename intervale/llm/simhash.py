@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervale.llm.components import components
-from intervale.llm.runtime import Scratch, prepare
+from intervale.llm.runtime import Scratch, new_name, prepare
 
 SEED = 42
 CHUNK = 1 << 16
@@ -296,3 +296,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of the input: the one with the smallest id.
+
+    Null ids come after all others; rows that repeat an id, the first that landed.
+    """
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "simhash")
+    row, fp = new_name("row", docs.columns), new_name("fp", docs.columns)
+    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprint_column(F.col(text_col), width)}), "landed")
+    rank = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    groups = group_rows(landed.select(F.col(fp).alias("fp"), rank.alias("id")), scratch, distance)
+    keepers = groups.select(F.col("fp").alias(fp), F.col("component.row").alias(new_name("keeper", docs.columns)))
+    keeper = keepers.columns[1]
+    return landed.join(keepers, fp, "left").where(F.col(keeper).isNull() | (F.col(keeper) == F.col(row))).select(*docs.columns)
