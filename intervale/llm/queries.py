@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.runtime import id_remainder, read_table
+from intervale.llm.runtime import Scratch, id_remainder, read_table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -30,6 +30,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.token_files import read_digests, write_files
+
+    folder = Scratch(spark, "token-files").path("documents")
+    write_files(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder, end_id=1)
+    return read_digests(spark, folder)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from intervale.llm.mixing import mixed_sources
 
