@@ -8,8 +8,9 @@ than one copy are then compared, byte for byte, with the content the state
 points at; digests whose texts differ are grouped again by the whole text.
 
 All of it is DataFrame operations.  Copies are pre-aggregated before each
-shuffle, and the join from documents to state has one state row a digest, so
-adaptive execution can split a digest that holds a third of all rows.
+shuffle.  The joins from documents to state have one state row a digest and are
+sort-merge joins at every size, so adaptive execution can split a digest that
+holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -101,9 +102,9 @@ class ExactDedup:
     def _collisions(self) -> DataFrame:
         """Digests of which some row's bytes differ from the content that the state points at."""
         rows = self.landed.where(self._may_have_copies()).select(F.col(self.key).alias("digest"), F.col(self.row).alias("row"), F.col(self.text_col).alias("text"))
-        hits = rows.join(self.groups.select("digest", "keep_row"), "digest")
+        hits = rows.join(self.groups.select("digest", "keep_row").hint("merge"), "digest")
         kept = hits.where("row = keep_row").select("digest", F.col("text").alias("kept_text"))
-        differ = hits.where("row != keep_row").join(kept, "digest").where(self._text("text") != self._text("kept_text"))
+        differ = hits.where("row != keep_row").join(kept.hint("merge"), "digest").where(self._text("text") != self._text("kept_text"))
         return self.scratch.table(differ.select("digest").distinct(), "collisions")
 
     def _may_have_copies(self) -> Column:
@@ -141,7 +142,7 @@ class ExactDedup:
 
         def decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
             groups = groups.select(F.col("digest").alias(self.key), F.struct("keep_id", "keep_row", "group_size").alias(self.decision))
-            joined = rows.join(groups, self.key, "left")
+            joined = rows.join(groups.hint("merge"), self.key, "left")
             return joined.withColumn(self.decision, F.coalesce(self.decision, own))
 
         if collided.isEmpty():
