@@ -58,6 +58,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out)), held_out=held_out)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.quality_rules import fit, score
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    return score(docs, fit(docs, labels.where(~held_out)), held_out=held_out, cut=0.3)
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.licences import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
