@@ -66,6 +66,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, labels.where(~held_out)), held_out=held_out, cut=0.3)
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.additive_ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from intervale.llm.licences import scan
 
