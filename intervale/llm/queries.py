@@ -78,6 +78,12 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from intervale.llm.interpolated_lm import interpolated_scores
+
+    return interpolated_scores(read_table(spark, sf_dir, "documents"), remainder=id_remainder(F.col("doc_id"), 10))
+
+
 SQL = {
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
