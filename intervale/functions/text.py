@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that a slug replaces, marks in a text, and punctuation that hugs what is before it.
 UNSAFE = r"(?U)[\s\[\]()`*_{}<>#!|\\/?:;,.]+"
@@ -23,13 +24,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def round3(values: pd.Series) -> pd.Series:
     """Half-even rounding of the exact binary value to three places."""
     return values.map(lambda x: None if pd.isna(x) else round(x, 3))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

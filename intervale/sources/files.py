@@ -48,9 +48,7 @@ def run_mode(listing: DataFrame, *, multimodal: bool) -> DataFrame:
 
 # ---------------------------------------------------------------- probes and JSON
 
-PROBE = T.StructType.fromDDL(
-    "format struct<duration: string>, streams array<struct<codec_type: string, codec_name: string, sample_rate: string, channels: int, width: int, height: int, r_frame_rate: string, duration: string>>"
-)
+PROBE = "format struct<duration: string>, streams array<struct<codec_type: string, codec_name: string, sample_rate: string, channels: int, width: int, height: int, r_frame_rate: string, duration: string>>"
 
 
 def media_probe(reports: DataFrame, column: str = "report") -> DataFrame:
