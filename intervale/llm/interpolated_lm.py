@@ -307,6 +307,8 @@ class InterpolatedModel:
         bucket, pair, word, n = (found[c].to_numpy() for c in ("bucket", "pair", "word", "n"))
         value = lambda steps: np.where(steps > 0, 0.0, 2.0 ** (steps / STEPS))
         self.weights = learn_weights(bucket, value(pair), value(word), 1 / (totals.words + 1), n.astype(np.float64))
+        if not totals.tokens:
+            self.weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
         release_shuffles(self.spark)
 
     def scores(self) -> DataFrame:

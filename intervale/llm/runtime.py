@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Characters outside ASCII that Java's lower-casing would change.
-FOREIGN_CAPITAL = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}]]"
+#: Characters outside ASCII that lower-casing could change; those that the regex engine does not know may be newer capitals.
+FOREIGN_CAPITAL = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
 
 _shipped: set[str] = set()
 _scratch_roots: dict[str, SparkSession] = {}
