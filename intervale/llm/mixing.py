@@ -27,6 +27,8 @@ from intervale.llm.runtime import Scratch, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 60
+#: Rows of divided blocks, at most about ``block_docs`` a source, up to which they are broadcast.
+MOST_DIVIDED = 500_000
 
 
 def weights(shares: list[float], exponent: float) -> list[float]:
@@ -125,7 +127,7 @@ class Mixture:
     ):
         self.spark = prepare(docs.sparkSession)
         self.scratch = Scratch(self.spark, "mixture")
-        self.docs, self.seed = docs, seed
+        self.docs, self.seed, self.block_docs = docs, seed, block_docs
         self.id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
         self.tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         self.key = _key(F.col(source_col))
@@ -169,6 +171,8 @@ class Mixture:
         rows = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("row"), self.key.alias("key"), self.id.alias("id"), self.tokens.alias("tokens"))
         rows = rows.join(F.broadcast(self.source_plan.select("key", "weight", "blocks")), "key").withColumn("block", self._block())
         kept = self.scratch.table(self._divided(), "divided").withColumn("unit", F.lit(True))
+        if len(self.shares) * self.block_docs <= MOST_DIVIDED:
+            kept = F.broadcast(kept)
         drawn = rows.join(self.taken, ["key", "block"]).join(kept, ["key", "block", "pass", "id", "tokens"], "left")
         return drawn.where("left is null or unit").select("row", "key", "weight", "tokens", "block", "pass", "block_rank")
 
