@@ -19,6 +19,7 @@ the components among the links it finds, not all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -45,22 +46,28 @@ ROWS_A_TASK = 1_000_000
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of the word shingles of a text, A-Z lower-cased; zero without words."""
+def shingle_hashes(text: bytes | None, width: int):
+    """Chunks of big-endian XXH64 values of the word shingles, A-Z lower-cased; none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     digest = xxhash.xxh64_digest
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n]
     stops = ends[min(width, len(words)) - 1 :][:n] - 1
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), stops[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), dtype=np.uint8)
-        ones += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        yield np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), dtype=">u8")
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """Signed 64-bit SimHash of the word shingles of a text; zero without words."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
@@ -312,3 +319,127 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     keepers = groups.select(F.col("fp").alias(fp), F.col("component.row").alias(new_name("keeper", docs.columns)))
     keeper = keepers.columns[1]
     return landed.join(keepers, fp, "left").where(F.col(keeper).isNull() | (F.col(keeper) == F.col(row))).select(*docs.columns)
+
+
+# ---------------------------------------------------------------- long fingerprints
+
+FAMILIES = 32
+_spread = np.uint64(0x0101010101010101)
+
+
+def long_fingerprint(text: bytes | None, width: int, families: int = FAMILIES) -> bytes:
+    """That many 64-bit SimHashes, each of an own mixing of the same shingle hashes; zeros without words."""
+    salts = (np.arange(1, families + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    ones, n = np.zeros((families, 64), dtype=np.int64), 0
+    for chunk in shingle_hashes(text, width):
+        for at in range(0, len(chunk), 255 * 16):
+            x = chunk[at : at + 255 * 16].astype(np.uint64)[:, None] ^ salts
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            if len(x) % 255:
+                x = np.concatenate((x, np.zeros((-len(x) % 255, families), dtype=np.uint64)))
+            x = x.reshape(-1, 255, families)
+            for bit in range(8):  # eight counters of a byte in one word; 255 summands at most
+                sums = ((x >> np.uint64(bit)) & _spread).sum(axis=1, dtype=np.uint64)
+                ones[:, bit::8] += np.ascontiguousarray(sums).view(np.uint8).reshape(len(sums), families, 8).sum(axis=0, dtype=np.int64)
+        n += len(chunk)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits that texts of this Jaccard similarity have, and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(share * bits + math.sqrt(share * (1 - share) * bits))
+
+
+def similar_pairs(classes: DataFrame, scratch: Scratch, *, similarity: float, families: int) -> DataFrame:
+    """(u, v) of classes (cid, sig) whose long fingerprints are as near as the similarity asks.
+
+    Each 64-bit part has two code blocks; two blocks at a time make an anchor, and
+    a fingerprint goes to its home anchor for each of four times as many of them
+    as it has parts.  At an anchor every visitor is paired with the first and
+    with the one before it, so what an anchor gives grows with its visitors and
+    not with their square; texts that are much alike share several anchors, and
+    components join what different anchors find.  All pairs are then checked on
+    the whole fingerprints.  For one pair alone the chance to share an anchor is
+    0.999 at a similarity of 0.9, 0.97 at 0.85 and 0.86 at 0.8.
+    """
+    spark = classes.sparkSession
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * families * 4 // ROWS_A_TASK)
+
+    def to_anchors(batches):
+        for batch in batches:
+            cids = batch.column(0).to_numpy()
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(-1, families)
+            words = np.concatenate((sigs & MASK, (sigs >> LENGTH) & MASK), axis=1)
+            near = (words ^ _cosets(0)[0][_syndrome(words), 0]) >> 11
+            # Two blocks, one and two places apart, make an anchor of 24 bits.
+            pairs = [(near << 12 | np.roll(near, -step, axis=1)) + ((np.arange(2 * families) + 2 * families * k) << ANCHOR_BITS) for k, step in enumerate((1, 2))]
+            keys = np.concatenate(pairs, axis=1)
+            ids = np.repeat(cids, keys.shape[1])
+            keys = keys.ravel()
+            part = _mix(keys) % tasks
+            order = np.lexsort((keys, part))
+            keys, ids, part = keys[order], ids[order], part[order]
+            parts, starts = np.unique(part, return_index=True)
+            stops = [*starts[1:].tolist(), len(part)]
+            spans = list(zip(starts.tolist(), stops, strict=True))
+            yield pa.record_batch({"part": parts.astype(np.int32), "keys": pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()), "cids": pa.array([ids[x:y].tobytes() for x, y in spans], pa.binary())})
+
+    def meet(batches):
+        got = [(np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)) for b in batches for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        if not got:
+            return
+        keys, ids = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        again = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+        first = np.searchsorted(keys, keys[again], "left")
+        pairs = np.unique(np.concatenate((np.column_stack((ids[first], ids[again])), np.column_stack((ids[again - 1], ids[again])))), axis=0)
+        for at in range(0, len(pairs), 100_000):
+            yield pa.record_batch({"u": np.ascontiguousarray(pairs[at : at + 100_000, 0]), "v": np.ascontiguousarray(pairs[at : at + 100_000, 1])})
+
+    most = most_bits(similarity, 64 * families)
+
+    def check(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, families) for c in (2, 3))
+            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
+            yield pa.record_batch({"u": batch.column(0).filter(near), "v": batch.column(1).filter(near)})
+
+    dealt = classes.select("cid", "sig").mapInArrow(to_anchors, "part int, keys binary, cids binary").repartitionById(tasks, F.col("part"))
+    met = dealt.mapInArrow(meet, "u long, v long").distinct()
+    pairs = scratch.table(met, "pairs")
+    u, v = classes.select(F.col("cid").alias("u"), F.col("sig").alias("x")), classes.select(F.col("cid").alias("v"), F.col("sig").alias("y"))
+    return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+
+
+def without_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, families: int = FAMILIES, label: str = "similar") -> DataFrame:
+    """One row of each group of texts whose word shingles are alike, with the columns of the input.
+
+    Groups are components of pairs of that Jaccard similarity, as their long
+    fingerprints show it.  Of a group the smallest id stays; null ids come after
+    all others; rows that repeat an id, the first that landed.  Wordless texts
+    are one group.
+    """
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, label)
+    row, sig = new_name("row", docs.columns), new_name("sig", docs.columns)
+
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.array([long_fingerprint(t, width, families) for t in texts.to_pylist()], type=pa.binary())
+
+    compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    signed = F.arrow_udf(compute, "binary")(F.col(text_col).cast("binary"))
+    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), sig: signed}), "landed")
+    rank = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    classes = landed.select(F.col(sig).alias("sig"), rank.alias("rank")).groupBy("sig").agg(F.min("rank").alias("least"), F.count("*").alias("n"))
+    classes = scratch.table(classes.withColumn("cid", F.col("least.row")), "classes")
+    roots = components(similar_pairs(classes, scratch, similarity=similarity, families=families), scratch, "similar")
+    labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
+    keepers = labelled.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1").select("root", F.col("keeper.row").alias("keeper"))
+    by_sig = classes.select("sig", "cid").join(labelled.select("cid", "root"), "cid").join(keepers, "root").select("sig", "keeper")
+    lost = landed.select(F.col(sig).alias("sig"), F.col(row).alias("row")).join(by_sig, "sig").where("row <> keeper").select("row")
+    lost = scratch.table(lost, "lost")
+    return landed.join(lost.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)

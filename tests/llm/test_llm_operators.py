@@ -171,6 +171,53 @@ def test_one_of_each_near_group_stays(spark, awkward):
     assert got.columns == docs.columns and got.count() == len(set(marked))
 
 
+def similar_plainly(texts, least=0.8):
+    shingles = []
+    for t in texts:
+        w = folded(t).split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= least * len(shingles[i] | shingles[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_similar_texts_go(spark, awkward):
+    from intervale.llm.simhash import long_fingerprint, without_similar
+
+    rng = random.Random(21)
+    rows = list(awkward)
+    for k in range(25):
+        base = prose(rng, 200).split()
+        for copy in range(5):
+            words = list(base)
+            for _ in range(copy):
+                words[rng.randrange(200)] = "changed"
+            rows.append((1000 + 10 * k + copy, " ".join(words)))
+    docs = documents(spark, rows, CLASHING)
+    got = without_similar(docs)
+    assert got.columns == docs.columns
+    marks = similar_plainly([t for _, t in rows])
+    n = len(set(marks))
+    assert n <= got.count() <= n + 3
+    assert {r.doc_id for r in got.collect()} >= {min(i for m, (i, _) in zip(marks, rows) if m == k and i is not None) for k in set(marks) if any(m == k and i is not None for m, (i, _) in zip(marks, rows))}
+    assert without_similar(documents(spark, [])).count() == 0
+    ones = [0] * 64
+    words = folded(rows[0][1]).split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)]
+    for h in hashes:
+        x = h ^ 0x9E3779B97F4A7C15
+        x = (x ^ (x >> 32)) * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 29
+        for b in range(64):
+            ones[b] += x >> b & 1
+    first = int.from_bytes(long_fingerprint(rows[0][1].encode(), 5)[:8], "little")
+    assert first == sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
+
+
 def test_components_of_a_long_path(spark):
     from intervale.llm.components import components
     from intervale.llm.runtime import Scratch
@@ -574,7 +621,7 @@ def test_pipeline(spark, awkward, tmp_path):
         if best is None or (i is not None and (best[1] is None or i > best[1])):
             exact[folded(t)] = (k, i, t)
     left = list(exact.values())
-    marks = components_plainly(list(range(len(left))), [simhash_plainly(t, 5) for _, _, t in left], 3)
+    marks = similar_plainly([t for _, _, t in left])
     groups = collections.defaultdict(list)
     for m, x in zip(marks, left):
         groups[m].append(x)
