@@ -54,9 +54,10 @@ class ExactDedup:
         text_col: str = "text",
         digest: Callable[[Column], Column] = sha256_digest,
         files_per_trigger: int = 4096,
+        label: str = "exact",
     ):
         spark = prepare(docs.sparkSession)
-        self.scratch = Scratch(spark, "exact")
+        self.scratch = Scratch(spark, label)
         self.id_col, self.text_col, self.columns = id_col, text_col, docs.columns
         self.row, self.key = new_name("row", docs.columns), new_name("digest", docs.columns)
         normalised = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))

@@ -124,9 +124,10 @@ class Mixture:
         budget: int | None = None,
         block_docs: int = 4096,
         seed: str = "mix",
+        label: str = "mixture",
     ):
         self.spark = prepare(docs.sparkSession)
-        self.scratch = Scratch(self.spark, "mixture")
+        self.scratch = Scratch(self.spark, label)
         self.docs, self.seed, self.block_docs = docs, seed, block_docs
         self.id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
         self.tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")

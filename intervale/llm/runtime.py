@@ -25,6 +25,7 @@ FOREIGN_CAPITAL = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
 
 _shipped: set[str] = set()
 _scratch_roots: dict[str, SparkSession] = {}
+_opened: dict[tuple[str, str], list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -65,6 +66,7 @@ class Scratch:
             _scratch_roots[base] = spark
             atexit.register(_drop, base)
         self.root = f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+        _opened.setdefault((base, label), []).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -79,6 +81,14 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+def drop_finished(spark: SparkSession, label: str) -> None:
+    """Delete the tables of all earlier calls under this label, whose results have been written elsewhere."""
+    base = f"{shared_folder(spark)}/intervale/{spark.sparkContext.applicationId}"
+    for root in _opened.pop((base, label), []):
+        _delete(spark, root)
+    release_shuffles(spark)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
