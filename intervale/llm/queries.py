@@ -85,6 +85,34 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op4_source_mixing": r"""
+        WITH RECURSIVE slim AS (
+          SELECT doc_id, source, coalesce('s' || source, 'n') AS key, doc_id::VARCHAR AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+        found AS (SELECT key, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM slim GROUP BY key),
+        shares AS (SELECT *, tokens / (SELECT sum(tokens)::DOUBLE FROM found) AS p FROM found),
+        spread AS (SELECT max(p) / min(p) AS r FROM shares WHERE p > 0),
+        bisect AS (
+          SELECT 0 AS i, 0::DOUBLE AS low, 1::DOUBLE AS high
+          UNION ALL SELECT i + 1, CASE WHEN pow(r, 1 - (low + high) / 2) <= 2 THEN low ELSE (low + high) / 2 END, CASE WHEN pow(r, 1 - (low + high) / 2) <= 2 THEN (low + high) / 2 ELSE high END
+          FROM bisect, spread WHERE i < 60),
+        exponent AS (SELECT CASE WHEN r <= 2 THEN 0 ELSE high END AS a FROM bisect, spread WHERE i = 60),
+        weighted AS (SELECT s.*, CASE WHEN p > 0 THEN pow(p, a) / (SELECT sum(pow(p, a)) FROM shares, exponent WHERE p > 0) ELSE 0 END AS w FROM shares s, exponent),
+        quotas AS (SELECT *, round_even(w * (SELECT max(tokens / w) FROM weighted WHERE w > 0), 0)::BIGINT AS quota, (docs + 4095) // 4096 AS blocks FROM weighted),
+        plan AS (SELECT key, w, blocks, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM quotas),
+        dealt AS (SELECT s.*, w, passes, rest, (('0x' || substr(md5('mix|' || id), 1, 8))::BIGINT % blocks)::INT AS block FROM slim s JOIN plan USING (key)),
+        turns AS (SELECT *, unnest(range(1, passes + CASE WHEN rest > 0 THEN 2 ELSE 1 END)) AS pass FROM (SELECT key, block, passes, rest, sum(tokens)::BIGINT AS tokens FROM dealt GROUP BY ALL)),
+        ranked AS (SELECT *, row_number() OVER o AS block_rank, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS after FROM turns WINDOW o AS (PARTITION BY key, pass ORDER BY md5('mix|' || key || '|' || pass || '|' || block), block)),
+        taken AS (SELECT key, block, pass, block_rank, CASE WHEN pass > passes AND after > rest THEN rest - (after - tokens) END AS room FROM ranked WHERE pass <= passes OR after - tokens < rest),
+        drawn AS (SELECT d.*, t.pass, t.block_rank, t.room, sum(d.tokens) OVER (PARTITION BY d.key, d.block, t.pass ORDER BY md5('mix|' || t.pass || '|' || id), id, d.tokens RANGE UNBOUNDED PRECEDING) AS spent FROM dealt d JOIN taken t ON d.key = t.key AND d.block = t.block)
+        SELECT doc_id, source, tokens AS n_tokens, round(w, 9) AS weight, pass::INT AS pass, block, block_rank::INT AS block_rank FROM drawn WHERE room IS NULL OR spent <= room
+    """,
+    "op8_nearest_vectors": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, x: s + x)) AS score
+                  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS k FROM pairs)
+        SELECT query_id, k::INT AS rank, vec_id, score FROM ranked WHERE k <= 10
+    """,
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(folded) AS text_sha256
