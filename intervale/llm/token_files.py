@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,51 +28,96 @@ from intervale.llm.rans import Block, Coder, Frequencies
 from intervale.llm.runtime import Scratch, prepare, release_shuffles
 
 BLOCK_TOKENS, LANES = 1 << 18, 1024
-REMEMBERED_WORDS, REMEMBERED_BYTES = 500_000, 64
+REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 64
 DOCS_A_BUCKET = 100_000
 SPECIAL = b"<|"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordTokenizer:
-    """Ids of whole texts, equal to the library's for a vocabulary that drops white space."""
+    """Ids of whole texts, equal to the library's for a vocabulary that drops white space.
+
+    A word of lower-case Latin letters is one piece that no normalisation
+    changes, so it goes to the library's model directly; a probe at the start
+    makes sure that this vocabulary works that way.
+    """
+
+    LATIN = "\u0250"
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
+        self.model, self.letters = self.library.model, _byte_letters()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.seen: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        letters = "".join(c for c in map(chr, range(97, ord(self.LATIN))) if c.isalpha() and c.lower() == c)
+        probe = [letters[i : i + n] for n in (1, 2, 3, 7) for i in range(0, len(letters), n)] + ["the", "straße", "information"]
+        self.direct = False
+        want = self._library(probe)
+        self.direct = [self._word(p) for p in probe] == want
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _is_plain(self, word: str) -> bool:
+        return self.direct and word.isalpha() and max(word) < self.LATIN and word.lower() == word
+
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: set[bytes]) -> None:
         """Ids of new words.  A full stop or comma after a letter a-z is a token of its own."""
-        stems = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-        parts = {p for pair in stems.values() for p in pair} | (words - stems.keys())
-        ids = {p: self.seen[p] for p in parts if p in self.seen}
-        new = [p for p in parts if p not in ids]
-        ids.update(zip(new, self._library([p.decode("utf-8", "replace") for p in new]), strict=True))
-        ids.update({w: ids[a] + ids[b] for w, (a, b) in stems.items()})
-        if len(self.seen) + len(ids) > REMEMBERED_WORDS:
-            self.seen.clear()
-        self.seen.update((w, i) for w, i in ids.items() if len(w) <= REMEMBERED_BYTES)
-        return ids
+        seen, before, odd = self.seen, self.before, []
+        for w in words:
+            known = before.get(w)
+            if known is not None:
+                seen[w] = known
+                continue
+            tail = b""
+            if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122:
+                w, tail = w[:-1], w[-1:]
+            ids = seen.get(w) or before.get(w)
+            if ids is None:
+                text = w.decode("utf-8", "replace")
+                if not self._is_plain(text):
+                    odd.append((w, tail, text))
+                    continue
+                ids = self._word(text)
+            seen[w] = ids
+            if tail:
+                seen[w + tail] = ids + self._tail(tail)
+        for (w, tail, _), ids in zip(odd, self._library([text for *_, text in odd]), strict=True):
+            seen[w] = ids
+            if tail:
+                seen[w + tail] = ids + self._tail(tail)
+
+    def _tail(self, tail: bytes) -> bytes:
+        if tail not in self.seen:
+            self.seen[tail] = self._library([tail.decode()])[0]
+        return self.seen[tail]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each UTF-8 text; null counts as empty."""
+        if len(self.seen) > REMEMBERED_WORDS:  # words of the last generation stay known until the next one ends
+            self.seen, self.before = {}, {w: i for w, i in self.seen.items() if len(w) <= REMEMBERED_BYTES}
         split = [None if SPECIAL in (t or b"") else (t or b"").lower().split() for t in texts]
-        found = [None if words is None else list(map(self.seen.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if words and None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        fresh = self._learn(new) if new else {}
-        out = []
-        for text, words, ids in zip(texts, split, found, strict=True):
-            if words is None:
-                out.append(self._library([text.decode("utf-8", "replace")])[0])
-            else:
-                out.append(b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids))
-        return out
+        distinct: set[bytes] = set()
+        for words in split:
+            distinct.update(words or ())
+        self._learn(distinct.difference(self.seen))
+        of = self.seen.__getitem__
+        return [self._library([t.decode("utf-8", "replace")])[0] if words is None else b"".join(map(of, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
