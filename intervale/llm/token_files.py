@@ -28,7 +28,7 @@ from intervale.llm.rans import Block, Coder, Frequencies
 from intervale.llm.runtime import Scratch, prepare, release_shuffles
 
 BLOCK_TOKENS, LANES = 1 << 18, 1024
-REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 64
+REMEMBERED_WORDS, REMEMBERED_BYTES = 300_000, 64
 DOCS_A_BUCKET = 100_000
 SPECIAL = b"<|"
 
