@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from intervale.llm.runtime import prepare
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED_UNITS, REMEMBERED_BYTES = 400_000, 80
+REMEMBERED_UNITS, REMEMBERED_BYTES = 200_000, 80
 
 
 # ---------------------------------------------------------------- trie
@@ -150,6 +151,7 @@ class Codec:
         self.is_byte = np.zeros(len(pieces.names), dtype=bool)
         self.is_byte[list(pieces.byte_ids)] = True
         self.seen: dict[str, tuple[bytes, float]] = {}
+        self.before: dict[str, tuple[bytes, float]] = {}
 
     def viterbi(self, unit: bytes) -> tuple[list[int], float]:
         """Ids of the best path and its score; of equal paths the one whose last piece starts first."""
@@ -157,23 +159,27 @@ class Codec:
         n, low = len(unit), float("-inf")
         best, came, by = [low] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
+        unknown = self.unknown_score
         i = 0
         while i < n:
-            lead, so_far, state, covered = unit[i], best[i], 0, False
-            char = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            for j in range(i, n):
+            lead, so_far, state = unit[i], best[i], 0
+            end = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            covered, j = False, i
+            while j < n:
                 to = base[state] + unit[j] + 1
                 if check[to] != state:
                     break
+                j += 1
                 state, piece = to, value[to]
                 if piece >= 0:
-                    covered |= j + 1 - i == char
+                    if j == end:
+                        covered = True
                     score = so_far + scores[piece]
-                    if score > best[j + 1]:
-                        best[j + 1], came[j + 1], by[j + 1] = score, i, piece
-            if not covered and so_far + self.unknown_score > best[i + char]:
-                best[i + char], came[i + char], by[i + char] = so_far + self.unknown_score, i, -1
-            i += char
+                    if score > best[j]:
+                        best[j], came[j], by[j] = score, i, piece
+            if not covered and so_far + unknown > best[end]:
+                best[end], came[end], by[end] = so_far + unknown, i, -1
+            i = end
         path, at = [], n
         while at:
             path.append((came[at], at, by[at]))
@@ -184,12 +190,13 @@ class Codec:
         return ids, best[n]
 
     def _unit(self, unit: str) -> tuple[bytes, float]:
-        raw = unit.encode("utf-8", "replace")
-        ids, score = self.viterbi(raw)
-        found = np.array(ids, dtype="<i4").tobytes(), score
-        if len(raw) <= REMEMBERED_BYTES:
-            if len(self.seen) >= REMEMBERED_UNITS:
-                self.seen.clear()
+        found = self.seen.get(unit) or self.before.get(unit)
+        if found is None:
+            ids, score = self.viterbi(unit.encode("utf-8", "replace"))
+            found = array("i", ids).tobytes(), score
+        if len(unit) <= REMEMBERED_BYTES:
+            if len(self.seen) >= REMEMBERED_UNITS:  # the last generation stays known until this one ends
+                self.seen, self.before = {}, self.seen
             self.seen[unit] = found
         return found
 
@@ -200,7 +207,7 @@ class Codec:
         units = self.UNIT.findall((" " + text).replace(" ", MARK))
         found = list(map(self.seen.get, units))
         if None in found:
-            found = [f or self.seen.get(u) or self._unit(u) for f, u in zip(found, units, strict=True)]
+            found = [f or self._unit(u) for f, u in zip(found, units, strict=True)]
         return np.frombuffer(b"".join([ids for ids, _ in found]), dtype="<i4"), math.fsum([score for _, score in found])
 
     def decode(self, ids: list[int]) -> str:
