@@ -32,7 +32,7 @@ from intervale.llm.runtime import Scratch, prepare, release_shuffles
 
 CHUNK_TOKENS = 2_000_000
 RANGE_TOKENS = 2_000_000
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 HELD_OUT, MAIN, DELETED = 0, 1, 2
 BUCKETS = 24
