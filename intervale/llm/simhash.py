@@ -19,7 +19,8 @@ the components among the links it finds, not all pairs.
 from __future__ import annotations
 
 import itertools
-import math
+from collections.abc import Callable
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervale.llm.components import components
-from intervale.llm.runtime import Scratch, new_name, prepare
+from intervale.llm.runtime import Scratch, new_name, prepare, release_shuffles
 
 SEED = 42
 CHUNK = 1 << 16
@@ -346,100 +347,264 @@ def long_fingerprint(text: bytes | None, width: int, families: int = FAMILIES) -
     return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this Jaccard similarity have, and one standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(share * bits + math.sqrt(share * (1 - share) * bits))
+# ---------------------------------------------------------------- similar shingle sets
 
+#: The order of shingles takes counts from about so many texts, and keeps at most so many of the most common.
+SAMPLE_TEXTS, MOST_COMMON = 20_000, 1 << 18
+#: Pairs of different components are all compared once they are at most so many an entry (or in all); before that, after
+#: at most so many rounds, each key's texts are compared with one of them.
+PAIRS_AN_ENTRY, FEW_PAIRS, STAR_ROUNDS = 1, 100_000, 3
+BITMAP_BITS = 24
 
-def similar_pairs(classes: DataFrame, scratch: Scratch, *, similarity: float, families: int) -> DataFrame:
-    """(u, v) of classes (cid, sig) whose long fingerprints are as near as the similarity asks.
 
-    Each 64-bit part has two code blocks; two blocks at a time make an anchor, and
-    a fingerprint goes to its home anchor for each of four times as many of them
-    as it has parts.  At an anchor every visitor is paired with the first one, so
-    what an anchor gives grows with its visitors and not with their square; texts
-    that are much alike share several anchors, and components join what different
-    anchors find.  All pairs are then checked on
-    the whole fingerprints.  For one pair alone the chance to share an anchor is
-    0.999 at a similarity of 0.9, 0.97 at 0.85 and 0.86 at 0.8.
-    """
-    spark = classes.sparkSession
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The different shingle hashes of a text, ascending."""
+    found = [chunk.astype(np.uint64) for chunk in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def set_column(text: Column, width: int) -> Column:
+    """struct<cid, n>: 64 bits of a digest of the shingle set, and its size; zeros without words."""
+
+    def compute(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, width) for t in texts.to_pylist()]
+        cids = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes(), SEED), "big", signed=True) if len(s) else 0 for s in sets]
+        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["cid", "n"])
+
+    compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(compute, "cid long, n long")(text.cast("binary"))
+
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * families * 4 // ROWS_A_TASK)
+def common_shingles(landed: DataFrame, rows: int, scratch: Scratch, *, text_col: str, row: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the most common shingles of a sample; they only order what is compared exactly."""
 
-    def to_anchors(batches):
+    def hashes(batches):
         for batch in batches:
-            cids = batch.column(0).to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(-1, families)
-            words = np.concatenate((sigs & MASK, (sigs >> LENGTH) & MASK), axis=1)
-            near = (words ^ _cosets(0)[0][_syndrome(words), 0]) >> 11
-            # Two blocks, one and two places apart, make an anchor of 24 bits.
-            pairs = [(near << 12 | np.roll(near, -step, axis=1)) + ((np.arange(2 * families) + 2 * families * k) << ANCHOR_BITS) for k, step in enumerate((1, 2))]
-            keys = np.concatenate(pairs, axis=1)
-            ids = np.repeat(cids, keys.shape[1])
-            keys = keys.ravel()
-            part = _mix(keys) % tasks
-            order = np.lexsort((keys, part))
-            keys, ids, part = keys[order], ids[order], part[order]
-            parts, starts = np.unique(part, return_index=True)
-            stops = [*starts[1:].tolist(), len(part)]
-            spans = list(zip(starts.tolist(), stops, strict=True))
-            yield pa.record_batch({"part": parts.astype(np.int32), "keys": pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()), "cids": pa.array([ids[x:y].tobytes() for x, y in spans], pa.binary())})
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch({"h": shingle_set(text, width).view(np.int64)})
+
+    place = F.pmod(F.xxhash64(F.col(row)), F.lit(1 << 40))
+    some = landed.where(place <= min(1 << 40, (SAMPLE_TEXTS << 40) // max(1, rows))).select(F.col(text_col).cast("binary"))
+    counts = scratch.table(some.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2"), "common")
+    least, held = 1 << 62, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():  # one row a count, of a bounded sample
+        held += r.k
+        if held > MOST_COMMON:
+            break
+        least = r.c
+    got = counts.where(F.col("c") >= least).toArrow()
+    h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def shared_prefixes(landed: DataFrame, common, rows: int, *, text_col: str, width: int, share: Fraction) -> DataFrame:
+    """(key, cid, n, pos) of the shingles of prefixes that two or more sets share.
+
+    With the shingles of every set in one order, rare ones first, two sets of
+    that Jaccard similarity share one of the first n - ceil(share * n) + 1.
+    """
+    spark = landed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 100 // ROWS_A_TASK)
+    shared = spark.sparkContext.broadcast(common)  # at most MOST_COMMON
+    kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+    def prefixes(batches):
+        hashes, counts = shared.value
+        for batch in batches:
+            found, seen = [np.empty(0, kind)], set()
+            for text, cid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if cid in seen:
+                    continue
+                seen.add(cid)
+                s = shingle_set(text, width)
+                if not len(s):
+                    continue
+                weight = np.zeros(len(s), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                    weight = np.where(hashes[at] == s, counts[at], 0)
+                length = len(s) - -(-share.numerator * len(s) // share.denominator) + 1
+                keys = s[np.lexsort((s, weight))[:length]]
+                entry = np.empty(len(keys), kind)
+                entry["key"], entry["cid"], entry["n"], entry["pos"] = keys, cid, len(s), np.arange(len(keys))
+                found.append(entry)
+            entries = np.concatenate(found)
+            part = _mix(entries["key"].view(np.int64)) % tasks
+            order = np.argsort(part, kind="stable")
+            entries, (parts, starts) = entries[order], np.unique(part[order], return_index=True)
+            spans = itertools.pairwise([*starts.tolist(), len(entries)])
+            yield pa.record_batch({"part": parts.astype(np.int32), "entries": pa.array([entries[a:b].tobytes() for a, b in spans], pa.binary())})
 
     def meet(batches):
-        got = [(np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)) for b in batches for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        got = [np.frombuffer(x, kind) for b in batches for x in b.column(1).to_pylist()]
         if not got:
             return
-        keys, ids = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        again = np.flatnonzero(keys[1:] == keys[:-1]) + 1
-        first = np.searchsorted(keys, keys[again], "left")
-        pairs = np.unique(np.column_stack((ids[first], ids[again])), axis=0)
-        for at in range(0, len(pairs), 100_000):
-            yield pa.record_batch({"u": np.ascontiguousarray(pairs[at : at + 100_000, 0]), "v": np.ascontiguousarray(pairs[at : at + 100_000, 1])})
+        entries = np.concatenate(got)
+        got.clear()
+        entries = entries[np.lexsort((entries["cid"], entries["key"]))]
+        key, cid = entries["key"], entries["cid"]
+        entries = entries[np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))]  # each set once a key
+        same = entries["key"][1:] == entries["key"][:-1]
+        entries = entries[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        for at in range(0, len(entries), 100_000):
+            x = entries[at : at + 100_000]
+            yield pa.record_batch({"key": np.ascontiguousarray(x["key"]).view(np.int64), "cid": np.ascontiguousarray(x["cid"]), "n": np.ascontiguousarray(x["n"]), "pos": np.ascontiguousarray(x["pos"])})
+
+    dealt = landed.select(F.col(text_col).cast("binary"), "cid").mapInArrow(prefixes, "part int, entries binary").repartitionById(tasks, F.col("part"))
+    return dealt.mapInArrow(meet, "key long, cid long, n int, pos int")
+
+
+def candidate_pairs(entries: DataFrame, share: Fraction, turn: int | None) -> DataFrame:
+    """(u, v) of entries (key, cid, n, pos, root) of one key and different roots that may be similar.
+
+    With a turn, each key's entries are paired with one of them, another one
+    each turn; without, all with all.  Only pairs that sizes and places rule out
+    are left out: at the first shingle two sets share, no more can follow than is
+    left of either.
+    """
+    spark = entries.sparkSession
+    p, q = share.numerator, share.denominator
 
-    most = most_bits(similarity, 64 * families)
+    def pair(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, cid, n, pos, root = (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True))
+        order = np.lexsort((_mix(cid + (turn or 0)), key))
+        key, cid, n, pos, root = (x[order] for x in (key, cid, n, pos, root))
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first = np.repeat(starts, np.diff([*starts.tolist(), len(key)]))
+        # Each entry comes after ``count`` entries of its key that it meets.
+        count = np.arange(len(key)) - first
+        if turn is not None:
+            count = np.minimum(count, 1)
+        held = np.empty((0, 2), np.int64)
+        cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right")
+        for a, b in itertools.pairwise([*np.unique([0, *cuts.tolist()]).tolist(), len(count)]):
+            c = count[a:b]
+            y = np.repeat(np.arange(a, b), c)
+            x = np.repeat(first[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            left = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
+            fits = (root[x] != root[y]) & (left * (p + q) >= p * (n[x] + n[y])) & (np.minimum(n[x], n[y]) * q >= p * np.maximum(n[x], n[y]))
+            x, y = cid[x[fits]], cid[y[fits]]
+            held = np.unique(np.concatenate((held, np.column_stack((np.minimum(x, y), np.maximum(x, y))))), axis=0)
+            if len(held) > PAIRS_AT_ONCE:
+                yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
+                held = held[:0]
+        yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return entries.select("key", "cid", "n", "pos", "root").repartition(parts, "key").mapInArrow(pair, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs whose shingle sets (cid, shingles) have that Jaccard similarity or more."""
+    p, q = share.numerator, share.denominator
 
     def check(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, families) for c in (2, 3))
-            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                near.append(common * q >= p * (len(both) - common))
+            near = pa.array(near, pa.bool_())
             yield pa.record_batch({"u": batch.column(0).filter(near), "v": batch.column(1).filter(near)})
 
-    dealt = classes.select("cid", "sig").mapInArrow(to_anchors, "part int, keys binary, cids binary").repartitionById(tasks, F.col("part"))
-    met = dealt.mapInArrow(meet, "u long, v long").distinct()
-    pairs = scratch.table(met, "pairs")
-    u, v = classes.select(F.col("cid").alias("u"), F.col("sig").alias("x")), classes.select(F.col("cid").alias("v"), F.col("sig").alias("y"))
-    return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+    u, v = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("v"), F.col("shingles").alias("y"))
+    return pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+
+
+def sets_of(landed: DataFrame, wanted: DataFrame, *, text_col: str, row: str, width: int) -> DataFrame:
+    """(cid, shingles) of the wanted rows (keeper), and of few others that a bitmap takes for them."""
+    spark = landed.sparkSession
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    words = wanted.select(bit(F.col("keeper")).alias("b")).groupBy(F.expr("shiftright(b, 5)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 5), dtype="<u4")
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(bitmap)  # 2 MB
+
+    def marked(bits: pa.Array) -> pa.Array:
+        b = bits.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1)
 
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, width).tobytes() for t in texts.to_pylist()], pa.binary())
 
-def without_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, families: int = FAMILIES, label: str = "similar") -> DataFrame:
+    marked.__annotations__ = {"bits": pa.Array, "return": pa.Array}
+    shingles.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    some = landed.where(F.arrow_udf(marked, "boolean")(bit(F.col(row))))
+    return some.select("cid", F.arrow_udf(shingles, "binary")(F.col(text_col).cast("binary")).alias("shingles"))
+
+
+def similar_roots(entries: DataFrame, sets: Callable[[DataFrame], DataFrame], scratch: Scratch, share: Fraction) -> DataFrame | None:
+    """(node, root) of the sets that link with another; None without an entry.  ``sets`` gives those of (cid).
+
+    Texts of one component need no comparison.  So each key's are first compared
+    with one of them, which joins large groups by few pairs, until the pairs left
+    over are few; these are then all compared.
+    """
+    total = entries.count()
+    if not total:
+        return None
+    now, links, roots, done = entries.withColumn("root", F.col("cid")), None, None, None
+    for turn in range(STAR_ROUNDS + 1):
+        alike = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+        left = alike.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+        if not left:
+            break
+        last = left <= max(FEW_PAIRS, PAIRS_AN_ENTRY * total) or turn == STAR_ROUNDS
+        pairs = candidate_pairs(now, share, None if last else turn)
+        pairs = scratch.table(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), f"pairs-{turn}")
+        done = pairs if done is None else done.unionByName(pairs)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
+        held = scratch.table(sets(ends), f"sets-{turn}")
+        found = scratch.table(confirmed(pairs, held, share), f"links-{turn}")
+        scratch.free(f"sets-{turn}")
+        release_shuffles(entries.sparkSession)
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.table(components(links, scratch, f"similar-{turn}"), f"roots-{turn}")
+        if last:
+            break
+        labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("to"))
+        now = scratch.table(entries.join(labels, "cid", "left").select("key", "cid", "n", "pos", F.coalesce("to", "cid").alias("root")), f"entries-{turn}")
+    return roots
+
+
+def without_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, label: str = "similar") -> DataFrame:
     """One row of each group of texts whose word shingles are alike, with the columns of the input.
 
-    Groups are components of pairs of that Jaccard similarity, as their long
-    fingerprints show it.  Of a group the smallest id stays; null ids come after
+    Groups are components of all pairs whose sets of shingles have that Jaccard
+    similarity or more.  Of a group the smallest id stays; null ids come after
     all others; rows that repeat an id, the first that landed.  Wordless texts
     are one group.
     """
     spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, label)
-    row, sig = new_name("row", docs.columns), new_name("sig", docs.columns)
-
-    def compute(texts: pa.Array) -> pa.Array:
-        return pa.array([long_fingerprint(t, width, families) for t in texts.to_pylist()], type=pa.binary())
-
-    compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    signed = F.arrow_udf(compute, "binary")(F.col(text_col).cast("binary"))
-    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), sig: signed}), "landed")
+    scratch, share = Scratch(spark, label), Fraction(similarity).limit_denominator(10_000)
+    row, mark = new_name("row", docs.columns), new_name("set", docs.columns)
+    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), mark: set_column(F.col(text_col), width)}), "landed")
     rank = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    classes = landed.select(F.col(sig).alias("sig"), rank.alias("rank")).groupBy("sig").agg(F.min("rank").alias("least"), F.count("*").alias("n"))
-    classes = scratch.table(classes.withColumn("cid", F.col("least.row")), "classes")
-    roots = components(similar_pairs(classes, scratch, similarity=similarity, families=families), scratch, "similar")
-    labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
+    marked = landed.select(F.col(f"{mark}.cid").alias("cid"), rank.alias("rank"))
+    classes = scratch.table(marked.groupBy("cid").agg(F.min("rank").alias("least"), F.count("*").alias("n")), "classes")
+    rows = landed.count()
+    texts = landed.select(F.col(text_col), F.col(row), F.col(f"{mark}.cid").alias("cid"))
+    common = common_shingles(texts, rows, scratch, text_col=text_col, row=row, width=width)
+    entries = scratch.table(shared_prefixes(texts, common, rows, text_col=text_col, width=width, share=share), "entries")
+    release_shuffles(spark)
+
+    def sets(ends: DataFrame) -> DataFrame:
+        wanted = ends.join(classes, "cid").select(F.col("least.row").alias("keeper"))
+        return sets_of(texts, wanted, text_col=text_col, row=row, width=width)
+
+    roots = similar_roots(entries, sets, scratch, share)
+    if roots is None:
+        labelled = classes.select("cid", "n", "least", F.col("cid").alias("root"))
+    else:
+        labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
     keepers = labelled.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1").select("root", F.col("keeper.row").alias("keeper"))
-    by_sig = classes.select("sig", "cid").join(labelled.select("cid", "root"), "cid").join(keepers, "root").select("sig", "keeper")
-    lost = landed.select(F.col(sig).alias("sig"), F.col(row).alias("row")).join(by_sig, "sig").where("row <> keeper").select("row")
+    by_set = labelled.select("cid", "root").join(keepers, "root").select("cid", "keeper")
+    lost = texts.select("cid", F.col(row).alias("row")).join(by_set, "cid").where("row <> keeper").select("row")
     lost = scratch.table(lost, "lost")
     return landed.join(lost.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)

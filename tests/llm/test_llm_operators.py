@@ -218,6 +218,44 @@ def test_similar_texts_go(spark, awkward):
     assert first == sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
 
 
+def kept_ids(spark, rows):
+    from intervale.llm.simhash import without_similar
+
+    return {r.doc_id for r in without_similar(documents(spark, rows)).collect()}
+
+
+def first_of_each(rows):
+    return {min(i for (i, _), m in zip(rows, marks) if m == k) for marks in [similar_plainly([t for _, t in rows])] for k in set(marks)}
+
+
+def fresh(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_similar_pairs_behind_unrelated_texts(spark):
+    rng = random.Random(34)
+    shared, rows = fresh(rng, 150), []
+    for k in range(150):  # all texts share a passage and 0.65 of each other; only two at a time are similar
+        own = fresh(rng, 40)
+        rows += [(10 * k, " ".join(shared + own)), (10 * k + 1, " ".join(shared + own[:-14] + fresh(rng, 14)))]
+    assert kept_ids(spark, rows) == {10 * k for k in range(150)}
+
+
+def test_rounds_of_one_text_a_key_lose_no_pair(spark, monkeypatch):
+    from intervale.llm import simhash
+
+    rng = random.Random(31)
+    lines, rows = [fresh(rng, 30) for _ in range(6)], []
+    for k in range(40):  # texts of the same few passages, in part alike, in part not
+        words = sum(rng.sample(lines, 4), [])
+        for copy in range(3):
+            at = rng.randrange(len(words))
+            rows.append((10 * k + copy, " ".join(words[:at] + fresh(rng, copy) + words[at:])))
+    for name, value in (("PAIRS_AT_ONCE", 7), ("FEW_PAIRS", 0), ("PAIRS_AN_ENTRY", 0), ("STAR_ROUNDS", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    assert kept_ids(spark, rows) == first_of_each(rows)
+
+
 def test_components_of_a_long_path(spark):
     from intervale.llm.components import components
     from intervale.llm.runtime import Scratch
