@@ -256,6 +256,15 @@ def test_rounds_of_one_text_a_key_lose_no_pair(spark, monkeypatch):
     assert kept_ids(spark, rows) == first_of_each(rows)
 
 
+def test_every_pair_at_the_least_similarity_meets(spark):
+    rng = random.Random(32)
+    rows = []
+    for k in range(150):  # 4 of 5 shingles are shared: 160 of 200, and one less
+        words = fresh(rng, 184)
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:164] + fresh(rng, 20))), (10 * k + 2, " ".join(words[:163] + fresh(rng, 21) if k % 2 else fresh(rng, 9)))]
+    assert kept_ids(spark, rows) == first_of_each(rows)
+
+
 def test_components_of_a_long_path(spark):
     from intervale.llm.components import components
     from intervale.llm.runtime import Scratch
