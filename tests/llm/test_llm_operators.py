@@ -265,6 +265,13 @@ def test_every_pair_at_the_least_similarity_meets(spark):
     assert kept_ids(spark, rows) == first_of_each(rows)
 
 
+def test_a_repeated_line_makes_no_link(spark):
+    rng = random.Random(33)
+    line = fresh(rng, 10)
+    rows = [(k, " ".join(line * 50 + fresh(rng, 100))) for k in range(6)]
+    assert kept_ids(spark, rows) == set(range(6))
+
+
 def test_components_of_a_long_path(spark):
     from intervale.llm.components import components
     from intervale.llm.runtime import Scratch
