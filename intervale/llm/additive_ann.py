@@ -6,7 +6,8 @@ sample and refined together by least squares; every vector is encoded by beam
 search and keeps its codes and the squared norm of their sum.  A query makes a
 table of its products with all codewords; a candidate's score is its norm less
 twice the sum of its codes' entries.  The best by score are ranked again by the
-exact distance on the original vectors.
+exact distance on the original vectors.  Equal vectors are one class, coded and
+scored once; a class stands for its rows with the smallest ids.
 
 Queries come in blocks of bounded size, each against all rows of the index;
 each task keeps its best for every query, so what moves is bounded by queries
@@ -120,12 +121,13 @@ class Index:
     def __init__(self, table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, beam: int = 6, books: int = 32, size: int = 64):
         spark = prepare(table.sparkSession)
         self.spark, self.scratch = spark, Scratch(spark, "ann")
-        vector = F.col(vector_col).cast("array<double>")
+        vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 is 0.0
         rows = table.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where("v is not null and vec_id is not null and size(v) > 0")
         fine = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x != 0)"
         lengths = rows.where(fine).groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
         self.dims = lengths[0].dims if lengths else 0
         landed = rows.where(f"{fine} and size(v) = {self.dims}").withColumn("row", F.monotonically_increasing_id())
+        landed = landed.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})  # 128 bits name a class
         self.vectors = self.scratch.table(landed, "vectors")
         self.rows = lengths[0].n if lengths else 0
         if not self.rows:
@@ -143,12 +145,16 @@ class Index:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
                 for at in range(0, len(x), 1024):
                     codes, norm = model.encode(x[at : at + 1024], beam)
-                    yield pa.record_batch({"row": batch.column(0)[at : at + 1024], "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norm})
+                    yield pa.record_batch({"row": batch.column(0)[at : at + 1024], "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norm, "vec_id": batch.column(2)[at : at + 1024]})
 
-        self.codes = self.scratch.table(self.vectors.select("row", "v").mapInArrow(encode, "row long, codes binary, norm float"), "codes")
+        least = F.min(F.struct("vec_id", "row"))
+        classes = self.vectors.groupBy("h1", "h2").agg(least.alias("least")).select("h1", "h2", F.col("least.vec_id").alias("vec_id"), F.col("least.row").alias("row"))
+        self.classes = self.scratch.table(classes, "classes")
+        firsts = self.vectors.join(self.classes.select("row"), "row").select("row", "v", "vec_id")
+        self.codes = self.scratch.table(firsts.mapInArrow(encode, "row long, codes binary, norm float, vec_id long"), "codes")
 
     def _block(self, queries: list, keep: int) -> DataFrame:
-        """(query_row, row): the best of the whole index by score, for a bounded list of (row, vector)."""
+        """(query_row, row): the best classes of the whole index by score, ties to the smaller vec_id, for a bounded list of (row, vector)."""
         own = np.array([r for r, _ in queries], dtype=np.int64)
         shared = self.spark.sparkContext.broadcast((self.model, own, np.array([v for _, v in queries], dtype=np.float32)))
 
@@ -156,9 +162,9 @@ class Index:
             model, own, q = shared.value
             books, size, _ = model.words.shape
             table = np.ascontiguousarray((-2 * (q @ model.flat.T)).T)  # [codeword, query]
-            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(own)
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(own)
 
-            def take(rows, codes, norm):
+            def take(rows, vec_ids, codes, norm):
                 places = codes.astype(np.int64) + np.arange(books) * size
                 for at in range(0, len(own), 256):
                     part = table[:, at : at + 256]
@@ -166,40 +172,40 @@ class Index:
                     for m in range(books):
                         total += part[places[:, m]]
                     for j in range(part.shape[1]):
-                        ids, old = held[at + j]
-                        other = rows != own[at + j]
-                        ids, new = np.concatenate((ids, rows[other])), np.concatenate((old, total[other, j]))
+                        known, ids, old = held[at + j]
+                        known, ids, new = np.concatenate((known, rows)), np.concatenate((ids, vec_ids)), np.concatenate((old, total[:, j]))
                         best = best_of(new, ids, keep)
-                        held[at + j] = ids[best], new[best]
+                        held[at + j] = known[best], ids[best], new[best]
 
             for batch in batches:
                 rows = batch.column(0).to_numpy()
                 codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, books)
-                norm = batch.column(2).to_numpy()
+                norm, vec_ids = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 for at in range(0, len(rows), INDEX_CHUNK):
-                    take(rows[at : at + INDEX_CHUNK], codes[at : at + INDEX_CHUNK], norm[at : at + INDEX_CHUNK])
+                    take(rows[at : at + INDEX_CHUNK], vec_ids[at : at + INDEX_CHUNK], codes[at : at + INDEX_CHUNK], norm[at : at + INDEX_CHUNK])
             for at in range(0, len(own), 256):
                 some = range(at, min(at + 256, len(own)))
                 yield pa.record_batch({
                     "query_row": own[at : at + 256],
                     "rows": pa.array([held[i][0].tobytes() for i in some], pa.binary()),
-                    "scores": pa.array([held[i][1].tobytes() for i in some], pa.binary()),
+                    "vec_ids": pa.array([held[i][1].tobytes() for i in some], pa.binary()),
+                    "scores": pa.array([held[i][2].tobytes() for i in some], pa.binary()),
                 })
 
         def merge(batches):
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                for query, rows, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids, score = np.frombuffer(rows, np.int64), np.frombuffer(scores, np.float32)
+                for query, rows, vec_ids, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    new = np.frombuffer(rows, np.int64), np.frombuffer(vec_ids, np.int64), np.frombuffer(scores, np.float32)
                     if query in held:
-                        ids, score = np.concatenate((held[query][0], ids)), np.concatenate((held[query][1], score))
-                    best = best_of(score, ids, keep)
-                    held[query] = ids[best], score[best]
-            for query, (ids, _) in held.items():
-                yield pa.record_batch({"query_row": np.full(len(ids), query), "row": ids})
+                        new = tuple(np.concatenate(x) for x in zip(held[query], new, strict=True))
+                    best = best_of(new[2], new[1], keep)
+                    held[query] = tuple(x[best] for x in new)
+            for query, (rows, _, _) in held.items():
+                yield pa.record_batch({"query_row": np.full(len(rows), query), "row": rows})
 
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        scored = self.codes.mapInArrow(score, "query_row long, rows binary, scores binary")
+        scored = self.codes.mapInArrow(score, "query_row long, rows binary, vec_ids binary, scores binary")
         return scored.repartition(parts, "query_row").mapInArrow(merge, "query_row long, row long")
 
     def search(self, queries: DataFrame, *, k: int = 10, rerank: int = 1000) -> DataFrame:
@@ -216,16 +222,22 @@ class Index:
             if not block:
                 break
             after = block[-1][0]
-            blocks.append(self.scratch.table(self._block(block, rerank), f"found-{len(blocks)}"))
+            blocks.append(self.scratch.table(self._block(block, rerank + 1), f"found-{len(blocks)}"))
         if not blocks:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         pairs = blocks[0]
         for block in blocks[1:]:
             pairs = pairs.unionByName(block)
-        near = self.vectors.select("row", "vec_id", "v")
+        firsts = self.vectors.join(self.classes.select("row"), "row").select(F.col("row").alias("first"), "v")
+        within = Window.partitionBy("h1", "h2").orderBy("vec_id", "row")
+        members = self.vectors.select("h1", "h2", "vec_id", "row").withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1)
+        members = members.join(self.classes.select("h1", "h2", F.col("row").alias("first")), ["h1", "h2"]).select("first", "vec_id", "row")
         asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
         exact = F.expr("sqrt(aggregate(zip_with(q, v, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))")
-        ranked = pairs.join(near, "row").join(asked, "query_row").select("query_row", "query_id", "vec_id", "row", exact.alias("score"))
+        scored = pairs.withColumnRenamed("row", "first").join(firsts, "first").join(asked, "query_row").select("query_row", "query_id", "first", exact.alias("score"))
+        best = Window.partitionBy("query_row").orderBy("score", "first")
+        scored = scored.withColumn("kth", F.nth_value("score", k + 1).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("kth is null or score <= kth")
+        ranked = scored.join(members, "first").where("row <> query_row").select("query_row", "query_id", "vec_id", "row", "score")
         order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
         return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -572,6 +572,21 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(q, k) for q in (0, 2) for k in (1, 2, 3)]
 
 
+def test_many_equal_vectors_leave_room_for_others(spark):
+    from intervale.llm.additive_ann import nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1600, 8))
+    x[:1300] = x[0]  # more copies than are ranked again, stored in the order of falling ids
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(1599, -1, -1)], "vec_id long, embedding array<double>").repartition(1)
+    got = nearest(frame.orderBy(F.desc("vec_id")), every=1599, k=10, books=8, size=16).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == list(range(1, 11))
+    d = ((x - x[1599]) ** 2).sum(axis=1)
+    d[1599] = np.inf
+    want = sorted(range(1600), key=lambda i: (d[i], i))[:10]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1599] == want
+
+
 # ---------------------------------------------------------------- licences
 
 
