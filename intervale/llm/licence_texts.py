@@ -1,5 +1,7 @@
 """Texts of widely used licences and notices, by SPDX name.  Fixed values."""
 
+from pathlib import Path
+
 MIT = """
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -114,3 +116,8 @@ KNOWN_TEXTS = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(name, text) of whole licences, from files beside this one that only the driver has."""
+    return [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licence_files").glob("*.txt"))]

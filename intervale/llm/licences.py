@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.licence_texts import KNOWN_TEXTS
+from intervale.llm.licence_texts import KNOWN_TEXTS, full_texts
 from intervale.llm.runtime import prepare
 
 #: Known licences are joined by broadcast up to so many bytes of text.
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_col:
     """
     spark = prepare(docs.sparkSession)
     names: dict[str, str] = {}
-    pairs = KNOWN_TEXTS if known is None else known
+    pairs = KNOWN_TEXTS + full_texts() if known is None else known
     for name, text in pairs:
         if canonical(text):
             names.setdefault(digest(text), name)

@@ -590,6 +590,17 @@ def test_many_equal_vectors_leave_room_for_others(spark):
 # ---------------------------------------------------------------- licences
 
 
+def test_whole_licences_are_known(spark):
+    from pathlib import Path
+
+    from intervale.llm import licences
+
+    files = sorted(Path(licences.__file__).with_name("licence_files").glob("*.txt"))
+    rows = [(i, p.read_text().upper()) for i, p in enumerate(files)]
+    got = {r.doc_id: r.licence for r in licences.scan(documents(spark, rows)).collect()}
+    assert files and [got[i] for i in range(len(files))] == [p.stem for p in files]
+
+
 def test_licences(spark, awkward):
     from intervale.llm.licence_texts import MIT
     from intervale.llm.licences import canonical, scan
