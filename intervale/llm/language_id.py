@@ -105,9 +105,12 @@ class Parser:
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-        return self.of_code[np.minimum(codes, len(self.of_code) - 1)] if not len(codes) or codes.max() < len(self.of_code) else np.where(
-            codes < len(self.of_code), self.of_code[np.minimum(codes, len(self.of_code) - 1)], OTHER
-        )
+        symbols = self.of_code[np.minimum(codes, len(self.of_code) - 1)]
+        beyond = codes >= len(self.of_code)
+        if beyond.any():
+            found, at = np.unique(codes[beyond], return_inverse=True)
+            symbols[beyond] = np.array([OTHER if chr(c).isalpha() else SPACE for c in found.tolist()], dtype=symbols.dtype)[at]
+        return symbols
 
     @staticmethod
     def squeeze(symbols: np.ndarray) -> np.ndarray:

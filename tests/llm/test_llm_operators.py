@@ -512,6 +512,13 @@ def test_language_columns(spark, awkward):
     assert fit(documents(spark, [])) == Model(()) and identify(documents(spark, []), model).count() == 0
 
 
+def test_signs_beyond_the_letter_table_are_no_letters():
+    from intervale.llm.language_id import Model, Parser
+
+    got = Parser(Model((("a", "some words"), ("b", "other words")))).predict(["\U0001f389\U0001f600", "\ue000", "\uff01\uff1f", "\u6f22\u5b57"])
+    assert [name for name, _ in got[:3]] == ["und"] * 3 and got[3][0] != "und"
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     from intervale.llm.queries import op6_language_id
 
