@@ -191,7 +191,8 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """A model from at most ``chars`` characters of about ``rows`` rows a language.
 
     Rows with a null language or text are left out.  Rows are taken in the
-    order of a hash of their id, so the sample does not depend on partitioning.
+    order of a hash of their id, so the sample does not depend on partitioning;
+    each gives an equal share of the characters, or all it has.
     """
     named = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -205,10 +206,18 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     )
     parts: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["place"], r["text"])):
-        taken = parts.setdefault(row["lang"], [])
-        room = chars - sum(len(t) + 1 for t in taken)
-        if room > 0:
-            taken.append(row["text"][:room])
+        parts.setdefault(row["lang"], []).append(row["text"])
+    for lang, taken in parts.items():
+        # The largest share a row with which all rows fit the budget; short texts leave theirs to longer ones.
+        room, share = chars, chars
+        for k, size in enumerate(sorted(len(t) + 1 for t in taken)):
+            share = max(2, room // (len(taken) - k))
+            if size > share:
+                break
+            room -= size
+        else:
+            share = chars
+        parts[lang] = [t[: share - 1] for t in taken]
     return Model(tuple((lang, "\n".join(taken).lower()) for lang, taken in sorted(parts.items())))
 
 

@@ -512,6 +512,15 @@ def test_language_columns(spark, awkward):
     assert fit(documents(spark, [])) == Model(()) and identify(documents(spark, []), model).count() == 0
 
 
+def test_one_long_text_does_not_fill_the_sample(spark):
+    from intervale.llm.language_id import fit
+
+    rows = [(i, f"{chr(97 + i)}" * 5000) for i in range(20)] + [(50, "zz")]
+    docs = documents(spark, rows).withColumn("lang", F.lit("x"))
+    (_, text), = fit(docs, chars=1000).texts
+    assert {c for c in text if c.isalpha()} == {chr(97 + i) for i in range(20)} | {"z"} and 900 <= len(text) <= 1000
+
+
 def test_signs_beyond_the_letter_table_are_no_letters():
     from intervale.llm.language_id import Model, Parser
 
