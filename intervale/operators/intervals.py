@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervale.functions.text import strip as trimmed
+
 KEY = "recording_id"
+#: Buckets of a join that make a block of an ordered pass.
+BLOCK = 64
 REF_TOKEN = r"\[\[REF:\d+\]\]"
 
 
@@ -79,7 +83,8 @@ def align(frames: DataFrame, segments: DataFrame, *, max_gap: float, width: floa
     inside = meet(points, spans, width, ("ts", "_at")).where(holds_point(F.col("r_start"), F.col("r_stop"), F.col("ts")))
     inside = inside.groupBy(KEY, "frame_id", "ts").agg(F.min_by("r_id", "r_seq").alias("segment_id"))
     outside = frames.select(KEY, "frame_id", "ts").join(inside.select(KEY, "frame_id"), [KEY, "frame_id"], "left_anti")
-    # One pass over points and spans in time order: the latest end before, the earliest start after.
+    # The latest end of the spans that start before, and the earliest start after: within a block of time by windows over
+    # points and spans, from all other blocks by one row a block, so a recording of any length is spread over tasks.
     as_struct = f"struct<at:{outside.schema['ts'].dataType.simpleString()},seq:bigint,id:bigint>"
     absent = F.lit(None).cast(as_struct)
     line = outside.select(KEY, F.col("ts").alias("t"), F.lit(1).alias("is_frame"), "frame_id", absent.alias("span_end"), absent.alias("span_start"))
@@ -88,12 +93,7 @@ def align(frames: DataFrame, segments: DataFrame, *, max_gap: float, width: floa
         F.struct(F.col("r_stop").alias("at"), (-F.col("r_seq")).cast("long").alias("seq"), F.col("r_id").cast("long").alias("id")).cast(as_struct).alias("span_end"),
         F.struct(F.col("r_start").alias("at"), F.col("r_seq").cast("long").alias("seq"), F.col("r_id").cast("long").alias("id")).cast(as_struct).alias("span_start"),
     )
-    order = Window.partitionBy(KEY).orderBy("t", "is_frame")
-    found = line.unionByName(marks).select(
-        "*",
-        F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
-        F.min("span_start").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("after"),
-    ).where("is_frame = 1")
+    found = _nearest_both_ways(line.unionByName(marks), F.max("span_end"), F.min("span_start"), "t", "is_frame", width * BLOCK).where("is_frame = 1")
     gap_before, gap_after = F.col("t") - F.col("before.at"), F.col("after.at") - F.col("t")
     take_before = F.col("after").isNull() | (F.col("before").isNotNull() & ((gap_before < gap_after) | ((gap_before == gap_after) & (-F.col("before.seq") < F.col("after.seq")))))
     nearest = found.where("before is not null or after is not null").select(
@@ -104,6 +104,24 @@ def align(frames: DataFrame, segments: DataFrame, *, max_gap: float, width: floa
     return inside.select(KEY, "frame_id", "ts", F.col("segment_id").cast("long").alias("segment_id"), F.lit(True).alias("has_audio_context")).unionByName(nearest)
 
 
+def _nearest_both_ways(rows: DataFrame, before: Column, after: Column, at: str, tie: str, width: float) -> DataFrame:
+    """rows plus ``before`` over all rows up to each one and ``after`` over all from it on, by (at, tie).
+
+    ``before`` and ``after`` are aggregates that combine by greatest and least.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(at) / width).cast("long"))
+    whole = rows.groupBy(KEY, "_block").agg(before.alias("b"), after.alias("a"))
+    blocks = Window.partitionBy(KEY).orderBy("_block")
+    others = whole.select(
+        KEY, "_block", F.max("b").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("a").over(Window.partitionBy(KEY).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    up = Window.partitionBy(KEY, "_block").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(KEY, "_block").orderBy(F.desc(at), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.select("*", before.over(up).alias("before"), after.over(down).alias("after"))
+    return inside.join(others, [KEY, "_block"]).withColumns({"before": F.greatest("before", "_before"), "after": F.least("after", "_after")}).drop("_block", "_before", "_after")
+
+
 def segment_at(points: DataFrame, segments: DataFrame, *, width: float) -> DataFrame:
     """points plus segment_id: the first segment in list order with start <= ts <= stop, or null."""
     spans = segments.select(KEY, F.col("segment_id").alias("r_id"), F.col("seq").alias("r_seq"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
@@ -138,17 +156,26 @@ def text_at(windows: DataFrame, segments: DataFrame, *, width: float, strict: bo
     """windows (recording_id, window_id, start, stop) plus ``text`` of the segments in them, in list order.
 
     Loose: any overlap.  Strict: the segment lies within the window.  Reference
-    marks are removed; a window without a segment has the empty text.
+    marks are removed, pieces trimmed and blank ones left out; a window without a
+    segment has the empty text.  See ``out_of_bounds`` for windows that are none.
     """
     spans = segments.select(KEY, F.col("seq").alias("r_seq"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"), F.col("text").alias("r_text"))
     pairs = meet(windows, spans, width)
     a, b, c, d = (F.col(x) for x in ("start", "stop", "r_start", "r_stop"))
     pairs = pairs.where((c >= a) & (d <= b) if strict else overlaps(a, b, c, d))
-    item = F.struct("r_seq", F.regexp_replace("r_text", REF_TOKEN, "").alias("text"))
+    item = F.struct("r_seq", trimmed(F.regexp_replace("r_text", REF_TOKEN, "")).alias("text"))
+    pairs = pairs.where(trimmed(F.regexp_replace("r_text", REF_TOKEN, "")) != "")
     texts = pairs.groupBy(KEY, "window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ").alias("text"))
     return windows.join(texts, [KEY, "window_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def out_of_bounds(windows: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Windows that are reversed, empty, or not within [0, duration] of their recording: (recording_id, window_id, rule)."""
+    rows = windows.join(recordings.select(KEY, "duration"), KEY, "left")
+    rule = F.when(F.col("start") >= F.col("stop"), "reversed").when((F.col("start") < 0) | (F.col("stop") > F.col("duration")) | F.col("duration").isNull(), "outside")
+    return rows.select(KEY, "window_id", rule.alias("rule")).where("rule is not null")
+
+
 def slice_words(markers: DataFrame, segments: DataFrame, words: DataFrame, *, width: float) -> DataFrame:
     """markers (recording_id, marker_id, start, stop) plus ``text`` of the words in them.
 
@@ -158,13 +185,13 @@ def slice_words(markers: DataFrame, segments: DataFrame, words: DataFrame, *, wi
     """
     spans = segments.select(KEY, F.col("segment_id"), F.col("seq").alias("r_seq"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"), F.col("text").alias("whole"))
     window = meet(markers, spans, width).where(overlaps(F.col("start"), F.col("stop"), F.col("r_start"), F.col("r_stop")))
-    worded = words.where("word <> ''").select(KEY, "segment_id", F.struct("word_pos", "word", F.col("start").alias("w_start"), F.col("stop").alias("w_stop")).alias("w"))
-    has_words = words.select(KEY, "segment_id").distinct().withColumn("worded", F.lit(True))
-    joined = window.join(has_words, [KEY, "segment_id"], "left")
-    plain = joined.where("worded is null").select(KEY, "marker_id", "r_seq", F.col("whole").alias("piece"))
-    inside = joined.where("worded").join(worded, [KEY, "segment_id"]).where(word_in_window(F.col("w.w_start"), F.col("w.w_stop"), F.col("start"), F.col("stop")))
-    cut = inside.groupBy(KEY, "marker_id", "r_seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["word"]), "").alias("piece"))
-    pieces = plain.unionByName(cut).withColumn("piece", F.regexp_replace("piece", r"(?U)^\s+|\s+$", "")).where("piece <> ''")
+    # One join: a segment without words comes back once, without a word.
+    own = words.select(KEY, "segment_id", F.struct("word_pos", "word", F.col("start").alias("w_start"), F.col("stop").alias("w_stop")).alias("w"))
+    joined = window.join(own, [KEY, "segment_id"], "left")
+    inside = (F.col("w.word") != "") & word_in_window(F.col("w.w_start"), F.col("w.w_stop"), F.col("start"), F.col("stop"))
+    cut = joined.groupBy(KEY, "marker_id", "r_seq").agg(F.first("whole").alias("whole"), F.count("w.word_pos").alias("n"), F.collect_list(F.when(inside, F.struct("w.word_pos", "w.word"))).alias("ws"))
+    piece = F.when(F.col("n") == 0, F.col("whole")).otherwise(F.array_join(F.transform(F.array_sort("ws"), lambda x: x["word"]), ""))
+    pieces = cut.select(KEY, "marker_id", "r_seq", trimmed(piece).alias("piece")).where("piece <> ''")
     texts = pieces.groupBy(KEY, "marker_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_seq", "piece"))), lambda x: x["piece"]), " ").alias("text"))
     return markers.join(texts, [KEY, "marker_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -174,12 +201,14 @@ def slice_words(markers: DataFrame, segments: DataFrame, words: DataFrame, *, wi
 
 def snap_candidates(words: DataFrame, segments: DataFrame) -> DataFrame:
     """(recording_id, value): distinct word bounds, and the bounds of segments without words."""
-    bounds = lambda rows: rows.select(KEY, F.explode(F.array("start", "stop")).alias("value"))
-    bare = segments.join(words.select(KEY, "segment_id").distinct(), [KEY, "segment_id"], "left_anti")
-    return bounds(words).unionByName(bounds(bare)).distinct()
+    own = words.groupBy(KEY, "segment_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    joined = segments.select(KEY, "segment_id", "start", "stop").join(own, [KEY, "segment_id"], "full_outer")
+    spans = F.coalesce("spans", F.array(F.struct("start", "stop")))
+    bounds = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["stop"])))
+    return joined.select(KEY, F.explode(F.array_distinct(bounds)).alias("value")).distinct()
 
 
-def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float) -> DataFrame:
+def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float, width: float) -> DataFrame:
     """boundaries (recording_id, boundary_id, value) plus snapped, distance and warned.
 
     The nearest candidate; of two as near, the greater.  A recording without
@@ -189,9 +218,11 @@ def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float) -> D
         candidates.select(KEY, "value", F.lit(0).alias("is_boundary")), allowMissingColumns=True
     )
     given = F.when(F.col("is_boundary") == 0, F.col("value"))
-    up = Window.partitionBy(KEY).orderBy("value", "is_boundary").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(KEY).orderBy(F.desc("value"), "is_boundary").rowsBetween(Window.unboundedPreceding, 0)
-    near = line.select("*", F.last(given, ignorenulls=True).over(up).alias("under"), F.last(given, ignorenulls=True).over(down).alias("over")).where("is_boundary = 1")
+    # Candidates come first among equal values on the way up, and on the way down by the same key turned round.
+    line = line.withColumn("given", given)
+    near = _nearest_both_ways(line, F.max("given"), F.min("given"), "value", "is_boundary", width).where("is_boundary = 1")
+    near = near.withColumnsRenamed({"before": "under", "after": "over"})
+    near = near.withColumn("over", F.when(F.col("under") == F.col("value"), F.col("under")).otherwise(F.col("over")))
     above = F.col("under").isNull() | (F.col("over") - F.col("value") <= F.col("value") - F.col("under"))
     snapped = F.when(F.col("over").isNotNull() & above, F.col("over")).otherwise(F.col("under"))
     out = near.select(KEY, "boundary_id", "value", snapped.alias("snapped")).withColumn("distance", F.abs(F.col("snapped") - F.col("value")))
@@ -201,9 +232,14 @@ def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float) -> D
 def uncovered_words(words: DataFrame, markers: DataFrame, *, width: float) -> DataFrame:
     """Words with a visible character that no marker touches (see ``word_in_window``)."""
     visible = words.where(F.regexp_replace("word", r"(?U)\s+", "") != "")
-    spans = markers.select(KEY, F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    touched = meet(visible, spans, width).where(word_in_window(F.col("start"), F.col("stop"), F.col("r_start"), F.col("r_stop")))
-    return visible.join(touched.select(KEY, "segment_id", "word_pos").distinct(), [KEY, "segment_id", "word_pos"], "left_anti")
+    spans = _dealt(islands(markers).select(KEY, F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), "r_start", "r_stop", width, "_bucket")
+    # Touching markers are one span, so a word meets a marker if and only if it meets a span.
+    dealt = _dealt(visible, "start", "stop", width, "_bucket")
+    met = dealt.join(spans, [KEY, "_bucket"], "left")
+    hit = F.coalesce(word_in_window(F.col("start"), F.col("stop"), F.col("r_start"), F.col("r_stop")), F.lit(False))
+    rest = [F.first(c).alias(c) for c in visible.columns if c not in (KEY, "segment_id", "word_pos")]
+    alone = met.groupBy(KEY, "segment_id", "word_pos").agg(F.bool_or(hit).alias("_hit"), *rest)
+    return alone.where("not _hit").select(*visible.columns)
 
 
 def islands(intervals: DataFrame) -> DataFrame:

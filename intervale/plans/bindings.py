@@ -45,9 +45,10 @@ class Tables:
 
     def words(self) -> DataFrame:
         """Words of the lines that are no system's, each with its characters' offsets."""
-        cut = self.lines().where("role <> 'system'").select(KEY, "segment_id", F.col("start").alias("at"), F.split("text", " ").alias("w"))
-        rows = cut.select(KEY, "segment_id", "at", F.transform("w", lambda w, i: F.struct(i.alias("word_pos"), w.alias("word"), F.coalesce(F.aggregate(F.slice("w", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1), F.lit(0)).alias("off"))).alias("ws"))
-        rows = rows.select(KEY, "segment_id", "at", F.explode("ws").alias("x")).select(KEY, "segment_id", F.col("x.word_pos").cast("long").alias("word_pos"), F.col("x.word").alias("word"), (F.col("at") + F.col("x.off")).alias("start"))
+        cut = self.lines().where("role <> 'system'").select(KEY, "segment_id", F.col("start").alias("at"), F.posexplode(F.split("text", " ")).alias("word_pos", "word"))
+        before = Window.partitionBy(KEY, "segment_id").orderBy("word_pos").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("at") + F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
+        rows = cut.select(KEY, "segment_id", F.col("word_pos").cast("long").alias("word_pos"), "word", start.alias("start"))
         return rows.withColumn("stop", F.col("start") + F.length("word"))
 
     def markers(self) -> DataFrame:

@@ -71,11 +71,11 @@ def test_snap_golden_and_random(spark):
     rng = random.Random(7)
     candidates = sorted({rng.randrange(200) for _ in range(25)})
     bounds = [("r", i, rng.randrange(-20, 220)) for i in range(80)]
-    got = iv.snap(rows(spark, bounds, "recording_id string, boundary_id long, value long"), rows(spark, [("r", c) for c in candidates], "recording_id string, value long"), warn_over=3)
+    got = iv.snap(rows(spark, bounds, "recording_id string, boundary_id long, value long"), rows(spark, [("r", c) for c in candidates], "recording_id string, value long"), warn_over=3, width=7)
     for r in got.collect():
         assert r.snapped == snap_one(r.value, candidates)
         assert r.warned == (abs(r.snapped - r.value) > 3)
-    tie = iv.snap(rows(spark, [("r", 1, 5.0)], "recording_id string, boundary_id long, value double"), rows(spark, [("r", 0.0), ("r", 10.0)], "recording_id string, value double"), warn_over=0.2).first()
+    tie = iv.snap(rows(spark, [("r", 1, 5.0)], "recording_id string, boundary_id long, value double"), rows(spark, [("r", 0.0), ("r", 10.0)], "recording_id string, value double"), warn_over=0.2, width=4.0).first()
     assert tie.snapped == 10.0 and tie.warned
 
 
