@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that a slug replaces, marks in a text, and punctuation that hugs what is before it.
+# Characters that a slug replaces, marks in a text, shown times, punctuation that hugs what is before it,
+# what counts as content, words for what can't be read, and talk of audio.
 UNSAFE = r"(?U)[\s\[\]()`*_{}<>#!|\\/?:;,.]+"
 TS_MARK = r"\[\[TS:(\d+(?:\.\d+)?)(?:-\d+(?:\.\d+)?)?\]\]"
+LONE_TS_MARK = r"^\[\[TS:(\d+(?:\.\d+)?)\]\]$"
 REF_MARK = r"\[\[REF:(\d+)\]\]"
 SHOWN_TIME = r"(?:\[\d{2}:\d{2}:\d{2}\]\([^\)\n]+\)|\[\d{2}:\d{2}:\d{2}\](?!\())"
 PUNCTUATION = "。！？；，、,.!?;:"
@@ -24,10 +27,28 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.DoubleType())
-def round3(values: pd.Series) -> pd.Series:
-    """Half-even rounding of the exact binary value to three places."""
-    return values.map(lambda x: None if pd.isna(x) else round(x, 3))
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def round3(value: Column) -> Column:
+    """Half-even rounding of the exact binary value to three places.
+
+    A thousand times the value is a double and an exact rest (the value is split
+    into halves whose products are exact), so a tie is known for what it is.
+    """
+
+    def one(x: Column) -> Column:
+        y, wide = x * 1000.0, x * 134217729.0
+        high = wide - (wide - x)
+        rest = (high * 1000.0 - y) + (x - high) * 1000.0
+        low = F.floor(y).cast("double")
+        over = (y - low) - 0.5
+        up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))))
+        return F.when(F.abs(x) < float(1 << 42), (low + F.when(up, 1.0).otherwise(0.0)) / 1000.0).otherwise(x)
+
+    return bind(value.cast("double"), one)
 
 
 @F.pandas_udf(T.StringType())
@@ -46,30 +67,46 @@ def mmss(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(s / 60).cast("long"), s % 60)
 
 
-def render_time(seconds: Column, template: str) -> Column:
-    """{hms}, {mmss}, {seconds} and {seconds_int} of the seconds rounded to milliseconds."""
-    s = F.bround(seconds, 3)
+def _fill(template: str, fields: dict[str, Column]) -> Column:
     out = F.lit(template)
-    for field, value in (("{hms}", hms(s)), ("{mmss}", mmss(s)), ("{seconds}", F.format_string("%.3f", s)), ("{seconds_int}", F.floor(s).cast("string"))):
-        out = F.replace(out, F.lit(field), value)
+    for field, value in fields.items():
+        out = F.replace(out, F.lit("{" + field + "}"), value)
     return out
 
 
+def _time_fields(s: Column) -> dict[str, Column]:
+    return {"hms": hms(s), "mmss": mmss(s), "seconds": F.format_string("%.3f", round3(s)), "seconds_int": F.floor(s).cast("string")}
+
+
+def render_time(seconds: Column, template: str) -> Column:
+    """{hms}, {mmss}, {seconds} and {seconds_int} of the seconds rounded to milliseconds."""
+    return bind(round3(seconds), lambda s: _fill(template, _time_fields(s)))
+
+
 def parse_time_mark(text: Column) -> Column:
-    """Seconds of a text that is one time mark and nothing else; raises otherwise."""
-    return F.when(text.rlike(f"^{TS_MARK}$"), F.regexp_extract(text, TS_MARK, 1).cast("double")).otherwise(F.raise_error(F.concat(F.lit("not a time mark: "), text)))
+    """Seconds, to milliseconds, of a text that is one time mark and nothing else; raises otherwise, as for a range."""
+    return F.when(text.rlike(LONE_TS_MARK), round3(F.regexp_extract(text, LONE_TS_MARK, 1).cast("double"))).otherwise(F.raise_error(F.concat(F.lit("not a time mark: "), text)))
 
 
-def render_time_marks(text: Column, template: str = "[{hms}]", url: str | None = None) -> Column:
+def render_time_marks(text: Column, template: str = "[{hms}]", url: str | None = None, source_path: Column | None = None) -> Column:
     """Each [[TS:a]] or [[TS:a-b]] as the template of a, linked by a URL template of the same fields if given.
 
-    Splits at the marks and puts pieces and rendered marks back in order.
+    The shown time is of a rounded to milliseconds, the link's fields of a itself;
+    a link can also have {source_path} and {source_filename}.  Splits at the
+    marks and puts pieces and rendered marks back in order.
     """
-    shape = template if url is None else f"{template}({url})"
     times = F.regexp_extract_all(text, F.lit(TS_MARK), 1)
     pieces = F.split(text, TS_MARK, -1)
-    shown = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(render_time(F.get(times, i).cast("double"), shape), F.lit(""))))
-    return F.array_join(shown, "")
+
+    def shown(mark: Column) -> Column:
+        label = render_time(mark, template)
+        if url is None:
+            return label
+        path = F.lit("") if source_path is None else source_path
+        fields = _time_fields(mark) | {"source_path": path, "source_filename": F.element_at(F.split(path, "/"), -1)}
+        return F.concat(F.lit("["), label, F.lit("]("), _fill(url, fields), F.lit(")"))
+
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(shown(F.get(times, i).cast("double")), F.lit("")))), "")
 
 
 def render_ref_marks(text: Column, anchors: Column) -> Column:
@@ -151,8 +188,12 @@ def rewrite_links(text: Column, links: Column) -> Column:
 
 
 def description_verdict(description: Column, visible_text: Column, evidence: Column, medium: Column, text_media: tuple[str, ...]) -> Column:
-    """Why a description is refused, or null: no content, talk of audio, no evidence, or no text where the medium needs it."""
-    kept = F.filter(F.transform(evidence, strip), lambda x: x != "")
+    """Why a description is refused, or null: no content, talk of audio, no evidence, or no text where the medium needs it.
+
+    Null counts as empty.
+    """
+    description, visible_text = F.coalesce(description, F.lit("")), F.coalesce(visible_text, F.lit(""))
+    kept = F.filter(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), strip), lambda x: x != "")
     legible = visible_text.rlike(CONTENT) | visible_text.rlike(UNREADABLE)
     return (
         F.when(~description.rlike(CONTENT), "content").when(description.rlike(AUDIO_TALK), "audio")
@@ -172,17 +213,79 @@ def trim_label(minutes: Column) -> Column:
     return F.regexp_replace(F.format_string("%.6f", minutes), r"\.?0+$", "")
 
 
+def stamped(path: Column, stamp: Column | str) -> Column:
+    """A note's path with ``-stamp`` before its extension."""
+    stamp = F.lit(stamp) if isinstance(stamp, str) else stamp
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("-"), stamp, F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def assets_folder(path: Column) -> Column:
+    """The folder of a note's images, beside it."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("_assets"))
+
+
+def asset_path(note: Column, image: Column) -> Column:
+    """Where a note keeps an image; raises for an image path that is absolute or climbs."""
+    name = F.concat(assets_folder(note), F.lit("/"), F.element_at(F.split(image, "/"), -1))
+    return F.when(is_contained(image), name).otherwise(F.raise_error(F.concat(F.lit("image path must stay below its folder: "), image)))
+
+
+def markdown_image(note: Column, image: Column) -> Column:
+    """The same as a link from the note."""
+    return F.array_join(F.slice(F.split(asset_path(note, image), "/"), -2, 2), "/")
+
+
+def parent(path: Column) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def relative_path(target: Column, folder: Column) -> Column:
+    """A path as seen from a folder of the same tree."""
+    a, b = F.split(target, "/"), F.filter(F.split(folder, "/"), lambda x: x != "")
+    a = F.filter(a, lambda x: x != "")
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a), F.size(b)) + 1), lambda i: ~F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)) | (i > F.size(b)))
+    k = F.element_at(differ, 1) - 1  # parts that both begin with
+    return F.concat(F.repeat(F.lit("../"), F.size(b) - k), F.array_join(F.slice(a, k + 1, F.size(a)), "/"))
+
+
+def file_stamp(at: Column, zone: str) -> Column:
+    """``yyyyMMdd-HHmmss`` of a UTC time in a zone; for file names."""
+    return F.date_format(F.from_utc_timestamp(at, zone), "yyyyMMdd-HHmmss")
+
+
+def iso_stamp(at: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.ffffff+00:00`` of a UTC time; for front matter."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def render_prompt(template: str, fields: dict[str, Column]) -> Column:
+    """``{{ name }}`` of a template as the columns of that name, comments ``{# #}`` left out; an unknown name is an error."""
+    bare = re.sub(r"\{#.*?#\}", "", template, flags=re.DOTALL)
+    pieces = re.split(r"\{\{\s*(\w+)\s*\}\}", bare)
+    unknown = set(pieces[1::2]) - set(fields)
+    if unknown:
+        raise ValueError(f"no column for {sorted(unknown)}")
+    return F.concat(*[F.coalesce(fields[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
+def unknown_fields(template: Column, allowed: tuple[str, ...]) -> Column:
+    """Names in braces of a template that it can't have, ascending."""
+    plain = F.regexp_replace(template, r"\{\{|\}\}", "")
+    found = F.regexp_extract_all(plain, F.lit(r"\{([^{}:!]+)[^{}]*\}"), 1)
+    return F.array_sort(F.array_except(found, F.array(*map(F.lit, allowed))))
+
+
 def is_contained(path: Column) -> Column:
     """A relative path that doesn't climb out of its folder."""
     return ~(path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)"))
 
 
 def data_url(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
 def is_local_endpoint(url: Column) -> Column:
-    return F.coalesce(F.parse_url(url, F.lit("HOST")).isin("localhost", "127.0.0.1", "0.0.0.0", "::1", "[::1]"), F.lit(False))
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin("localhost", "127.0.0.1", "::1", "[::1]"), F.lit(False))
 
 
 def fraction(text: Column) -> Column:

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from intervale.functions.canonical import canonical_json
 
 KEY = "recording_id"
 
@@ -20,28 +23,56 @@ def prompt_hash(template: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")).cast("binary"), 256)
 
 
-def canonical_map(parts: dict[str, Column]) -> Column:
-    """``{"a":"x","b":"y"}`` with keys in order; values as strings, quotes and backslashes escaped."""
-    quote = lambda c: F.regexp_replace(c.cast("string"), r'(["\\])', r"\\$1")
-    items = [F.concat(F.lit(f'"{k}":"'), F.coalesce(quote(v), F.lit("")), F.lit('"')) for k, v in sorted(parts.items())]
-    return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
+def json_hash(value: Column, kind: T.DataType) -> Column:
+    """Hash of a value's canonical JSON."""
+    return F.sha2(canonical_json(value, kind).cast("binary"), 256)
 
 
 def cache_key(stage: str, parts: dict[str, Column]) -> Column:
-    """Key of a stage's result: hash of its name and the hashes of all it depends on."""
-    return F.sha2(F.concat(F.lit(f'{{"stage":"{stage}","parts":'), canonical_map(parts), F.lit("}")).cast("binary"), 256)
+    """Key of a stage's result: hash of the canonical JSON of its name and the hashes of all it depends on."""
+    value = F.struct(F.struct(*[v.cast("string").alias(k) for k, v in parts.items()]).alias("parts"), F.lit(stage).alias("stage_name"))
+    names = T.StructType([T.StructField(k, T.StringType()) for k in parts])
+    return json_hash(value, T.StructType([T.StructField("parts", names), T.StructField("stage_name", T.StringType())]))
 
 
 def combined_hash(files: DataFrame, group: list[str]) -> DataFrame:
-    """(group, path, hash) -> one hash of each group's files in path order."""
-    item = F.struct("path", "hash")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["path"], F.lit(":"), x["hash"])), "\n")
-    return files.groupBy(*group).agg(F.sha2(joined.cast("binary"), 256).alias("hash"))
+    """(group, path, hash) -> one hash of each group's files: of the canonical JSON of their list in path order."""
+    listed = F.array_sort(F.collect_list(F.struct("path", "hash")))
+    return files.groupBy(*group).agg(json_hash(listed, T.ArrayType(T.StructType.fromDDL("path string, hash string"))).alias("hash"))
+
+
+def hits(requests: DataFrame, manifest: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Requests (recording_id, stage_name, cache_key, output_paths) that a manifest row answers: same key, same ordered paths.
+
+    With ``files`` (path), all of the paths have to be there as well.
+    """
+    found = requests.join(manifest.select(KEY, "stage_name", "cache_key", "output_paths").distinct(), [KEY, "stage_name", "cache_key", "output_paths"], "left_semi")
+    if files is None:
+        return found
+    wanted = found.select(KEY, "stage_name", F.explode("output_paths").alias("path"))
+    lost = wanted.join(files.select("path"), "path", "left_anti").select(KEY, "stage_name").distinct()
+    return found.join(lost, [KEY, "stage_name"], "left_anti")
+
+
+def still_valid(hits: DataFrame, violations: DataFrame) -> DataFrame:
+    """Hits whose cached rows break no rule: violations (recording_id, stage_name, ..) are of the rows as they are cached."""
+    return hits.join(violations.select(KEY, "stage_name").distinct(), [KEY, "stage_name"], "left_anti")
+
+
+def resume(partial: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of unfinished results (recording_id, cache_key, ..) to go on from, and those to purge.
+
+    A row stays if its recording is requested with the key it was made under.
+    """
+    wanted = requests.select(KEY, "cache_key").distinct()
+    return partial.join(wanted, [KEY, "cache_key"], "left_semi"), partial.join(wanted, [KEY, "cache_key"], "left_anti")
 
 
-def hits(requests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Requests (recording_id, stage_name, cache_key, output_paths) that a manifest row answers: same key, same ordered paths."""
-    return requests.join(manifest.select(KEY, "stage_name", "cache_key", "output_paths").distinct(), [KEY, "stage_name", "cache_key", "output_paths"], "left_semi")
+def section_counts(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """(recording_id, items, cached, jobs): how many results are asked for, known, and to be made."""
+    known = hits.select(KEY, "stage_name").distinct().withColumn("known", F.lit(True))
+    rows = requests.join(known, [KEY, "stage_name"], "left")
+    return rows.groupBy(KEY).agg(F.count("*").alias("items"), F.count_if("known").alias("cached"), F.count_if(F.col("known").isNull()).alias("jobs"))
 
 
 def stale(requests: DataFrame, manifest: DataFrame) -> DataFrame:

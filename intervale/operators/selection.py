@@ -30,15 +30,21 @@ def representatives(judged: DataFrame) -> DataFrame:
     return judged.where("is_meaningful").groupBy(KEY, trimmed(F.col("semantic_key")).alias("semantic_key")).agg(F.max_by("frame_id", order).alias("frame_id"))
 
 
-def clamp_scenes(scenes: DataFrame, recordings: DataFrame) -> DataFrame:
+def clamp_scenes(scenes: DataFrame, recordings: DataFrame, thresholds: list | None = None) -> DataFrame:
     """Scenes within [0, duration] of their recording, by threshold; [0, duration] where none is left.
 
     scenes (recording_id, threshold, start, stop), recordings (recording_id,
-    duration); thresholds are those that occur for the recording.
+    duration).  Every recording has a row for every threshold given; without any
+    given, for those that occur for the recording.
     """
     known = scenes.join(recordings, KEY)
     inside = known.select(KEY, "threshold", F.greatest("start", F.lit(0)).alias("start"), F.least("stop", "duration").alias("stop")).where("start < stop")
-    bare = known.select(KEY, "threshold", "duration").distinct().join(inside.select(KEY, "threshold").distinct(), [KEY, "threshold"], "left_anti")
+    if thresholds is None:
+        wanted = known.select(KEY, "threshold", "duration").distinct()
+    else:
+        every = F.explode(F.array(*[F.lit(t).cast(scenes.schema["threshold"].dataType) for t in thresholds]))
+        wanted = recordings.select(KEY, every.alias("threshold"), "duration")
+    bare = wanted.join(inside.select(KEY, "threshold").distinct(), [KEY, "threshold"], "left_anti")
     zero = F.lit(0).cast(inside.schema["start"].dataType)
     return inside.unionByName(bare.select(KEY, "threshold", zero.alias("start"), F.col("duration").cast(inside.schema["stop"].dataType).alias("stop")))
 
@@ -73,9 +79,48 @@ def best_frame(windows: DataFrame) -> DataFrame:
     return windows.groupBy(KEY, "window_id").agg(F.max_by("frame_id", order).alias("frame_id"), F.max("score").alias("score"))
 
 
-def distinct_times(frames: DataFrame) -> DataFrame:
-    """One frame a time of each recording, the first in scene order (``seq``)."""
-    return frames.groupBy(KEY, "ts").agg(F.min_by("frame_id", "seq").alias("frame_id"), F.min("seq").alias("seq"))
+def distinct_times(frames: DataFrame, first_frames: DataFrame | None = None) -> DataFrame:
+    """One frame a time of each recording, the first in scene order (``seq``).
+
+    ``first_frames`` (recording_id, frame_id) stand in, at time 0, for recordings
+    without any frame.
+    """
+    kept = frames.groupBy(KEY, "ts").agg(F.min_by("frame_id", "seq").alias("frame_id"), F.min("seq").alias("seq"))
+    if first_frames is None:
+        return kept
+    bare = first_frames.join(frames.select(KEY).distinct(), KEY, "left_anti")
+    zero = lambda c: F.lit(0).cast(kept.schema[c].dataType).alias(c)
+    return kept.unionByName(bare.select(KEY, zero("ts"), F.col("frame_id").cast(kept.schema["frame_id"].dataType).alias("frame_id"), zero("seq")))
+
+
+def scene_cuts(scores: DataFrame, *, thresholds: list[float], least_frames: int) -> DataFrame:
+    """(recording_id, threshold, start, stop) of scenes between cuts, from the change scores of a recording's frames.
+
+    scores (recording_id, frame, ts, score).  A frame whose score reaches the
+    threshold starts a scene if the last one started ``least_frames`` frames ago
+    or more; the first frame starts the first scene, the last frame's time ends
+    the last one.  One fold over a recording's frames that reach the least
+    threshold, which are few.
+    """
+    ends = scores.groupBy(KEY).agg(F.min_by("ts", "frame").alias("first_ts"), F.min("frame").alias("first"), F.max("ts").alias("last_ts"))
+    high = scores.where(F.col("score") >= min(thresholds)).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "ts", "score"))).alias("high"))
+    rows = ends.join(high, KEY, "left").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    start = F.array(F.struct(F.col("first").alias("frame"), F.col("first_ts").alias("ts")))
+    step = lambda cuts, x: F.when(
+        (x["score"] >= F.col("threshold")) & (x["frame"] - F.element_at(cuts, -1)["frame"] >= least_frames), F.array_append(cuts, F.struct(x["frame"].alias("frame"), x["ts"].alias("ts")))
+    ).otherwise(cuts)
+    cuts = rows.select(KEY, "threshold", "last_ts", F.aggregate(F.coalesce("high", F.array().cast(high.schema["high"].dataType)), start, step).alias("cuts"))
+    scenes = F.transform("cuts", lambda c, i: F.struct(c["ts"].alias("start"), F.coalesce(F.get(F.col("cuts"), i + 1)["ts"], F.col("last_ts")).alias("stop")))
+    return cuts.select(KEY, "threshold", F.explode(scenes).alias("s")).select(KEY, "threshold", "s.start", "s.stop").where("start < stop")
+
+
+def frames_at(times: DataFrame, frames: DataFrame, *, fps: float) -> DataFrame:
+    """times (recording_id, time_id, ts) plus the frame that a seek to ts shows: the first one not before it, if any.
+
+    frames (recording_id, frame, ..) are numbered from 0 at a fixed rate, so the
+    frame's number is known and the join is by equality.
+    """
+    return times.withColumn("frame", F.ceil(F.greatest("ts", F.lit(0.0)) * fps).cast("long")).join(frames, [KEY, "frame"], "left")
 
 
 def candidate_times(windows: DataFrame, *, fps: float) -> DataFrame:

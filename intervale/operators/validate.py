@@ -43,7 +43,8 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 
 def marker_violations(markers: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Markers: ids dense from 0, start < stop, no overlap with the next, within [0, duration]."""
+    """Markers: at least one, ids dense from 0, start < stop, no overlap with the next, within [0, duration]."""
+    bare = recordings.join(markers.select(KEY).distinct(), KEY, "left_anti").select(KEY, F.lit(None).cast("long").alias("row_id"), F.lit("empty").alias("rule"))
     rows = _positions(markers).select("*", F.lead("start").over(in_order()).alias("next_start"), F.lead("id").over(in_order()).alias("next_id")).join(recordings.select(KEY, "duration"), KEY)
     return _report(rows, "seq", {
         "id": F.col("id") != F.col("pos"),
@@ -51,7 +52,7 @@ def marker_violations(markers: DataFrame, recordings: DataFrame) -> DataFrame:
         "overlap": F.col("stop") > F.col("next_start"),
         "before_zero": (F.col("pos") == 0) & (F.col("start") < 0),
         "past_end": F.col("next_id").isNull() & (F.col("stop") > F.col("duration")),
-    })
+    }).unionByName(bare)
 
 
 def block_violations(blocks: DataFrame, slots: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def judgement_violations(judgements: DataFrame, frames: DataFrame) -> DataFrame:
     broken = _report(rows, "frame_id", {
         "unknown_frame": F.col("known").isNull(),
         "duplicate": F.col("copies") > 1,
-        "medium": ~F.col("medium").isin(*MEDIA),
+        "medium": ~F.coalesce(F.col("medium").isin(*MEDIA), F.lit(False)),
         "reason": is_blank(F.col("reason")),
         "meaningful": F.col("is_meaningful") & useful,
         "not_meaningful": ~F.col("is_meaningful") & (F.col("semantic_key").isNotNull() | quality.isNotNull()),
@@ -121,27 +122,50 @@ def reference_violations(rows: DataFrame) -> DataFrame:
 
 
 def refined_violations(refined: DataFrame, markers: DataFrame, *, drift: float) -> DataFrame:
-    """Refined segments against their markers by position: equal id, bounds within the drift, nothing blank."""
+    """Refined segments against their markers by position: equal id, bounds within the drift, nothing blank.
+
+    Where refined has them, ``topic`` and ``summary`` may not be blank and
+    ``language`` is that of the markers; references follow ``reference_violations``.
+    """
     r = _positions(refined)
-    m = _positions(markers).select(KEY, "pos", F.col("id").alias("m_id"), F.col("start").alias("m_start"), F.col("stop").alias("m_stop"))
+    of_markers = [F.col("language").alias("m_language")] if "language" in markers.columns else []
+    m = _positions(markers).select(KEY, "pos", F.col("id").alias("m_id"), F.col("start").alias("m_start"), F.col("stop").alias("m_stop"), *of_markers)
+    blank = is_blank(F.col("text"))
+    for c in ("topic", "summary"):
+        blank = blank | is_blank(F.col(c)) if c in refined.columns else blank
+    languages = {"language": F.col("language") != F.col("m_language")} if of_markers and "language" in refined.columns else {}
     rows = r.join(m, [KEY, "pos"], "full_outer").withColumn("seq", F.coalesce("seq", "pos"))
     return _report(rows, "seq", {
         "count": F.col("m_id").isNull() | F.col("id").isNull(),
         "id": F.col("id") != F.col("m_id"),
         "drift": (F.abs(F.col("start") - F.col("m_start")) > drift) | (F.abs(F.col("stop") - F.col("m_stop")) > drift),
-        "blank": F.col("id").isNotNull() & is_blank(F.col("text")),
+        "blank": F.col("id").isNotNull() & blank, **languages,
     })
 
 
 def speech_violations(segments: DataFrame) -> DataFrame:
-    """Transcribed segments: start < stop, and start not before the end of the last earlier one with text."""
+    """Transcribed segments: start < stop, start not before the end of the last earlier one with text, words not reversed."""
     last = F.last(F.when(~is_blank(F.col("text")), F.col("stop")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     return _report(segments.withColumn("previous_stop", last), "seq", {
         "interval": F.col("start") >= F.col("stop"),
         "order": F.col("start") < F.col("previous_stop"),
+        "word": F.exists("words", lambda w: w["start"] > w["stop"]) if "words" in segments.columns else F.lit(False),
     })
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], what: str) -> DataFrame:
+    """rows plus the values of the row of ``table`` with the same keys; a row without one is an error when it is read.
+
+    ``table`` has one row for each key.
+    """
+    held = table.select(*keys, *values, F.lit(True).alias("_held"))
+    joined = rows.join(held, keys, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no {what} for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    # The check guards the values, so that no plan can leave it out.
+    checked = [F.when(F.col("_held"), F.col(v)).otherwise(lost.cast(joined.schema[v].dataType)).alias(v) for v in values]
+    return joined.select(*rows.columns, *checked)
+
+
 def missing_sections(chapters: DataFrame, sections: DataFrame) -> DataFrame:
     """Chapters without a section."""
     return chapters.select(KEY, "chapter_id").join(sections.select(KEY, "chapter_id"), [KEY, "chapter_id"], "left_anti")

@@ -42,7 +42,8 @@ def admission_stream(requests: DataFrame, *, rpm: int | None, tpm: int | None) -
         limiter, clock = Limiter(rpm, tpm), float("-inf")
         if state.exists:
             clock, times, tokens = state.get
-            limiter.log.extend(zip(times, tokens, strict=True))
+            for t, n in zip(times, tokens, strict=True):
+                limiter.note(t, n)
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
         out = []
         for t, n in zip(rows["t"], rows["tokens"], strict=True):
