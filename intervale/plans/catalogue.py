@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from intervale.functions import text as fn
 from intervale.operators import admission, intervals, memo, selection, sequence, validate
 from intervale.plans import bindings as b
+from intervale.plans import notes
 from intervale.plans.bindings import HOUR, KEY, Tables
+from intervale.schemas import TEXT_MEDIA
 from intervale.sources import files
 
 DAY = 24 * HOUR
@@ -132,7 +134,7 @@ CANDIDATES = f"""
 def snap_boundaries(t: Tables) -> DataFrame:
     ends = t.markers().select(KEY, F.explode(F.array(F.struct((F.col("marker_id") * 2).alias("id"), F.col("start").alias("at")), F.struct((F.col("marker_id") * 2 + 1).alias("id"), F.col("stop").alias("at")))).alias("e"))
     candidates = intervals.snap_candidates(t.words(), t.lines().select(KEY, "segment_id", "start", "stop"))
-    return intervals.snap(ends.select(KEY, F.col("e.id").alias("boundary_id"), F.col("e.at").alias("value")), candidates, warn_over=2)
+    return intervals.snap(ends.select(KEY, F.col("e.id").alias("boundary_id"), F.col("e.at").alias("value")), candidates, warn_over=2, width=500)
 
 
 @query(CANDIDATES)
@@ -513,9 +515,18 @@ def strip_headings(t: Tables) -> DataFrame:
     return t.raw("conversations").select("conv_id", "turn", fn.strip_heading(F.concat(head, "text"), F.col("role")).alias("text"))
 
 
-@query("SELECT conv_id, turn, '[00:01:02] ' || regexp_replace(role, ' +', '', 'g') || '.' AS text FROM conversations")
+@query("""
+    SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '[00:01:02] ' || role || '.' WHEN 1 THEN '## ' || role || ' [00:01:02] .' WHEN 2 THEN '[00:01:02] a, [00:01:03] b' WHEN 3 THEN '[00:01:02]' WHEN 4 THEN '[01:02:03](u/' || turn || ') ' || role || '!'
+        ELSE '[00:01:02] ' || role || chr(10) || chr(10) || 'x，y; z' END AS text FROM conversations
+""")
 def normalise_spacing(t: Tables) -> DataFrame:
-    return t.raw("conversations").select("conv_id", "turn", fn.normalise_spacing(F.concat("role", F.lit("[00:01:02] .  "))).alias("text"))
+    turn, role = F.col("turn") % 6, F.col("role")
+    line = (
+        F.when(turn == 0, F.concat(role, F.lit("[00:01:02] .  "))).when(turn == 1, F.concat(F.lit("## "), role, F.lit(" [00:01:02] . \t"))).when(turn == 2, F.lit("[00:01:02]a [00:01:03] , b".replace(" , b", "b").replace("]a ", "]a, ")))
+        .when(turn == 3, "   [00:01:02]  ").when(turn == 4, F.concat(role, F.lit(" ![01:02:03](u/"), F.col("turn").cast("string"), F.lit(")")))
+        .otherwise(F.concat(F.lit("[00:01:02]"), role, F.lit("  \n \nx  ，y ; z")))
+    )
+    return t.raw("conversations").select("conv_id", "turn", fn.normalise_spacing(line).alias("text"))
 
 
 @query(r"""
@@ -536,24 +547,26 @@ def output_stems(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, CASE WHEN NOT regexp_matches(d, '[A-Za-z0-9_]') THEN 'content' WHEN regexp_matches(d, '(?i)audio context') THEN 'audio' WHEN e = '' THEN 'evidence'
-        WHEN doc_id % 2 = 0 AND NOT regexp_matches(v, '[A-Za-z0-9_]') AND NOT regexp_matches(v, '(?i)(unreadable|illegible)') THEN 'visible_text' END AS verdict
-    FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '...' WHEN 1 THEN 'the Audio Context says' ELSE source END AS d, CASE WHEN doc_id % 7 = 3 THEN '' ELSE source END AS e, CASE WHEN doc_id % 3 = 0 THEN '--' ELSE lang END AS v FROM documents)
+    SELECT doc_id, CASE WHEN NOT regexp_matches(d, '[A-Za-z0-9_中图]') THEN 'content' WHEN regexp_matches(d, '(?i)audio context|音频中') THEN 'audio' WHEN e = '' THEN 'evidence'
+        WHEN doc_id % 2 = 0 AND NOT regexp_matches(v, '[A-Za-z0-9_看]') THEN 'visible_text' END AS verdict
+    FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '...' WHEN 1 THEN 'the Audio Context says' WHEN 2 THEN '' WHEN 3 THEN '图' WHEN 4 THEN '音频中图' ELSE source END AS d, CASE WHEN doc_id % 11 IN (3, 4) THEN '' ELSE source END AS e,
+                 CASE doc_id % 5 WHEN 0 THEN '--' WHEN 1 THEN '' WHEN 2 THEN '看不清' ELSE 'en' END AS v FROM documents WHERE source IS NOT NULL)
 """)
 def description_validity(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    rows = t.raw("documents").select("doc_id", F.when(d % 5 == 0, "...").when(d % 5 == 1, "the Audio Context says").otherwise(F.col("source")).alias("d"), F.array(F.lit(" "), F.when(d % 7 == 3, "").otherwise(F.col("source"))).alias("e"), F.when(d % 3 == 0, "--").otherwise(F.col("lang")).alias("v"), F.when(d % 2 == 0, "ppt").otherwise("demo").alias("m"))
-    return rows.select("doc_id", fn.description_verdict(F.col("d"), F.col("v"), F.col("e"), F.col("m"), ("ppt", "chart", "table", "code")).alias("verdict"))
+    said = F.when(d % 7 == 0, "...").when(d % 7 == 1, "the Audio Context says").when(d % 7 == 3, "图").when(d % 7 == 4, "音频中图").when(d % 7 != 2, F.col("source"))
+    evidence = F.when(d % 11 != 4, F.array(F.lit(" "), F.when(d % 11 == 3, "\t").otherwise(F.col("source"))))
+    seen = F.when(d % 5 == 0, "--").when(d % 5 == 2, "看不清").when(d % 5 > 2, "en")
+    rows = t.raw("documents").where("source is not null").select("doc_id", said.alias("d"), evidence.alias("e"), seen.alias("v"), F.when(d % 2 == 0, "ppt").otherwise("demo").alias("m"))
+    return rows.select("doc_id", fn.description_verdict(F.col("d"), F.col("v"), F.col("e"), F.col("m"), TEXT_MEDIA).alias("verdict"))
 
 
 @query(f"""
-    WITH l AS ({b.LINES}), n AS (SELECT recording_id, segment_id, printf('[%d-%d] %s', start, stop, text) AS line, seq FROM l)
+    WITH l AS ({b.LINES}), n AS (SELECT recording_id, segment_id, printf('[%.3f-%.3f] %s', start / 8, stop / 8, text) AS line, seq FROM l)
     SELECT recording_id, string_agg(line, chr(10) ORDER BY seq) AS prompt FROM n GROUP BY recording_id
 """)
 def transcript_prompt(t: Tables) -> DataFrame:
-    line = F.format_string("[%d-%d] %s", "start", "stop", "text")
-    rows = t.lines().groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
-    return rows.select(KEY, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"))
+    return notes.segment_lines(t.lines().select(KEY, "seq", (F.col("start") / 8).alias("start"), (F.col("stop") / 8).alias("stop"), "text"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -590,12 +603,14 @@ def prompt_hashes(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", memo.prompt_hash(F.concat("text", F.lit("  {# note\n #}"))).alias("prompt_hash"))
 
 
-@query("""SELECT page_id, sha256('{"stage":"segment","parts":{"config":"c1","transcript":"' || sha256(html) || '"}}') AS cache_key FROM pages""")
+@query("""SELECT page_id, sha256('{"parts":{"config":"c' || chr(92) || '"1' || chr(92) || 'n","transcript":"' || sha256(html) || '"},"stage_name":"segment"}') AS cache_key FROM pages""")
 def cache_keys(t: Tables) -> DataFrame:
-    return t.raw("pages").select("page_id", memo.cache_key("segment", {"transcript": memo.content_hash(F.col("html")), "config": F.lit("c1")}).alias("cache_key"))
+    return t.raw("pages").select("page_id", memo.cache_key("segment", {"transcript": memo.content_hash(F.col("html")), "config": F.lit('c"1\n')}).alias("cache_key"))
 
 
-@query("SELECT page_id % 10 AS shelf, sha256(string_agg(url || ':' || sha256(html), chr(10) ORDER BY url, sha256(html))) AS hash FROM pages GROUP BY ALL")
+@query("""
+    SELECT page_id % 10 AS shelf, sha256('[' || string_agg('{"hash":"' || sha256(html) || '","path":"' || url || '"}', ',' ORDER BY url, sha256(html)) || ']') AS hash FROM pages GROUP BY ALL
+""")
 def combined_hashes(t: Tables) -> DataFrame:
     rows = t.raw("pages").select((F.col("page_id") % 10).alias("shelf"), F.col("url").alias("path"), memo.content_hash(F.col("html")).alias("hash"))
     return memo.combined_hash(rows, ["shelf"])
@@ -626,10 +641,21 @@ def rate_window_usage(t: Tables) -> DataFrame:
     return admission.usage(rows, window_us=HOUR)
 
 
-@query()
+@query("""
+    WITH RECURSIVE q AS (SELECT event_type AS profile, event_id AS seq, (epoch_us(ts) // 60000000 - 28400000)::DOUBLE AS t, floor(value)::BIGINT AS tokens FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY t, seq) AS i FROM q),
+    go AS (
+      SELECT DISTINCT profile, 0::BIGINT AS i, 0::BIGINT AS seq, 0::DOUBLE AS t, -1e18::DOUBLE AS went, []::STRUCT(a DOUBLE, n BIGINT)[] AS log FROM r
+      UNION ALL
+      SELECT profile, i, seq, t, went, list_append(list_filter(log, lambda x: x.a > went - 60), {'a': went, 'n': tokens}) FROM (
+        SELECT r.profile, r.i, r.seq, r.t, r.tokens, g.log, greatest(g.went, r.t, CASE WHEN len(g.log) >= 3 THEN g.log[len(g.log) - 2].a + 60 ELSE -1e18 END,
+          CASE WHEN r.tokens <= 400 THEN coalesce(list_max(list_transform(list_filter(range(1, len(g.log) + 1), lambda j: list_sum(list_transform(g.log[j:], lambda x: x.n)) + r.tokens > 400), lambda j: g.log[j].a + 60)), -1e18) ELSE -1e18 END) AS went
+        FROM go g JOIN r ON r.profile = g.profile AND r.i = g.i + 1))
+    SELECT profile, seq, t, went AS admitted, went - t AS waited FROM go WHERE i > 0
+""")
 def admission_schedule(t: Tables) -> DataFrame:
-    """Replay of a log under both limits: each wait depends on earlier ones, so plain Python is the check."""
-    rows = t.events().select(F.col("event_type").alias("profile"), F.col("event_id").alias("seq"), (F.col("us") / 1e6 / 60 - 28400000).alias("t"), F.floor("value").cast("long").alias("tokens"))
+    """Replay of a log under both limits; times are whole, so that sums are exact."""
+    rows = t.events().select(F.col("event_type").alias("profile"), F.col("event_id").alias("seq"), (F.expr("us div 60000000") - 28400000).cast("double").alias("t"), F.floor("value").cast("long").alias("tokens"))
     return admission.schedule(rows, rpm=3, tpm=400)
 
 
@@ -676,13 +702,14 @@ def tidy_plan(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE floor(value) END, floor(value) + 1)::DOUBLE AS duration, 'aac' AS audio_codec, 16000 AS sample_rate,
-           CASE WHEN event_id % 2 = 0 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS fps FROM events
+    SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN floor(value) WHEN event_id % 7 <> 0 THEN floor(value) + 1 END::DOUBLE AS duration, true AS has_audio, event_id % 5 <> 0 AS has_video, 'aac' AS audio_codec, 16000 AS sample_rate,
+           CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 30000 / 1001::DOUBLE WHEN event_id % 4 = 2 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS fps, CASE WHEN event_id % 3 = 0 AND event_id % 7 = 0 THEN 'no_duration' END AS error FROM events
 """)
 def media_probe(t: Tables) -> DataFrame:
-    whole = F.floor("value").cast("long").cast("string")
+    e, whole = F.col("event_id"), F.floor("value").cast("long")
+    video = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","avg_frame_rate":"'), F.when(e % 4 == 0, "30000/1001").when(e % 4 == 2, "").otherwise("0/0"), F.lit('","r_frame_rate":"25/1"},'))
     report = F.concat(
-        F.lit('{"format":{"duration":"'), F.when(F.col("event_id") % 3 == 0, "N/A").otherwise(whole), F.lit('"},"streams":[{"codec_type":"video","codec_name":"h264","r_frame_rate":"'),
-        F.when(F.col("event_id") % 2 == 0, "25/1").otherwise("25/0"), F.lit('"},{"codec_type":"audio","codec_name":"aac","sample_rate":"16000","channels":1,"duration":"'), (F.floor("value").cast("long") + 1).cast("string"), F.lit('"}]}'),
+        F.lit('{"format":{"duration":"'), F.when(e % 3 == 0, "N/A").otherwise(whole.cast("string")), F.lit('"},"streams":['), F.when(e % 5 == 0, "").otherwise(video),
+        F.lit('{"codec_type":"audio","codec_name":"aac","sample_rate":"16000","channels":1,"duration":"'), F.when(e % 7 == 0, "N/A").otherwise((whole + 1).cast("string")), F.lit('"}]}'),
     )
-    return files.media_probe(t.events().select("event_id", report.alias("report"))).select("event_id", "duration", "audio_codec", "sample_rate", "fps")
+    return files.media_probe(t.events().select("event_id", report.alias("report"))).select("event_id", "duration", "has_audio", "has_video", "audio_codec", "sample_rate", "fps", "error")

@@ -15,6 +15,8 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from intervale.operators.admission import Limiter
+
 #: Seconds before each attempt of a request that met a rate limit.
 DELAYS = (0, 5, 10, 20)
 
@@ -52,10 +54,28 @@ def status_error(status: int | None, message: str = "") -> ClientError:
     return kinds.get(status, TransportError if status is None or status >= 500 else ClientError)(message)
 
 
-def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
+class LocalGate:
+    """Holds requests of one worker process to limits of requests and tokens a minute.
+
+    Workers don't share memory, so each takes its part of a profile's limits.
+    """
+
+    def __init__(self, rpm: int | None, tpm: int | None, *, workers: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        part = lambda n: None if n is None else max(1, n // workers)
+        self.limiter, self.clock, self.sleep = Limiter(part(rpm), part(tpm)), clock, sleep
+
+    def __call__(self, tokens: int) -> None:
+        while (wait := self.limiter.wait(now := self.clock(), tokens)) > 0:
+            self.sleep(wait)
+        self.limiter.note(now, tokens)
+
+
+def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep, acquire: Callable[[], None] = lambda: None) -> str:
+    """The answer of a call; each attempt takes its place in the limits anew."""
     for attempt, delay in enumerate(DELAYS):
         if delay:
             sleep(delay)
+        acquire()
         try:
             return call()
         except RateLimitError:
@@ -64,21 +84,40 @@ def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.
     raise AssertionError
 
 
-def complete_rows(rows: DataFrame, make_client: Callable[[], Client], *, prompt: str = "prompt") -> DataFrame:
-    """rows plus ``answer`` and ``error_class``; a failed request is a row with an error, not a failed job."""
+def complete_rows(
+    rows: DataFrame,
+    make_client: Callable[[], Client],
+    *,
+    prompt: str = "prompt",
+    refused: str | None = None,
+    tokens: str | None = None,
+    make_gate: Callable[[], Callable[[int], None]] | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """rows plus ``answer``, ``error_class`` and ``message``; a failed request is a row with an error, not a failed job.
+
+    A row with a text in ``refused`` (``class: message``) isn't sent.  The gate
+    gets the row's ``tokens`` before each attempt.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        client, gate = make_client(), make_gate() if make_gate else lambda n: None
         for batch in batches:
-            answers, errors = [], []
-            for text in batch[prompt]:
+            answers, errors, messages = [], [], []
+            for i, text in enumerate(batch[prompt]):
+                why = batch[refused].iloc[i] if refused else None
+                if isinstance(why, str):
+                    kind, _, said = why.partition(": ")
+                    answers.append(None), errors.append(kind), messages.append(said)
+                    continue
+                n = int(batch[tokens].iloc[i]) if tokens else 0
                 try:
-                    answers.append(with_retries(lambda t=text: client.complete(t)))
-                    errors.append(None)
+                    answers.append(with_retries(lambda t=text: client.complete(t), sleep, lambda n=n: gate(n)))
+                    errors.append(None), messages.append(None)
                 except ClientError as e:
-                    answers.append(None)
-                    errors.append(type(e).__name__.removesuffix("Error"))
-            yield batch.assign(answer=pd.array(answers, dtype="string"), error_class=pd.array(errors, dtype="string"))
+                    answers.append(None), errors.append(type(e).__name__.removesuffix("Error")), messages.append(str(e))
+            found = batch.drop(columns=[refused]) if refused else batch
+            yield found.assign(answer=pd.array(answers, dtype="string"), error_class=pd.array(errors, dtype="string"), message=pd.array(messages, dtype="string"))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{schema}, answer string, error_class string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != refused)
+    return rows.mapInPandas(run, f"{schema}, answer string, error_class string, message string")
