@@ -9,21 +9,26 @@ local one (tests), and a folder of our own is used.
 from __future__ import annotations
 
 import atexit
-import io
-import os
-import tempfile
+import ctypes
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intervale.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters outside ASCII that lower-casing could change; those that the regex engine does not know may be newer capitals.
 FOREIGN_CAPITAL = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
 
-_shipped: set[str] = set()
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a filter of hashed keys, by the number of keys up to the larger one (8 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+_libc = ctypes.CDLL(None)
 _scratch_roots: dict[str, SparkSession] = {}
 _opened: dict[tuple[str, str], list[str]] = {}
 
@@ -32,18 +37,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and make this package importable on every executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        blob = io.BytesIO()
-        with zipfile.ZipFile(blob, "w") as archive:
-            for path in sorted(package.rglob("*.py")):
-                archive.write(path, path.relative_to(package.parent))
-        folder = tempfile.mkdtemp(prefix="ship")  # read by the driver's own file server only
-        target = os.path.join(folder, f"{package.name}_code.zip")
-        Path(target).write_bytes(blob.getvalue())
-        spark.sparkContext.addPyFile(target)
-        _shipped.add(app)
+    ship(spark)
     return spark
 
 
@@ -73,7 +67,8 @@ class Scratch:
 
     def table(self, frame: DataFrame, name: str) -> DataFrame:
         """Write once, then read what was written."""
-        frame.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        with dropping_shuffles(self.spark):
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def free(self, *names: str) -> None:
@@ -82,11 +77,19 @@ class Scratch:
 
 
 def drop_finished(spark: SparkSession, label: str) -> None:
-    """Delete the tables of all earlier calls under this label, whose results have been written elsewhere."""
+    """Delete the tables of all earlier calls under this label.
+
+    Only for callers that write each result before they ask for the next one,
+    as the stages of the pipeline do: a result that is still to be read is lost.
+    """
     base = f"{shared_folder(spark)}/intervale/{spark.sparkContext.applicationId}"
     for root in _opened.pop((base, label), []):
         _delete(spark, root)
-    release_shuffles(spark)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -104,9 +107,15 @@ def _drop(base: str) -> None:
         pass
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of phases that are written and done."""
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files on the executors."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def new_name(stem: str, *taken: list[str]) -> str:
@@ -118,6 +127,36 @@ def new_name(stem: str, *taken: list[str]) -> str:
     return name
 
 
+def bit_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A condition that holds for every key of the one column of ``keys``, and for few others.
+
+    One bit a hashed key, of 16 to 32 bits a key and 8 MB at most, so that rows
+    without a match need no shuffle.  Beyond that size the filter lets more rows
+    through; what follows it has to be exact.
+    """
+    bits, wanted = LEAST_BITS, 16 * keys.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(bits))
+
+    words = keys.select(place(F.col(keys.columns[0])).alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("bits")
+    )
+    whole = keys.sparkSession.range(bits // 32).select(F.col("id").alias("word")).join(words, "word", "left")
+    # Two levels, so that one task gathers rows of arrays instead of single words.
+    chunks = whole.groupBy(F.expr("word div 1024").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("words"))
+    filled = chunks.agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, words))), c -> transform(c.words, w -> w.bits))")).alias("bits"))
+
+    def holds(key: Column) -> Column:
+        at = place(key)
+        word = F.get(filled.scalar(), (at / 32).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0
+
+    return holds
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
@@ -132,5 +171,13 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: an idle worker stays beside the ones of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
