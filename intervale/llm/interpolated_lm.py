@@ -13,26 +13,31 @@ are known by 64-bit hashes.  Documents are gathered into chunks of a bounded
 number of tokens; a chunk sends each distinct word and bigram once, as packed
 columns cut by hash range, and gets back their counts in the same order.  So
 neither the vocabulary nor the counts ever meet in one place, a very common
-word costs an entry a chunk, and no table is larger than a range.
+word costs an entry a chunk, and no table is larger than a range.  Chunks and
+ranges grow with the square root of the tokens, so that the packed columns
+between them hold many entries each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.runtime import Scratch, prepare, release_shuffles
+from intervale.llm.runtime import Scratch, give_back, prepare
+from intervale.llm.unit_store import as_bytes, parts
 
-CHUNK_TOKENS = 2_000_000
-RANGE_TOKENS = 2_000_000
-REMEMBERED_WORDS = 200_000
+#: Tokens of a chunk and of a range: at least, at most, and between them as many as make columns of so many entries.
+LEAST_TOKENS, MOST_TOKENS, ENTRIES = 2_000_000, 16_000_000, 64
+PART_BYTES = 4 << 20
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 HELD_OUT, MAIN, DELETED = 0, 1, 2
 BUCKETS = 24
@@ -74,14 +79,6 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- chunks
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 class Chunk:
     """Documents as token numbers in a vocabulary of hashes, in ascending order."""
 
@@ -123,8 +120,8 @@ class Chunk:
         """Counts of both folds for the vocabulary and for the pairs, from (kind, range, packed counts)."""
         out = {}
         for kind, size in ((WORD, len(self.vocabulary)), (PAIR, len(self.pairs))):
-            parts = [_unplanes(data, np.uint32).reshape(-1, 2) for _, data in sorted((r, d) for k, r, d in answers if k == kind)]
-            out[kind] = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint32)
+            parts = [_unplanes(data, np.uint64).reshape(-1, 2) for _, data in sorted((r, d) for k, r, d in answers if k == kind)]
+            out[kind] = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
             if len(out[kind]) != size:
                 raise RuntimeError("counts of a chunk are not complete")
         pairs = np.empty_like(out[PAIR])
@@ -135,17 +132,28 @@ class Chunk:
 CHUNK_FIELDS = "doc_ids array<long>, folds binary, lengths binary, vocabulary binary, tokens binary, n_tokens long"
 
 
-def _gather(batches):
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of UTF-8 texts, A-Z lower-cased, an end after each text, and the number of tokens of each)."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    flat, begin = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at either end gives empty words
+    coded = flat.dictionary_encode()
+    distinct = as_bytes(coded.dictionary)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    stops = np.concatenate(([0], np.cumsum(real)))[begin]
+    return np.insert(hashes[coded.indices.to_numpy()[real]], stops[1:], np.uint64(END)), np.diff(stops) + 1
+
+
+def _gather(batches, chunk_tokens: int):
     """(doc_id, fold, text) batches -> rows of CHUNK_FIELDS."""
-    words = _Words()
     ids, folds, lengths, hashes, held = [], [], [], [], 0
 
     def flush():
         vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         row = {
-            "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-            "folds": pa.array([np.array(folds, np.uint8).tobytes()]),
-            "lengths": pa.array([np.array(lengths, np.int32).tobytes()]),
+            "doc_ids": pa.array([sum(ids, [])], pa.list_(pa.int64())),
+            "folds": pa.array([np.concatenate(folds).astype(np.uint8).tobytes()]),
+            "lengths": pa.array([np.concatenate(lengths).astype(np.int32).tobytes()]),
             "vocabulary": pa.array([_pack_sorted(vocabulary)]),
             "tokens": pa.array([_planes(tokens.astype(np.uint32))]),
             "n_tokens": pa.array([held]),
@@ -153,22 +161,30 @@ def _gather(batches):
         return pa.record_batch(row)
 
     for batch in batches:
-        for doc_id, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = (text or b"").lower().split()
-            n = len(found) + 1
-            array = np.empty(n, dtype=np.uint64)
-            array[:-1] = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=n - 1)
-            array[-1] = END
-            ids.append(doc_id)
-            folds.append(fold)
-            lengths.append(n)
-            hashes.append(array)
-            held += n
-            if held >= CHUNK_TOKENS:
+        at = 0
+        for texts in parts(batch.column(2).fill_null(b""), PART_BYTES):
+            found, counts = word_hashes(texts)
+            ids.append(batch.column(0).slice(at, len(texts)).to_pylist())
+            folds.append(batch.column(1).slice(at, len(texts)).to_numpy())
+            lengths.append(counts)
+            hashes.append(found)
+            held += len(found)
+            at += len(texts)
+            if held >= chunk_tokens:
                 yield flush()
                 ids, folds, lengths, hashes, held = [], [], [], [], 0
+                give_back()
     if ids:
         yield flush()
+    ids, folds, lengths, hashes = [], [], [], []
+    give_back()
+
+
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of both folds of each distinct hash as uint64, place of each hash given)."""
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    given = np.concatenate(counts).astype(np.float64)  # whole numbers up to 2**53 are exact
+    return np.column_stack([np.bincount(place, given[:, f], len(distinct)) for f in (0, 1)]).astype(np.uint64), place
 
 
 def _open(row: dict) -> Chunk:
@@ -236,14 +252,22 @@ class InterpolatedModel:
         spark = prepare(docs.sparkSession)
         self.spark, self.scratch = spark, Scratch(spark, "lm")
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.cast("int").alias("fold"), F.col(text_col).cast("binary").alias("text"))
-        chunks = rows.mapInArrow(_gather, CHUNK_FIELDS).withColumn("chunk", F.monotonically_increasing_id())
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        self.most = int(min(MOST_TOKENS, max(LEAST_TOKENS, math.sqrt(ENTRIES * size / 6))))
+        most = self.most
+        chunks = rows.mapInArrow(lambda batches: _gather(batches, most), CHUNK_FIELDS).withColumn("chunk", F.monotonically_increasing_id())
         self.chunks = self.scratch.table(chunks, "chunks")
         self._count()
         self._learn()
 
     def _count(self) -> None:
-        total = self.chunks.agg(F.sum("n_tokens").alias("n")).first().n or 0
-        ranges = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_TOKENS)
+        found = self.chunks.agg(F.sum("n_tokens").alias("n"), F.max(F.shiftright("chunk", 33)).alias("file"), F.max(F.expr("chunk & 8589934591")).alias("nth")).first()
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, (found.n or 0) // self.most)
+        # Chunks are dealt one by one: the first of each file, the second of each, and so on.
+        files, nth = (found.file or 0) + 1, (found.nth or 0) + 1
+        self.place = F.expr(f"(chunk & 8589934591) * {files} + shiftright(chunk, 33)")
+        self.tasks = min(files * nth, max(least, files * nth // 4))
 
         def send(batches):
             for batch in batches:
@@ -260,9 +284,7 @@ class InterpolatedModel:
             for kind, rows in asked.items():
                 if not rows:
                     continue
-                distinct, place = np.unique(np.concatenate([h for _, _, h, _ in rows]), return_inverse=True)
-                counts = np.concatenate([c for *_, c in rows]).astype(np.float64)
-                sums = np.column_stack([np.bincount(place, counts[:, f], len(distinct)) for f in (0, 1)]).astype(np.uint32)
+                sums, place = summed([h for _, _, h, _ in rows], [c for *_, c in rows])
                 at = 0
                 for part, chunk, hashes, _ in rows:
                     answer = sums[place[at : at + len(hashes)]]
@@ -277,65 +299,84 @@ class InterpolatedModel:
         sums = self.answers.where(F.col("kind") == TOTALS).agg(F.sum("words").alias("words"), F.sum("main").alias("main"), F.sum("deleted").alias("deleted")).first()
         main, deleted = sums.main or 0, sums.deleted or 0
         self.totals = Totals(main + deleted, sums.words or 0, main)
-        release_shuffles(self.spark)
 
-    def _answered(self) -> DataFrame:
-        of_chunk = self.answers.where(F.col("kind") != TOTALS).groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("answers"))
-        return self.chunks.join(of_chunk.hint("merge"), "chunk")
+    def _with_answers(self, work: Callable, kinds: str) -> DataFrame:
+        """Rows of ``work(chunk, doc_ids, counts of its words, counts of its pairs)`` over all chunks, each met with its answers."""
+        chunks = self.chunks.drop("n_tokens").withColumn("kind", F.lit(None).cast("int"))
+        answers = self.answers.where(F.col("kind") != TOTALS).select("chunk", "kind", "part", "counts")
+        rows = chunks.unionByName(answers, allowMissingColumns=True).withColumn("to", self.place)
+        dealt = rows.repartitionById(self.tasks, F.pmod(F.col("to"), F.lit(self.tasks)).cast("int")).drop("to").sortWithinPartitions("chunk")
 
-    def _learn(self) -> None:
-        totals = self.totals
+        def meet(batches):
+            now, own, answers = None, None, []
+
+            def done():
+                chunk = _open(own)
+                yield work(chunk, own["doc_ids"], *chunk.received(answers))
 
-        def events(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    chunk = _open(row)
-                    words, pairs = chunk.received([(a["kind"], a["part"], a["counts"]) for a in row["answers"]])
-                    n = np.bincount(chunk.pair[chunk.fold == DELETED], minlength=len(chunk.pairs))
-                    live = np.flatnonzero(n)
-                    context = words[chunk.first[live], 0]
-                    pair = np.where(context > 0, pairs[live, 0] / np.maximum(context, 1), 0.0)
-                    word = words[chunk.second[live], 0] / max(1, totals.main_tokens)
-                    keys = np.column_stack((bucket_of(context), _steps(pair), _steps(word)))
-                    cells, place = np.unique(keys, axis=0, return_inverse=True)
-                    sums = np.bincount(place.ravel(), n[live], len(cells)).astype(np.int64)
-                    yield pa.record_batch({"bucket": cells[:, 0], "pair": cells[:, 1], "word": cells[:, 2], "n": sums})
+                    if row["chunk"] != now and own is not None:
+                        yield from done()
+                    if row["chunk"] != now:
+                        now, own, answers = row["chunk"], None, []
+                        give_back()
+                    if row["kind"] is None:
+                        own = row
+                    else:
+                        answers.append((row["kind"], row["part"], row["counts"]))
+            if own is not None:
+                yield from done()
+            own, answers = None, []
+            give_back()
+
+        return dealt.mapInArrow(meet, kinds)
+
+    def _learn(self) -> None:
+        totals = self.totals
+
+        def events(chunk, _, words, pairs):
+            n = np.bincount(chunk.pair[chunk.fold == DELETED], minlength=len(chunk.pairs))
+            live = np.flatnonzero(n)
+            context = words[chunk.first[live], 0]
+            pair = np.where(context > 0, pairs[live, 0] / np.maximum(context, 1), 0.0)
+            word = words[chunk.second[live], 0] / max(1, totals.main_tokens)
+            keys = np.column_stack((bucket_of(context), _steps(pair), _steps(word)))
+            cells, place = np.unique(keys, axis=0, return_inverse=True)
+            sums = np.bincount(place.ravel(), n[live], len(cells)).astype(np.int64)
+            return pa.record_batch({"bucket": cells[:, 0], "pair": cells[:, 1], "word": cells[:, 2], "n": sums})
 
         # A row for each cell of a fixed grid that occurs.
-        cells = self._answered().mapInArrow(events, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n"))
+        cells = self._with_answers(events, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n"))
         found = cells.orderBy("bucket", "pair", "word").toArrow()
         bucket, pair, word, n = (found[c].to_numpy() for c in ("bucket", "pair", "word", "n"))
         value = lambda steps: np.where(steps > 0, 0.0, 2.0 ** (steps / STEPS))
         self.weights = learn_weights(bucket, value(pair), value(word), 1 / (totals.words + 1), n.astype(np.float64))
         if not totals.tokens:
             self.weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-        release_shuffles(self.spark)
 
     def scores(self) -> DataFrame:
         """doc_id, fold, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
         totals, weights = self.totals, self.weights
 
-        def score(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    chunk = _open(row)
-                    words, pairs = (x.sum(axis=1) for x in chunk.received([(a["kind"], a["part"], a["counts"]) for a in row["answers"]]))
-                    context = words[chunk.first]
-                    w = weights[bucket_of(context)]
-                    p = w[:, 0] * pairs / np.maximum(context, 1) + w[:, 1] * words[chunk.second] / max(1, totals.tokens) + w[:, 2] / (totals.words + 1)
-                    base = np.log10((words + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))
-                    at, size = chunk.document, len(chunk.lengths)
-                    yield pa.record_batch({
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                        "fold": chunk.folds.astype(np.int32),
-                        "n_tokens": chunk.lengths.astype(np.int64),
-                        "n_known": np.bincount(at, words[chunk.tokens] > 0, size).astype(np.int64),
-                        "train_tokens": np.full(size, totals.tokens),
-                        "base_score": np.bincount(at, base[chunk.tokens], size),
-                        "score": np.bincount(at, np.log10(p)[chunk.pair], size),
-                    })
-
-        return self._answered().mapInArrow(score, "doc_id long, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        def score(chunk, doc_ids, words, pairs):
+            words, pairs = words.sum(axis=1), pairs.sum(axis=1)
+            context = words[chunk.first]
+            w = weights[bucket_of(context)]
+            p = w[:, 0] * pairs / np.maximum(context, 1) + w[:, 1] * words[chunk.second] / max(1, totals.tokens) + w[:, 2] / (totals.words + 1)
+            base = np.log10((words + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))
+            at, size = chunk.document, len(chunk.lengths)
+            return pa.record_batch({
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "fold": chunk.folds.astype(np.int32),
+                "n_tokens": chunk.lengths.astype(np.int64),
+                "n_known": np.bincount(at, words[chunk.tokens] > 0, size).astype(np.int64),
+                "train_tokens": np.full(size, totals.tokens),
+                "base_score": np.bincount(at, base[chunk.tokens], size),
+                "score": np.bincount(at, np.log10(p)[chunk.pair], size),
+            })
+
+        return self._with_answers(score, "doc_id long, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def interpolated_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remainder: Column) -> DataFrame:
@@ -343,7 +384,3 @@ def interpolated_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     fold = F.when(remainder == 0, HELD_OUT).when(remainder == 1, DELETED).otherwise(MAIN)
     found = InterpolatedModel(docs, fold, id_col=id_col, text_col=text_col).scores()
     return found.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def perplexity(score: float, tokens: int) -> float:
-    return math.inf if not tokens else 10 ** (-score / tokens)
