@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.runtime import Scratch, ascii_lower, new_name, prepare
+from intervale.llm.runtime import Scratch, ascii_lower, bit_filter, dropping_shuffles, exists, new_name, prepare
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SETTINGS = {
@@ -29,9 +29,6 @@ STATE_SETTINGS = {
     # A store leaves its executor's disk once its part is committed to the shared folder.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-#: Bits of the filter that keeps rows without a copy out of the byte comparison.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-
 
 def sha256_digest(normalised: Column) -> Column:
     return F.sha2(normalised.cast("binary"), 256)
@@ -54,48 +51,53 @@ class ExactDedup:
         text_col: str = "text",
         digest: Callable[[Column], Column] = sha256_digest,
         files_per_trigger: int = 4096,
+        folder: str | None = None,
         label: str = "exact",
     ):
         spark = prepare(docs.sparkSession)
         self.scratch = Scratch(spark, label)
+        self.home = folder.rstrip("/") if folder else self.scratch.root
         self.id_col, self.text_col, self.columns = id_col, text_col, docs.columns
         self.row, self.key = new_name("row", docs.columns), new_name("digest", docs.columns)
+        self._filter: Callable[[Column], Column] | None = None
         normalised = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-        landed = docs.withColumns({self.row: F.monotonically_increasing_id(), self.key: digest(normalised)})
-        self.landed = self.scratch.table(landed, "landed")
+        at, first = f"{self.home}/landed", 0
+        if exists(spark, at):  # rows of earlier calls keep their numbers
+            first = (spark.read.parquet(at).agg(F.max(self.row)).first()[0] or 0) + 1
+        landed = docs.withColumns({self.row: F.monotonically_increasing_id() + F.lit(first).cast("long"), self.key: digest(normalised)})
+        with dropping_shuffles(spark):
+            landed.write.mode("append").option("compression", "zstd").parquet(at)
+        self.landed = spark.read.schema(landed.schema).parquet(at)
         self.groups = self._fold(files_per_trigger)
 
     def _fold(self, files_per_trigger: int) -> DataFrame:
         """(digest, keep_id, keep_row, group_size) of digests with two rows or more."""
-        spark, scratch = self.landed.sparkSession, self.scratch
+        spark, home = self.landed.sparkSession, self.home
         fields = [self.landed.schema[c] for c in (self.key, self.id_col, self.row)]
         schema = type(self.landed.schema)(fields)
         arriving = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(scratch.path("landed"))
+            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{home}/landed")
             .select(F.col(self.key).alias("digest"), F.struct(F.col(self.id_col).alias("id"), F.col(self.row).alias("row")).alias("keeper"))
         )
         state = arriving.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.count("*").alias("group_size"))
 
         def put(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(scratch.path(f"state/epoch={epoch}"))
+            batch.write.mode("overwrite").parquet(f"{home}/state/epoch={epoch}")
 
         before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
         for k, v in STATE_SETTINGS.items():
             spark.conf.set(k, v)
         try:
-            query = (
-                state.writeStream.outputMode("update").foreachBatch(put)
-                .option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start()
-            )
+            query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{home}/stream").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        empty = spark.createDataFrame([], state.schema)
-        epochs = spark.read.schema(state.schema).parquet(scratch.path("state")) if query.lastProgress else empty
+        epochs = spark.read.schema(state.schema).parquet(f"{home}/state") if exists(spark, f"{home}/state") else spark.createDataFrame([], state.schema)
         # Keepers and sizes only grow, so the largest of each is the state's last word.
         latest = epochs.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
-        return latest.where("group_size > 1").select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.row").alias("keep_row"), "group_size")
+        groups = latest.where("group_size > 1").select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.row").alias("keep_row"), "group_size")
+        return self.scratch.table(groups, "groups")
 
     def _text(self, column: str) -> Column:
         return ascii_lower(F.coalesce(F.col(column), F.lit("")))
@@ -109,35 +111,17 @@ class ExactDedup:
         return self.scratch.table(differ.select("digest").distinct(), "collisions")
 
     def _may_have_copies(self) -> Column:
-        """True for every row whose digest has a group, and for few others.
-
-        One bit a hashed digest, in 2 to 8 bytes a group and 8 MB at most, so
-        that the texts of rows without copies aren't shuffled.  Beyond that
-        size the filter lets more rows through and the result is the same.
-        """
-        bits = LEAST_BITS
-        wanted = 16 * self.groups.count()
-        while bits < min(wanted, MOST_BITS):
-            bits *= 2
-
-        def place(digest: Column) -> Column:
-            return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-        words = self.groups.select(place(F.col("digest")).alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("bits")
-        )
-        whole = self.landed.sparkSession.range(bits // 32).select(F.col("id").alias("word")).join(words, "word", "left")
-        # Two levels, so that one task gathers rows of arrays instead of single words.
-        chunks = whole.groupBy(F.expr("word div 1024").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("words"))
-        filled = chunks.agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(chunk, words))), c -> transform(c.words, w -> w.bits))")).alias("bits"))
-        at = place(F.col(self.key))
-        word = F.get(filled.scalar(), (at / 32).cast("int"))
-        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))) != 0
+        """True for every row whose digest has a group, and for few others, so that the texts of the rest aren't shuffled."""
+        if self._filter is None:
+            self._filter = bit_filter(self.groups.select("digest"))
+        return self._filter(F.col(self.key))
 
     def result(self) -> DataFrame:
-        """The landed rows with keep_id, keep_row, group_size (as columns of one struct named by ``decision``)."""
-        self.groups = self.scratch.table(self.groups, "groups")
-        collided = self._collisions()
+        """The landed rows with a struct named by ``decision`` of keep_id, keep_row and group_size.
+
+        Only rows that may have a copy are joined with the state.
+        """
+        collided, maybe = self._collisions(), self._may_have_copies()
         self.decision = new_name("decision", self.columns)
         own = F.struct(F.col(self.id_col).alias("keep_id"), F.col(self.row).alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
 
@@ -146,15 +130,16 @@ class ExactDedup:
             joined = rows.join(groups.hint("merge"), self.key, "left")
             return joined.withColumn(self.decision, F.coalesce(self.decision, own))
 
+        alone, rest = self.landed.where(~maybe).withColumn(self.decision, own), self.landed.where(maybe)
         if collided.isEmpty():
-            return decide(self.landed, self.groups)
+            return alone.unionByName(decide(rest, self.groups))
         again = collided.select(F.col("digest").alias(self.key))
-        plain = decide(self.landed.join(again, self.key, "left_anti"), self.groups)
-        suspects = self.landed.join(again, self.key, "left_semi").withColumn(self.key, self._text(self.text_col))
+        plain = decide(rest.join(again, self.key, "left_anti"), self.groups)
+        suspects = rest.join(again, self.key, "left_semi").withColumn(self.key, self._text(self.text_col))
         keeper = F.max(F.struct(F.col(self.id_col).alias("id"), F.col(self.row).alias("row")))
         by_text = suspects.groupBy(F.col(self.key).alias("digest")).agg(keeper.alias("keeper"), F.count("*").alias("group_size"))
         by_text = by_text.select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.row").alias("keep_row"), "group_size")
-        return plain.unionByName(decide(suspects, by_text))
+        return alone.unionByName(plain).unionByName(decide(suspects, by_text))
 
     def kept(self) -> DataFrame:
         """The rows that stay, with the columns of the input."""
@@ -162,7 +147,10 @@ class ExactDedup:
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+
+    Rows that repeat an id keep a row each, of which the one that landed last can be kept.
+    """
     dedup = ExactDedup(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
     rows = dedup.result()
     decision = F.col(dedup.decision)
