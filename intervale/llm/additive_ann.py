@@ -3,7 +3,9 @@
 A vector is coded as the sum of one codeword from each of several full-
 dimensional codebooks.  The codebooks are fitted to residuals on a bounded
 sample and refined together by least squares; every vector is encoded by beam
-search and keeps its codes and the squared norm of their sum.  A query makes a
+search and keeps its codes and the squared norm of their sum.  All of this is
+on vectors less the sample's mean and over its spread, which leaves the order of
+distances as it is, so that single precision does for scores.  A query makes a
 table of its products with all codewords; a candidate's score is its norm less
 twice the sum of its codes' entries.  The best by score are ranked again by the
 exact distance on the original vectors.  Equal vectors are one class, coded and
@@ -11,7 +13,9 @@ scored once; a class stands for its rows with the smallest ids.
 
 Queries come in blocks of bounded size, each against all rows of the index;
 each task keeps its best for every query, so what moves is bounded by queries
-and tasks, not by pairs.
+and tasks, not by pairs.  The number ranked again grows with the square root of
+the table.  With ``exact``, all vectors are passed once more against each
+block, and whatever is nearer than the last one found joins in.
 """
 
 from __future__ import annotations
@@ -29,6 +33,25 @@ QUERY_BLOCK = 4096
 INDEX_CHUNK = 8192
 
 
+@dataclass(frozen=True)
+class Frame:
+    """Where vectors are seen from: scores take (x / unit - mean) / spread."""
+
+    unit: float
+    mean: np.ndarray
+    spread: float
+
+    @staticmethod
+    def of(sample: np.ndarray) -> Frame:
+        unit = float(np.abs(sample).max(initial=0.0)) or 1.0
+        x = sample / unit
+        mean = x.mean(axis=0)
+        return Frame(unit, mean, float(np.sqrt(((x - mean) ** 2).mean())) or 1.0)
+
+    def see(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x / self.unit - self.mean) / self.spread, -1e15, 1e15).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Codebooks:
     words: np.ndarray  # [books, size, dims] float32
@@ -136,13 +159,14 @@ class Index:
         if not len(drawn):
             drawn = self.vectors.select("row", "v").orderBy("row").limit(sample).toArrow()
         found = drawn["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dims)
-        self.model = fit_codebooks(found, books=books, size=min(size, len(found)))
-        shared = spark.sparkContext.broadcast(self.model)  # books x size x dims floats
+        self.frame = Frame.of(found)
+        self.model = fit_codebooks(self.frame.see(found), books=books, size=min(size, len(found)))
+        shared = spark.sparkContext.broadcast((self.model, self.frame))  # books x size x dims floats
 
         def encode(batches):
-            model = shared.value
+            model, frame = shared.value
             for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+                x = frame.see(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
                 for at in range(0, len(x), 1024):
                     codes, norm = model.encode(x[at : at + 1024], beam)
                     yield pa.record_batch({"row": batch.column(0)[at : at + 1024], "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norm, "vec_id": batch.column(2)[at : at + 1024]})
@@ -156,7 +180,7 @@ class Index:
     def _block(self, queries: list, keep: int) -> DataFrame:
         """(query_row, row): the best classes of the whole index by score, ties to the smaller vec_id, for a bounded list of (row, vector)."""
         own = np.array([r for r, _ in queries], dtype=np.int64)
-        shared = self.spark.sparkContext.broadcast((self.model, own, np.array([v for _, v in queries], dtype=np.float32)))
+        shared = self.spark.sparkContext.broadcast((self.model, own, self.frame.see(np.array([v for _, v in queries], dtype=np.float64))))
 
         def score(batches):
             model, own, q = shared.value
@@ -208,41 +232,97 @@ class Index:
         scored = self.codes.mapInArrow(score, "query_row long, rows binary, vec_ids binary, scores binary")
         return scored.repartition(parts, "query_row").mapInArrow(merge, "query_row long, row long")
 
-    def search(self, queries: DataFrame, *, k: int = 10, rerank: int = 1000) -> DataFrame:
+    def _distances(self, queries: list, pairs: DataFrame) -> DataFrame:
+        """(query_row, first, score) of pairs (query_row, row), exact, for the block's queries; each vector moves once."""
+        shared = self.spark.sparkContext.broadcast(({r: i for i, (r, _) in enumerate(queries)}, np.array([v for _, v in queries], dtype=np.float64)))
+
+        def measure(batches):
+            place, q = shared.value
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for i, (row, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                    who = asked.values.to_numpy(zero_copy_only=False)
+                    score = distances(q[[place[r] for r in who.tolist()]], v[i])
+                    yield pa.record_batch({"query_row": who, "first": np.full(len(who), row), "score": score})
+
+        wanted = pairs.groupBy("row").agg(F.collect_list("query_row").alias("asked"))  # at most a block of queries each
+        firsts = self.vectors.join(self.classes.select("row"), "row").select("row", "v")
+        return firsts.join(wanted, "row").select("row", "v", "asked").mapInArrow(measure, "query_row long, first long, score double")
+
+    def _nearer(self, queries: list, kth: dict[int, float]) -> DataFrame:
+        """(query_row, first, score) of all classes as near as each query's k-th so far, by a pass over all vectors."""
+        shared = self.spark.sparkContext.broadcast((np.array([r for r, _ in queries], dtype=np.int64), np.array([v for _, v in queries], dtype=np.float64), np.array([kth.get(r, np.inf) for r, _ in queries])))
+
+        def measure(batches):
+            rows, q, limit = shared.value
+            unit = max(float(np.abs(q).max(initial=0.0)), 1e-300)
+            scaled = q / unit
+            norms = (scaled**2).sum(axis=1)
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                ids = batch.column(0).to_numpy()
+                for at in range(0, len(v), 1024):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        some = v[at : at + 1024] / unit
+                        size = (some**2).sum(axis=1)[:, None] + norms
+                        squares = size - 2 * some @ scaled.T
+                        near = ~(squares > (limit / unit) ** 2 + 1e-9 * size)
+                    who, whose = np.nonzero(near)
+                    score = np.concatenate([distances(q[whose[i : i + 4096]], v[at + who[i : i + 4096]]) for i in range(0, len(who), 4096)] + [np.zeros(0)])
+                    held = score <= limit[whose]
+                    yield pa.record_batch({"query_row": rows[whose[held]], "first": ids[at + who[held]], "score": score[held]})
+
+        firsts = self.vectors.join(self.classes.select("row"), "row").select("row", "v")
+        return firsts.mapInArrow(measure, "query_row long, first long, score double")
+
+    def search(self, queries: DataFrame, *, k: int = 10, rerank: int | None = None, exact: bool = False) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found by exact Euclidean distance, ties to the smaller id.
 
         ``queries`` are rows of ``self.vectors``; a query's own row is no candidate.
+        ``rerank`` classes a query are measured, 1000 or four times the root of the
+        number of rows if not said; with ``exact`` nothing nearer is left out.
         """
         if not self.rows:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        if rerank is None:
+            rerank = max(1000, int(4 * self.rows**0.5))
         wanted = self.scratch.table(queries.select("row", "v"), "queries")
-        blocks, after = [], -1
+        scored, after = None, -1
         while True:
             block = [(r.row, r.v) for r in wanted.where(F.col("row") > after).orderBy("row").limit(QUERY_BLOCK).collect()]
             if not block:
                 break
             after = block[-1][0]
-            blocks.append(self.scratch.table(self._block(block, rerank + 1), f"found-{len(blocks)}"))
-        if not blocks:
+            name = f"scored-{after}"
+            found = self.scratch.table(self._distances(block, self._block(block, rerank + 1)), name)
+            if exact:
+                order = Window.partitionBy("query_row").orderBy("score", "first")
+                last = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k + 1)
+                kth = {r.query_row: r.score for r in last.select("query_row", "score").collect()}  # a row a query of the block
+                found = self.scratch.table(self._nearer(block, kth), f"exact-{after}")
+            scored = found if scored is None else scored.unionByName(found)
+        if scored is None:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        pairs = blocks[0]
-        for block in blocks[1:]:
-            pairs = pairs.unionByName(block)
-        firsts = self.vectors.join(self.classes.select("row"), "row").select(F.col("row").alias("first"), "v")
+        best = Window.partitionBy("query_row").orderBy("score", "first")
+        scored = scored.withColumn("kth", F.nth_value("score", k + 1).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("kth is null or score <= kth")
         within = Window.partitionBy("h1", "h2").orderBy("vec_id", "row")
         members = self.vectors.select("h1", "h2", "vec_id", "row").withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1)
         members = members.join(self.classes.select("h1", "h2", F.col("row").alias("first")), ["h1", "h2"]).select("first", "vec_id", "row")
-        asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        exact = F.expr("sqrt(aggregate(zip_with(q, v, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))")
-        scored = pairs.withColumnRenamed("row", "first").join(firsts, "first").join(asked, "query_row").select("query_row", "query_id", "first", exact.alias("score"))
-        best = Window.partitionBy("query_row").orderBy("score", "first")
-        scored = scored.withColumn("kth", F.nth_value("score", k + 1).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("kth is null or score <= kth")
-        ranked = scored.join(members, "first").where("row <> query_row").select("query_row", "query_id", "vec_id", "row", "score")
+        ranked = scored.join(members, "first").where("row <> query_row").select("query_row", "vec_id", "row", "score")
         order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
-        return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+        return ranked.join(asked, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, their squares summed from the first component on."""
+    with np.errstate(over="ignore"):
+        squares = (a - b) ** 2
+        return np.sqrt(np.add.accumulate(squares, axis=1)[:, -1]) if squares.shape[1] else np.zeros(len(squares))
 
 
-def nearest(table: DataFrame, *, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
+def nearest(table: DataFrame, *, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False, **options) -> DataFrame:
     """The k nearest rows of each row whose id is divisible by ``every``, among all rows."""
     index = Index(table, id_col=id_col, vector_col=vector_col, **options)
-    return index.search(index.vectors.where(F.col("vec_id") % every == 0), k=k)
+    return index.search(index.vectors.where(F.col("vec_id") % every == 0), k=k, exact=exact)
