@@ -11,9 +11,16 @@ finds every link exactly.
 
 Equal fingerprints form one class before any of this.  Anchors without a
 resident are known from a bitmap of 2 MB (2**24 anchors, whatever the input)
-and get no visitors.  An anchor with more residents than a cap is split by
-residents, with its visitors replicated to each part.  Each task reports only
-the components among the links it finds, not all pairs.
+and get no visitors.  An anchor with more residents than a cap is a grid of
+cells: its residents are dealt to rows, its visitors to columns.  A task reads
+a cell's residents and then its visitors in blocks, and reports only the
+components among the links it finds, not all pairs.
+
+Texts alike by a similarity of their shingles (``without_similar``) start from
+these links: fingerprints of 64 bits find the nearest copies, whose shingles
+are then compared.  No distance of 64 bits holds all pairs at a similarity of
+0.8 and no others, so the pairs beyond come from shared rare shingles, by which
+every such pair meets, and are compared in the same way.
 """
 
 from __future__ import annotations
@@ -25,12 +32,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.components import components
-from intervale.llm.runtime import Scratch, new_name, prepare, release_shuffles
+from intervale.llm.components import components, settle_pairs
+from intervale.llm.runtime import Scratch, bit_filter, give_back, new_name, prepare
+from intervale.llm.unit_store import as_bytes, parts
 
 SEED = 42
 CHUNK = 1 << 16
@@ -38,10 +47,10 @@ GOLAY = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 LENGTH, RADIUS = 23, 3
 MASK = (1 << LENGTH) - 1
 ANCHOR_BITS = 24
-#: An anchor with more residents is split; such anchors are so few that a list of them is bounded.
-RESIDENTS, HOT_LIST = 4096, 100_000
+#: An anchor with more residents is a grid, of so many rows at most; such anchors are so few that a list of them is bounded.
+RESIDENTS, HOT_LIST, MOST_ROWS = 32_768, 100_000, 1024
 PAIRS_AT_ONCE = 2_000_000
-ROWS_A_TASK = 1_000_000
+ROWS_A_TASK, ROWS_AT_ONCE = 1_000_000, 200_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -67,11 +76,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     """Signed 64-bit SimHash of the word shingles of a text; zero without words."""
     ones, n = np.zeros(64, dtype=np.int64), 0
     for hashes in shingle_hashes(text, width):
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        ones += ones_of(hashes)
         n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of some big-endian hashes have each bit set, the highest bit first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+
+
 def fingerprint_column(text: Column, width: int = 3) -> Column:
     def compute(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t, width) for t in texts.to_pylist()], type=pa.int64())
@@ -164,24 +178,6 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).astype(np.int64) & 0x7FFFFFFF
 
 
-def _settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, smallest node) of the components of the given pairs."""
-    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    out = label != np.arange(len(nodes))
-    return nodes[out], nodes[label[out]]
-
-
 def compare(keys: np.ndarray, prints: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links between each key's residents and visitors."""
     order = np.argsort(keys[home], kind="stable")
@@ -194,7 +190,7 @@ def compare(keys: np.ndarray, prints: np.ndarray, home: np.ndarray, distance: in
     held = 0
 
     def settle() -> None:
-        u, v = _settle(np.concatenate(found_u), np.concatenate(found_v))
+        u, v = settle_pairs(np.concatenate(found_u), np.concatenate(found_v))
         found_u[:], found_v[:] = [u], [v]
 
     cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right")
@@ -234,7 +230,7 @@ def linked_classes(classes: DataFrame, distance: int, scratch: Scratch) -> DataF
     total = int(words["n"].to_numpy().sum()) if len(words) else 0
     cap = max(RESIDENTS, -(-total // HOT_LIST))
     most = int(words["most"].to_numpy().max()) if len(words) else 0
-    hot = {r.anchor: -(-r.n // cap) for r in per.where(F.col("n") > cap).collect()} if most > cap else {}
+    hot = {r.anchor: min(MOST_ROWS, -(-r.n // cap)) for r in per.where(F.col("n") > cap).collect()} if most > cap else {}
     shared = spark.sparkContext.broadcast((resident.tobytes(), hot))  # 2 MB and at most HOT_LIST anchors
 
     def replicate(batches):
@@ -250,29 +246,49 @@ def linked_classes(classes: DataFrame, distance: int, scratch: Scratch) -> DataF
                 out = np.where(hot_keys[at] == anchor, parts_of[at], out)
             return out
 
-        def rows(key, prints, home):
-            return pa.record_batch({"key": key, "fp": prints, "home": np.full(len(key), home)})
+        def cells(anchor, prints, home):
+            n = parts(anchor)
+            own = np.repeat(_mix(prints if home else ~prints) % n, n)  # a resident's row or a visitor's column
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            size = np.repeat(n, n)
+            cell = own * size + other if home else other * size + own
+            return pa.record_batch({"key": np.repeat(anchor, n) << 20 | cell, "fp": np.repeat(prints, n), "home": np.full(len(cell), home)})
 
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(every), 4000):
                 prints = every[at : at + 4000]
-                anchor = homes(prints)
-                yield rows(anchor << 20 | _mix(prints) % parts(anchor), prints, True)
+                yield cells(homes(prints), prints, True)
                 who, anchor = visits(prints, distance, resident)
-                n = parts(anchor)
-                sub = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                yield rows(np.repeat(anchor, n) << 20 | sub, np.repeat(prints[who], n), False)
+                yield cells(anchor, prints[who], False)
 
     def meet(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-        if got:
-            u, v = compare(*(np.concatenate(x) for x in zip(*got, strict=True)), distance)
-            yield pa.record_batch({"u": u, "v": v})
+        """Rows come by key, residents before visitors; those of a key that goes on are kept for the next block."""
+        kept, held, n = [np.zeros(0, np.int64)] * 2, [], 0
+
+        def block():
+            key, prints, home = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, prints = np.concatenate((kept[0], key)), np.concatenate((kept[1], prints))
+            home = np.concatenate((np.ones(len(kept[0]), bool), home))
+            u, v = compare(key, prints, home, distance)
+            last = home & (key == key[-1])
+            kept[:] = key[last], prints[last]
+            return pa.record_batch({"u": u, "v": v})
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)))
+                n += b.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield block()
+                held, n = [], 0
+        if held:
+            yield block()
 
     occupied = int(np.bitwise_count(bitmap).sum()) / (1 << ANCHOR_BITS)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1 + 70 * occupied)) // ROWS_A_TASK)
-    met = classes.select("fp").mapInArrow(replicate, "key long, fp long, home boolean").repartition(tasks, "key").mapInArrow(meet, "u long, v long")
+    dealt = classes.select("fp").mapInArrow(replicate, "key long, fp long, home boolean").repartition(tasks, "key")
+    met = dealt.sortWithinPartitions("key", F.desc("home")).mapInArrow(meet, "u long, v long")
     return components(met, scratch, "linked")
 
 
@@ -322,69 +338,104 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return landed.join(keepers, fp, "left").where(F.col(keeper).isNull() | (F.col(keeper) == F.col(row))).select(*docs.columns)
 
 
-# ---------------------------------------------------------------- long fingerprints
-
-FAMILIES = 32
-_spread = np.uint64(0x0101010101010101)
-
-
-def long_fingerprint(text: bytes | None, width: int, families: int = FAMILIES) -> bytes:
-    """That many 64-bit SimHashes, each of an own mixing of the same shingle hashes; zeros without words."""
-    salts = (np.arange(1, families + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    ones, n = np.zeros((families, 64), dtype=np.int64), 0
-    for chunk in shingle_hashes(text, width):
-        for at in range(0, len(chunk), 255 * 16):
-            x = chunk[at : at + 255 * 16].astype(np.uint64)[:, None] ^ salts
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-            if len(x) % 255:
-                x = np.concatenate((x, np.zeros((-len(x) % 255, families), dtype=np.uint64)))
-            x = x.reshape(-1, 255, families)
-            for bit in range(8):  # eight counters of a byte in one word; 255 summands at most
-                sums = ((x >> np.uint64(bit)) & _spread).sum(axis=1, dtype=np.uint64)
-                ones[:, bit::8] += np.ascontiguousarray(sums).view(np.uint8).reshape(len(sums), families, 8).sum(axis=0, dtype=np.int64)
-        n += len(chunk)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
-
-
 # ---------------------------------------------------------------- similar shingle sets
 
 #: The order of shingles takes counts from about so many texts, and keeps at most so many of the most common.
 SAMPLE_TEXTS, MOST_COMMON = 20_000, 1 << 18
 #: Pairs of different components are all compared once they are at most so many an entry (or in all); before that, after
 #: at most so many rounds, each key's texts are compared with one of them.
-PAIRS_AN_ENTRY, FEW_PAIRS, STAR_ROUNDS = 1, 100_000, 3
-BITMAP_BITS = 24
+PAIRS_AN_ENTRY, FEW_PAIRS, STAR_ROUNDS = 1, 100_000, 1
+#: Classes of shingles whose parities rule out pairs that differ in too many.
+PARITIES = 512
+#: Sets that share a shingle, up to which all their pairs are candidates at once.
+FEW_SETS = 4
+#: A key with more entries is a grid of blocks of about so many, of which any two meet in a cell of their own.
+ENTRIES_A_BLOCK = 20_000
+PART_BYTES = 4 << 20
+
+
+def _fold(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (state ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles_of(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """For each UTF-8 text (binary) the 64-bit hashes of its word shingles in order, repeats included; A-Z lower-cased."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    flat, begin = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at either end gives empty words
+    coded = flat.dictionary_encode()
+    distinct = as_bytes(coded.dictionary)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+    word = hashes[coded.indices.to_numpy()[real]]
+    ends = np.concatenate(([0], np.cumsum(real)))[begin]
+    seed = np.full(len(word), SEED, np.uint64)
+    whole = seed[: max(0, len(word) - width + 1)]
+    for k in range(width):
+        whole = _fold(whole, word[k : k + len(whole)])
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(whole[a : b - width + 1])
+        else:  # the whole sequence; nothing without words
+            one = seed[a : a + 1]
+            for k in range(a, b):
+                one = _fold(one, word[k : k + 1])
+            out.append(one)
+    return out
 
 
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The different shingle hashes of a text, ascending."""
-    found = [chunk.astype(np.uint64) for chunk in shingle_hashes(text, width)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def set_column(spark: SparkSession, text: Column, width: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """struct<cid, n, fp, keys, odd>: 64 bits of a digest of the shingle set, its size, the SimHash of all shingles, a prefix and parities.
 
+    With the shingles of every set in one order, rare ones first, two sets of
+    that Jaccard similarity share one of the first n - ceil(share * n) + 1,
+    which are the prefix.  ``odd`` has a bit for each of PARITIES classes of
+    shingles, set if the set has an odd number of them: two sets differ in as
+    many shingles as bits at least.  All zero and empty without words.
+    """
+    shared = spark.sparkContext.broadcast(common)  # at most MOST_COMMON
 
-def set_column(text: Column, width: int) -> Column:
-    """struct<cid, n>: 64 bits of a digest of the shingle set, and its size; zeros without words."""
+    def one(shingles: np.ndarray) -> tuple[int, int, int, bytes, bytes]:
+        if not len(shingles):
+            return 0, 0, 0, b"", bytes(PARITIES // 8)
+        hashes, counts = shared.value
+        s = np.unique(shingles)
+        cid = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes(), SEED), "big", signed=True)
+        ones = sum(ones_of(shingles[at : at + CHUNK].astype(">u8")).astype(np.int64) for at in range(0, len(shingles), CHUNK))
+        fp = int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
+        weight = np.zeros(len(s), np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+            weight = np.where(hashes[at] == s, counts[at], 0)
+        length = len(s) - -(-share.numerator * len(s) // share.denominator) + 1
+        odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+        return cid, len(s), fp, s[np.lexsort((s, weight))[:length]].tobytes(), np.packbits(odd.astype(bool)).tobytes()
 
     def compute(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, width) for t in texts.to_pylist()]
-        cids = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes(), SEED), "big", signed=True) if len(s) else 0 for s in sets]
-        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["cid", "n"])
+        rows = [one(x) for part in parts(texts.fill_null(b""), PART_BYTES) for x in shingles_of(part, width)]
+        give_back()
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cid", "n", "fp", "keys", "odd"])
 
     compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(compute, "cid long, n long")(text.cast("binary"))
+    return F.arrow_udf(compute, "cid long, n long, fp long, keys binary, odd binary")(text.cast("binary"))
 
 
-def common_shingles(landed: DataFrame, rows: int, scratch: Scratch, *, text_col: str, row: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, scratch: Scratch, *, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the most common shingles of a sample; they only order what is compared exactly."""
 
     def hashes(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.record_batch({"h": shingle_set(text, width).view(np.int64)})
+            for part in parts(batch.column(0), PART_BYTES):
+                for s in shingles_of(part, width):
+                    yield pa.record_batch({"h": np.unique(s).view(np.int64)})
+            give_back()
 
-    place = F.pmod(F.xxhash64(F.col(row)), F.lit(1 << 40))
-    some = landed.where(place <= min(1 << 40, (SAMPLE_TEXTS << 40) // max(1, rows))).select(F.col(text_col).cast("binary"))
+    place = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40))
+    some = docs.where(F.col(text_col).isNotNull() & (place <= min(1 << 40, (SAMPLE_TEXTS << 40) // max(1, docs.count())))).select(F.col(text_col).cast("binary"))
     counts = scratch.table(some.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2"), "common")
     least, held = 1 << 62, 0
     for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():  # one row a count, of a bounded sample
@@ -398,43 +449,48 @@ def common_shingles(landed: DataFrame, rows: int, scratch: Scratch, *, text_col:
     return h[order], c[order]
 
 
-def shared_prefixes(landed: DataFrame, common, rows: int, *, text_col: str, width: int, share: Fraction) -> DataFrame:
-    """(key, cid, n, pos) of the shingles of prefixes that two or more sets share.
+def _may_be_similar(share: Fraction, n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and places allow it: at the first shingle two sets share, no more can follow than is left of either."""
+    p, q = share.numerator, share.denominator
+    left = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
+    return (left * (p + q) >= p * (n[x] + n[y])) & (np.minimum(n[x], n[y]) * q >= p * np.maximum(n[x], n[y]))
 
-    With the shingles of every set in one order, rare ones first, two sets of
-    that Jaccard similarity share one of the first n - ceil(share * n) + 1.
+
+def shared_prefixes(sets: DataFrame, rows: int, common: tuple[np.ndarray, np.ndarray], share: Fraction) -> DataFrame:
+    """(cid, n, keys) -> (key, cid, n, pos, other) of the shingles of prefixes that two or more sets share.
+
+    A shingle that few sets share gives their pairs (cid, other); any other one
+    gives its entries, without another.  Entries of a common shingle are dealt
+    out by set as well, and all stay.
     """
-    spark = landed.sparkSession
+    spark = sets.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 100 // ROWS_A_TASK)
-    shared = spark.sparkContext.broadcast(common)  # at most MOST_COMMON
+    shared = spark.sparkContext.broadcast(common[0])  # at most MOST_COMMON
     kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
+    def is_common(keys: np.ndarray) -> np.ndarray:
+        hashes = shared.value
+        return hashes[np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)] == keys if len(hashes) else np.zeros(len(keys), bool)
+
     def prefixes(batches):
-        hashes, counts = shared.value
         for batch in batches:
             found, seen = [np.empty(0, kind)], set()
-            for text, cid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cid, n, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cid in seen:
                     continue
                 seen.add(cid)
-                s = shingle_set(text, width)
-                if not len(s):
-                    continue
-                weight = np.zeros(len(s), np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    weight = np.where(hashes[at] == s, counts[at], 0)
-                length = len(s) - -(-share.numerator * len(s) // share.denominator) + 1
-                keys = s[np.lexsort((s, weight))[:length]]
+                keys = np.frombuffer(keys, "<u8")
                 entry = np.empty(len(keys), kind)
-                entry["key"], entry["cid"], entry["n"], entry["pos"] = keys, cid, len(s), np.arange(len(keys))
+                entry["key"], entry["cid"], entry["n"], entry["pos"] = keys, cid, n, np.arange(len(keys))
                 found.append(entry)
             entries = np.concatenate(found)
-            part = _mix(entries["key"].view(np.int64)) % tasks
+            salt = np.where(is_common(entries["key"]), _mix(entries["cid"]), 0)
+            part = _mix(entries["key"].view(np.int64) ^ salt) % tasks
             order = np.argsort(part, kind="stable")
             entries, (parts, starts) = entries[order], np.unique(part[order], return_index=True)
             spans = itertools.pairwise([*starts.tolist(), len(entries)])
             yield pa.record_batch({"part": parts.astype(np.int32), "entries": pa.array([entries[a:b].tobytes() for a, b in spans], pa.binary())})
+        give_back()
 
     def meet(batches):
         got = [np.frombuffer(x, kind) for b in batches for x in b.column(1).to_pylist()]
@@ -445,38 +501,55 @@ def shared_prefixes(landed: DataFrame, common, rows: int, *, text_col: str, widt
         entries = entries[np.lexsort((entries["cid"], entries["key"]))]
         key, cid = entries["key"], entries["cid"]
         entries = entries[np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))]  # each set once a key
-        same = entries["key"][1:] == entries["key"][:-1]
-        entries = entries[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        for at in range(0, len(entries), 100_000):
-            x = entries[at : at + 100_000]
-            yield pa.record_batch({"key": np.ascontiguousarray(x["key"]).view(np.int64), "cid": np.ascontiguousarray(x["cid"]), "n": np.ascontiguousarray(x["n"]), "pos": np.ascontiguousarray(x["pos"])})
-
-    dealt = landed.select(F.col(text_col).cast("binary"), "cid").mapInArrow(prefixes, "part int, entries binary").repartitionById(tasks, F.col("part"))
-    return dealt.mapInArrow(meet, "key long, cid long, n int, pos int")
-
-
-def candidate_pairs(entries: DataFrame, share: Fraction, turn: int | None) -> DataFrame:
-    """(u, v) of entries (key, cid, n, pos, root) of one key and different roots that may be similar.
+        key, cid, n, pos = (np.ascontiguousarray(entries[c]).astype(np.int64) for c in ("key", "cid", "n", "pos"))
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.repeat(np.diff([*starts.tolist(), len(key)]), np.diff([*starts.tolist(), len(key)]))
+        dealt_out = is_common(entries["key"])
+        few, pairs = (size > 1) & (size <= FEW_SETS) & ~dealt_out, [np.empty((0, 2), np.int64)]
+        for step in range(1, FEW_SETS):
+            x = np.flatnonzero(few[:-step] & (key[step:] == key[:-step]))
+            x = x[_may_be_similar(share, n, pos, x, x + step)]
+            pairs.append(np.column_stack((np.minimum(cid[x], cid[x + step]), np.maximum(cid[x], cid[x + step]))))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        for at in range(0, len(found), 100_000):
+            x = found[at : at + 100_000]
+            yield pa.record_batch([pa.nulls(len(x), pa.int64()), pa.array(x[:, 0].copy()), *[pa.nulls(len(x), pa.int64())] * 2, pa.array(x[:, 1].copy())], ["key", "cid", "n", "pos", "other"])
+        many = np.flatnonzero((size > FEW_SETS) | dealt_out)
+        for at in range(0, len(many), 100_000):
+            x = many[at : at + 100_000]
+            yield pa.record_batch([pa.array(key[x]), pa.array(cid[x]), pa.array(n[x]), pa.array(pos[x]), pa.nulls(len(x), pa.int64())], ["key", "cid", "n", "pos", "other"])
+        give_back()
+
+    dealt = sets.select("cid", "n", "keys").mapInArrow(prefixes, "part int, entries binary").repartitionById(tasks, F.col("part"))
+    return dealt.mapInArrow(meet, "key long, cid long, n long, pos long, other long")
+
+
+def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: int | None) -> DataFrame:
+    """(u, v) of entries (key, cid, n, pos, root, odd) of one key and different roots that may be similar.
 
     With a turn, each key's entries are paired with one of them, another one
-    each turn; without, all with all.  Only pairs that sizes and places rule out
-    are left out: at the first shingle two sets share, no more can follow than is
-    left of either.
+    each turn; without, all with all.  A key of ``hot`` (key, blocks) is dealt to
+    blocks: with a turn each is on its own, without every two meet.  Only pairs
+    that sizes, places or parities rule out are left out: sets of that similarity
+    differ in at most (1 - share) / (1 + share) of their sizes' sum.
     """
     spark = entries.sparkSession
-    p, q = share.numerator, share.denominator
 
     def pair(batches):
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        got = [[c.to_numpy() for c in b.columns[:-1]] + [np.frombuffer(b"".join(b.columns[-1].to_pylist()), "<u8").reshape(b.num_rows, -1)] for b in batches if b.num_rows]
         if not got:
             return
-        key, cid, n, pos, root = (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True))
-        order = np.lexsort((_mix(cid + (turn or 0)), key))
-        key, cid, n, pos, root = (x[order] for x in (key, cid, n, pos, root))
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        first = np.repeat(starts, np.diff([*starts.tolist(), len(key)]))
-        # Each entry comes after ``count`` entries of its key that it meets.
+        *numbers, odd = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, cid, n, pos, root, low, high, block = (x.astype(np.int64) for x in numbers)
+        order = np.lexsort((_mix(cid + (turn or 0)), block, high, low, key))
+        key, cid, n, pos, root, low, high, block, odd = (x[order] for x in (key, cid, n, pos, root, low, high, block, odd))
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+        sizes = np.diff([*starts.tolist(), len(key)])
+        first = np.repeat(starts, sizes)
+        # Each entry comes after ``count`` entries of its key that it meets: all before it, or all of the other block.
         count = np.arange(len(key)) - first
+        lower = np.repeat(np.add.reduceat((block == low).astype(np.int64), starts), sizes)
+        count = np.where(low == high, count, np.where(block == high, lower, 0))
         if turn is not None:
             count = np.minimum(count, 1)
         held = np.empty((0, 2), np.int64)
@@ -485,17 +558,24 @@ def candidate_pairs(entries: DataFrame, share: Fraction, turn: int | None) -> Da
             c = count[a:b]
             y = np.repeat(np.arange(a, b), c)
             x = np.repeat(first[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            left = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
-            fits = (root[x] != root[y]) & (left * (p + q) >= p * (n[x] + n[y])) & (np.minimum(n[x], n[y]) * q >= p * np.maximum(n[x], n[y]))
+            fits = (root[x] != root[y]) & _may_be_similar(share, n, pos, x, y)
+            x, y = x[fits], y[fits]
+            near = [np.bitwise_count(odd[x[i : i + CHUNK]] ^ odd[y[i : i + CHUNK]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), CHUNK)]
+            fits = np.concatenate([*near, np.zeros(0, np.int64)]) * (share.denominator + share.numerator) <= (n[x] + n[y]) * (share.denominator - share.numerator)
             x, y = cid[x[fits]], cid[y[fits]]
             held = np.unique(np.concatenate((held, np.column_stack((np.minimum(x, y), np.maximum(x, y))))), axis=0)
             if len(held) > PAIRS_AT_ONCE:
                 yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
                 held = held[:0]
         yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
+        give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.select("key", "cid", "n", "pos", "root").repartition(parts, "key").mapInArrow(pair, "u long, v long").distinct()
+    dealt = entries.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    others = F.array("block") if turn is not None else F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).select("key", "cid", "n", "pos", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "odd")
+    return dealt.repartition(parts, "key", "low", "high").mapInArrow(pair, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
@@ -505,106 +585,121 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     def check(batches):
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 near.append(common * q >= p * (len(both) - common))
             near = pa.array(near, pa.bool_())
             yield pa.record_batch({"u": batch.column(0).filter(near), "v": batch.column(1).filter(near)})
+        give_back()
 
     u, v = sets.select(F.col("cid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("v"), F.col("shingles").alias("y"))
     return pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
-def sets_of(landed: DataFrame, wanted: DataFrame, *, text_col: str, row: str, width: int) -> DataFrame:
-    """(cid, shingles) of the wanted rows (keeper), and of few others that a bitmap takes for them."""
-    spark = landed.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
-    words = wanted.select(bit(F.col("keeper")).alias("b")).groupBy(F.expr("shiftright(b, 5)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 5), dtype="<u4")
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bitmap)  # 2 MB
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(text, row, cid) -> (cid, shingles) of the wanted rows (keeper), and of few others that a filter takes for them."""
 
-    def marked(bits: pa.Array) -> pa.Array:
-        b = bits.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1)
+    def shingles(batches):
+        for batch in batches:
+            at = 0
+            for part in parts(batch.column(1).fill_null(b""), PART_BYTES):
+                sets = [np.unique(s).tobytes() for s in shingles_of(part, width)]
+                yield pa.record_batch({"cid": batch.column(0).slice(at, len(part)), "shingles": pa.array(sets, pa.binary())})
+                at += len(part)
+            give_back()
 
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, width).tobytes() for t in texts.to_pylist()], pa.binary())
+    some = rows.where(bit_filter(wanted)(F.col("row")))
+    return some.select("cid", F.col("text").cast("binary")).mapInArrow(shingles, "cid long, shingles binary")
 
-    marked.__annotations__ = {"bits": pa.Array, "return": pa.Array}
-    shingles.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    some = landed.where(F.arrow_udf(marked, "boolean")(bit(F.col(row))))
-    return some.select("cid", F.arrow_udf(shingles, "binary")(F.col(text_col).cast("binary")).alias("shingles"))
 
+def near_prints(classes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(u, v): each class of texts (cid, fp) with one of those whose fingerprints are near by the covering code."""
+    roots = linked_classes(classes.select("fp").distinct(), distance, scratch)
+    grouped = classes.join(roots, classes.fp == roots.node, "left").select("cid", F.coalesce("root", "fp").alias("g"))
+    firsts = grouped.groupBy("g").agg(F.min("cid").alias("first"), F.count("*").alias("c")).where("c > 1").select("g", "first")
+    return grouped.join(firsts, "g").where("cid <> first").select(F.least("cid", "first").alias("u"), F.greatest("cid", "first").alias("v"))
 
-def similar_roots(entries: DataFrame, sets: Callable[[DataFrame], DataFrame], scratch: Scratch, share: Fraction) -> DataFrame | None:
-    """(node, root) of the sets that link with another; None without an entry.  ``sets`` gives those of (cid).
 
-    Texts of one component need no comparison.  So each key's are first compared
-    with one of them, which joins large groups by few pairs, until the pairs left
-    over are few; these are then all compared.
+def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets: Callable[[DataFrame], DataFrame], scratch: Scratch, share: Fraction) -> DataFrame:
+    """(node, root) of the sets that link with another.  ``sets`` gives those of (cid), ``classes`` their parities (cid, odd).
+
+    First the pairs ``near`` (u, v) and those of shingles that few sets share are
+    compared, then the entries of all other shingles.  Texts of one component
+    need no comparison.  So each key's are first compared with one of them, which
+    joins large groups by few pairs, until the pairs left over are few; these are
+    then all compared.
     """
+    links, roots, done = None, None, None
+
+    def compare_pairs(pairs: DataFrame, name: str) -> None:
+        nonlocal links, roots, done
+        pairs = scratch.table(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), f"pairs-{name}")
+        done = pairs if done is None else done.unionByName(pairs)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
+        held = scratch.table(sets(ends), f"sets-{name}")
+        found = scratch.table(confirmed(pairs, held, share), f"links-{name}")
+        scratch.free(f"sets-{name}")
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.table(components(links, scratch, f"similar-{name}"), f"roots-{name}")
+
+    few = entries.where("other is not null").select(F.col("cid").alias("u"), F.col("other").alias("v"))
+    compare_pairs(near.unionByName(few).distinct(), "few")
+    entries = scratch.table(entries.where("other is null").drop("other").join(classes.select("cid", "odd"), "cid"), "many")
     total = entries.count()
     if not total:
-        return None
-    now, links, roots, done = entries.withColumn("root", F.col("cid")), None, None, None
+        return roots
+    hot = entries.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > ENTRIES_A_BLOCK).select("key", F.ceil(F.col("c") / ENTRIES_A_BLOCK).alias("blocks"))
+    hot = scratch.table(hot, "hot")
     for turn in range(STAR_ROUNDS + 1):
+        labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("to"))
+        now = scratch.table(entries.join(labels, "cid", "left").select("key", "cid", "n", "pos", "odd", F.coalesce("to", "cid").alias("root")), f"entries-{turn}")
+        if turn:
+            scratch.free(f"entries-{turn - 1}")
         alike = now.groupBy("key", "root").agg(F.count("*").alias("c"))
         left = alike.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
         last = left <= max(FEW_PAIRS, PAIRS_AN_ENTRY * total) or turn == STAR_ROUNDS
-        pairs = candidate_pairs(now, share, None if last else turn)
-        pairs = scratch.table(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), f"pairs-{turn}")
-        done = pairs if done is None else done.unionByName(pairs)
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-        held = scratch.table(sets(ends), f"sets-{turn}")
-        found = scratch.table(confirmed(pairs, held, share), f"links-{turn}")
-        scratch.free(f"sets-{turn}")
-        release_shuffles(entries.sparkSession)
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.table(components(links, scratch, f"similar-{turn}"), f"roots-{turn}")
+        compare_pairs(candidate_pairs(now, hot, share, None if last else turn), str(turn))
         if last:
             break
-        labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("to"))
-        now = scratch.table(entries.join(labels, "cid", "left").select("key", "cid", "n", "pos", F.coalesce("to", "cid").alias("root")), f"entries-{turn}")
     return roots
 
 
-def without_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, label: str = "similar") -> DataFrame:
+def without_similar(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 3, label: str = "similar"
+) -> DataFrame:
     """One row of each group of texts whose word shingles are alike, with the columns of the input.
 
     Groups are components of all pairs whose sets of shingles have that Jaccard
-    similarity or more.  Of a group the smallest id stays; null ids come after
-    all others; rows that repeat an id, the first that landed.  Wordless texts
-    are one group.
+    similarity or more; fingerprints within ``distance`` bits are compared first.
+    Of a group the smallest id stays; null ids come after all others; rows that
+    repeat an id, the first that landed.  Null, empty and wordless texts are one
+    group.  An empty table gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     scratch, share = Scratch(spark, label), Fraction(similarity).limit_denominator(10_000)
     row, mark = new_name("row", docs.columns), new_name("set", docs.columns)
-    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), mark: set_column(F.col(text_col), width)}), "landed")
+    common = common_shingles(docs, scratch, text_col=text_col, width=width)
+    landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), mark: set_column(spark, F.col(text_col), width, share, common)}), "landed")
     rank = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    marked = landed.select(F.col(f"{mark}.cid").alias("cid"), rank.alias("rank"))
-    classes = scratch.table(marked.groupBy("cid").agg(F.min("rank").alias("least"), F.count("*").alias("n")), "classes")
-    rows = landed.count()
-    texts = landed.select(F.col(text_col), F.col(row), F.col(f"{mark}.cid").alias("cid"))
-    common = common_shingles(texts, rows, scratch, text_col=text_col, row=row, width=width)
-    entries = scratch.table(shared_prefixes(texts, common, rows, text_col=text_col, width=width, share=share), "entries")
-    release_shuffles(spark)
+    marked = landed.select(*[F.col(f"{mark}.{c}").alias(c) for c in ("cid", "fp", "odd")], rank.alias("rank"))
+    classes = scratch.table(marked.groupBy("cid").agg(F.min("rank").alias("least"), F.min("fp").alias("fp"), F.first("odd").alias("odd"), F.count("*").alias("n")), "classes")
+    rows = landed.select(F.col(text_col).alias("text"), F.col(row).alias("row"), F.col(f"{mark}.cid").alias("cid"))
 
     def sets(ends: DataFrame) -> DataFrame:
-        wanted = ends.join(classes, "cid").select(F.col("least.row").alias("keeper"))
-        return sets_of(texts, wanted, text_col=text_col, row=row, width=width)
-
-    roots = similar_roots(entries, sets, scratch, share)
-    if roots is None:
-        labelled = classes.select("cid", "n", "least", F.col("cid").alias("root"))
-    else:
-        labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
+        return sets_of(rows, ends.join(classes, "cid").select(F.col("least.row").alias("keeper")), width)
+
+    near = near_prints(classes, distance, scratch)
+    entries = scratch.table(shared_prefixes(landed.select(f"{mark}.*"), landed.count(), common, share), "entries")
+    roots = similar_roots(entries, near, classes, sets, scratch, share)
+    labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
     keepers = labelled.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1").select("root", F.col("keeper.row").alias("keeper"))
     by_set = labelled.select("cid", "root").join(keepers, "root").select("cid", "keeper")
-    lost = texts.select("cid", F.col(row).alias("row")).join(by_set, "cid").where("row <> keeper").select("row")
-    lost = scratch.table(lost, "lost")
-    return landed.join(lost.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    lost = scratch.table(rows.select("cid", "row").join(by_set, "cid").where("row <> keeper").select("row"), "lost")
+    scratch.free("entries", "many")
+    may_go = bit_filter(lost)(F.col(row))  # the texts of all other rows aren't shuffled
+    stay = landed.where(may_go).join(lost.select(F.col("row").alias(row)), row, "left_anti")
+    return landed.where(~may_go).select(*docs.columns).unionByName(stay.select(*docs.columns))
