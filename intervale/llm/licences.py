@@ -12,14 +12,14 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm.licence_texts import KNOWN_TEXTS, full_texts
 from intervale.llm.runtime import prepare
 
-#: Known licences are joined by broadcast up to so many bytes of text.
-MOST_KNOWN_BYTES = 64 << 20
+#: Known digests, of about 100 bytes each, are joined by broadcast up to so many.
+MOST_KNOWN = 500_000
 
 # Spellings that the SPDX matching guidelines hold to be equal, each to its first form.
 SPELLINGS = """
@@ -103,21 +103,34 @@ def digest_column(text: Column) -> Column:
     return F.arrow_udf(compute, "string")(text)
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, canonical_sha256, licence (null where no known text is equal).
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(canonical_sha256, licence) of known texts; of equal canonical texts the first name, and none for texts without a word.
 
-    ``known`` is (name, text) pairs; of equal canonical texts the first name
-    counts, and texts without a word match nothing.  Null counts as empty;
-    repeated rows keep a row each.
+    ``known`` is (name, text) pairs, first come first, or a table (licence, text)
+    of any size, of which the least name counts; else the texts of this package.
     """
-    spark = prepare(docs.sparkSession)
+    if isinstance(known, DataFrame):
+        prepare(spark)
+        none = digest("")
+        rows = known.select("licence", digest_column(F.col("text")).alias("canonical_sha256")).where(F.col("licence").isNotNull() & (F.col("canonical_sha256") != none))
+        return rows.groupBy("canonical_sha256").agg(F.min("licence").alias("licence"))
     names: dict[str, str] = {}
-    pairs = KNOWN_TEXTS + full_texts() if known is None else known
-    for name, text in pairs:
+    for name, text in KNOWN_TEXTS + full_texts() if known is None else known:
         if canonical(text):
             names.setdefault(digest(text), name)
-    table = spark.createDataFrame(sorted(names.items()), "canonical_sha256 string, licence string")
-    if sum(len(t) for _, t in pairs) <= MOST_KNOWN_BYTES:
+    return spark.createDataFrame(sorted(names.items()), "canonical_sha256 string, licence string")
+
+
+def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, canonical_sha256, licence (null where no known text is equal).
+
+    See ``known_digests`` for what is known; a list of it is bounded by the
+    driver's memory and joined by broadcast up to MOST_KNOWN digests.  Null
+    counts as empty and is no licence; repeated rows keep a row each.
+    """
+    spark = prepare(docs.sparkSession)
+    table = known_digests(spark, known)
+    if not isinstance(known, DataFrame) and table.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN:
         table = F.broadcast(table)
     found = docs.select(F.col(id_col).alias("doc_id"), digest_column(F.col(text_col)).alias("canonical_sha256"))
     return found.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "licence")

@@ -27,6 +27,8 @@ from intervale.llm.runtime import Scratch, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 60
+#: Sources that a mixture can have; a row of counts for each comes to the driver, and one of the plan goes back.
+MOST_SOURCES = 100_000
 #: Rows of divided blocks, at most about ``block_docs`` a source, up to which they are broadcast.
 MOST_DIVIDED = 500_000
 
@@ -134,7 +136,9 @@ class Mixture:
         self.key = _key(F.col(source_col))
         slim = docs.select(self.key.alias("key"), self.id.alias("id"), self.tokens.alias("tokens"))
         self.slim = self.scratch.table(slim, "slim")
-        found = self.slim.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).orderBy("key").collect()
+        found = self.slim.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).orderBy("key").limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
         self.exponent, self.shares = plan([(r.key, r.tokens, r.docs) for r in found], budget=budget, block_docs=block_docs, max_repeat=max_repeat, target_entropy=target_entropy)
         self.source_plan = self.spark.createDataFrame(
             [(s.key, s.weight, s.passes, s.rest, s.blocks) for s in self.shares], "key string, weight double, passes int, rest long, blocks int"

@@ -19,18 +19,21 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint zero, an empty table no rows."""
     from intervale.llm.simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, distance=2)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, score and round trip of every whole text; null counts as empty."""
     from intervale.llm.sentencepiece_unigram import piece_digests
 
     return piece_digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back; null counts as empty, ids in ascending order with null ids first."""
     from intervale.llm.token_files import read_digests, write_files
 
     folder = Scratch(spark, "token-files").path("documents")
@@ -39,18 +42,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and pass of the mixture; a null source is a source, a null text has no tokens."""
     from intervale.llm.mixing import mixed_sources
 
     return mixed_sources(read_table(spark, sf_dir, "documents"), max_repeat=2.0, block_docs=4096, seed="mix")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeper and group of every row; null counts as empty.  Of rows that repeat an id only the one that landed last is kept, where SQL marks them all."""
     from intervale.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; ``und`` for null texts and those without a letter."""
     from intervale.llm.language_id import fit, identify
 
     docs = read_table(spark, sf_dir, "documents")
@@ -59,6 +65,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; an empty or null text has all statistics zero."""
     from intervale.llm.quality_rules import fit, score
 
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -67,18 +74,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows of each hundredth vector; vectors that are null, zero or not finite take no part."""
     from intervale.llm.additive_ann import nearest
 
     return nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document that is a known one from end to end, else null."""
     from intervale.llm.licences import scan
 
     return scan(read_table(spark, sf_dir, "documents"))
 
 
 def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text; null counts as empty, that is one end token."""
     from intervale.llm.interpolated_lm import interpolated_scores
 
     return interpolated_scores(read_table(spark, sf_dir, "documents"), remainder=id_remainder(F.col("doc_id"), 10))
