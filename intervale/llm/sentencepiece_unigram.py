@@ -14,29 +14,31 @@ over the vocabulary.
 
 No piece of a usable model has a mark after another character, so the best path
 of a text is made of the best paths of its units, spaces and what follows them
-up to the next space or line end.  Units repeat: each worker remembers those it
-has seen, up to a bound.
+up to the next space or line end.  The units of a batch are dictionary-encoded;
+the new ones among them go through Viterbi side by side, a byte at a time, and
+each worker remembers those it has met, up to a bound.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.runtime import prepare
+from intervale.llm.runtime import give_back, prepare
+from intervale.llm.unit_store import UnitStore, as_bytes, parts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED_UNITS, REMEMBERED_BYTES = 200_000, 80
+PART_BYTES, CELLS_AT_ONCE = 4 << 20, 1 << 20
 
 
 # ---------------------------------------------------------------- trie
@@ -122,9 +124,16 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
-    """The pieces of a SentencePiece model file with byte fallback."""
+    """The pieces of a SentencePiece model file with byte fallback; raises for a model that changes its texts."""
     import sentencepiece
-
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    how = spec.normalizer_spec
+    if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.add_dummy_prefix or not how.escape_whitespaces or not spec.trainer_spec.byte_fallback:
+        raise ValueError("only models that leave a text as it is, add a prefix and fall back to bytes")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.vocab_size())
     names = [model.id_to_piece(i) for i in ids]
@@ -139,79 +148,147 @@ def load(path: str) -> Pieces:
 class Codec:
     """Encoder and decoder of one process."""
 
-    UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-
     def __init__(self, pieces: Pieces):
-        self.base, self.check, self.value = (x.tolist() for x in (pieces.trie.base, pieces.trie.check, pieces.trie.value))
-        self.scores, self.byte_ids = pieces.scores, pieces.byte_ids
-        trie_ids = [v for v in self.value if v >= 0]
-        self.unknown_score = min((pieces.scores[i] for i in trie_ids), default=0.0) - UNKNOWN_PENALTY
+        self.base, self.check, self.value = (np.asarray(x, np.int64) for x in (pieces.trie.base, pieces.trie.check, pieces.trie.value))
+        self.scores, self.byte_ids = np.array(pieces.scores), np.array(pieces.byte_ids, np.int32)
+        trie_ids = self.value[self.value >= 0]
+        self.unknown_score = float(self.scores[trie_ids].min(initial=0.0)) - UNKNOWN_PENALTY
         as_byte = {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
-        self.content = [as_byte.get(i) or name.replace(MARK, " ").encode() for i, name in enumerate(pieces.names)]
+        content = [as_byte.get(i) or name.replace(MARK, " ").encode() for i, name in enumerate(pieces.names)]
+        self.content = UnitStore(np.uint8, most_units=len(content), most_bytes=0)
+        self.content.add(np.frombuffer(b"".join(content), np.uint8), np.array([len(c) for c in content]))
         self.is_byte = np.zeros(len(pieces.names), dtype=bool)
         self.is_byte[list(pieces.byte_ids)] = True
-        self.seen: dict[str, tuple[bytes, float]] = {}
-        self.before: dict[str, tuple[bytes, float]] = {}
-
-    def viterbi(self, unit: bytes) -> tuple[list[int], float]:
-        """Ids of the best path and its score; of equal paths the one whose last piece starts first."""
-        base, check, value, scores = self.base, self.check, self.value, self.scores
-        n, low = len(unit), float("-inf")
-        best, came, by = [low] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        unknown = self.unknown_score
-        i = 0
-        while i < n:
-            lead, so_far, state = unit[i], best[i], 0
-            end = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            covered, j = False, i
-            while j < n:
-                to = base[state] + unit[j] + 1
-                if check[to] != state:
+        self.store = UnitStore(np.int32, most_units=REMEMBERED_UNITS, most_bytes=REMEMBERED_BYTES)
+
+    # ---- Viterbi
+
+    def viterbi(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids, score) of the best paths of units, all of them advanced a byte at a time.
+
+        text [unit, byte] is padded beyond each unit's size; sizes fall.  Of
+        equal paths the one whose last piece starts first counts.
+        """
+        n, width = text.shape
+        best = np.full((n, width + 1), -np.inf)
+        came, by = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+        best[:, 0] = 0.0
+        for i in range(width):
+            reach = np.searchsorted(-sizes, -i, "left")  # units longer than i
+            rows = np.flatnonzero(best[:reach, i] > -np.inf)
+            if not len(rows):
+                continue
+            so_far, lead = best[rows, i], text[rows, i]
+            end = np.minimum(sizes[rows], i + 1 + (lead >= 0x80) + (lead >= 0xE0) + (lead >= 0xF0))
+            covered = np.zeros(len(rows), bool)
+            live, state = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for j in range(i, width):
+                inside = sizes[rows[live]] > j
+                live, state = live[inside], state[inside]
+                to = self.base[state] + text[rows[live], j] + 1
+                held = self.check[to] == state
+                live, state = live[held], to[held]
+                if not len(live):
                     break
-                j += 1
-                state, piece = to, value[to]
-                if piece >= 0:
-                    if j == end:
-                        covered = True
-                    score = so_far + scores[piece]
-                    if score > best[j]:
-                        best[j], came[j], by[j] = score, i, piece
-            if not covered and so_far + unknown > best[end]:
-                best[end], came[end], by[end] = so_far + unknown, i, -1
-            i = end
-        path, at = [], n
-        while at:
-            path.append((came[at], at, by[at]))
-            at = came[at]
-        ids: list[int] = []
-        for start, end, piece in reversed(path):
-            ids.extend([piece] if piece >= 0 else [self.byte_ids[b] for b in unit[start:end]])
-        return ids, best[n]
-
-    def _unit(self, unit: str) -> tuple[bytes, float]:
-        found = self.seen.get(unit) or self.before.get(unit)
-        if found is None:
-            ids, score = self.viterbi(unit.encode("utf-8", "replace"))
-            found = array("i", ids).tobytes(), score
-        if len(unit) <= REMEMBERED_BYTES:
-            if len(self.seen) >= REMEMBERED_UNITS:  # the last generation stays known until this one ends
-                self.seen, self.before = {}, self.seen
-            self.seen[unit] = found
-        return found
+                piece = self.value[state]
+                ends = piece >= 0
+                who, piece = live[ends], piece[ends]
+                covered[who[end[who] == j + 1]] = True
+                score, at = so_far[who] + self.scores[piece], rows[who]
+                better = score > best[at, j + 1]
+                at = at[better]
+                best[at, j + 1], came[at, j + 1], by[at, j + 1] = score[better], i, piece[better]
+            bare = np.flatnonzero(~covered)
+            if len(bare):
+                at, to, score = rows[bare], end[bare], so_far[bare] + self.unknown_score
+                better = score > best[at, to]
+                at, to = at[better], to[better]
+                best[at, to], came[at, to], by[at, to] = score[better], i, -1
+        # Back along the paths, a step of every unit at a time.
+        steps = []
+        rows, at = np.arange(n), sizes.copy()
+        while len(rows):
+            start, piece = came[rows, at], by[rows, at]
+            steps.append((rows, start, at, piece))
+            going = start > 0
+            rows, at = rows[going], start[going]
+        rows, start, at, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((at, rows))
+        rows, start, at, piece = rows[order], start[order], at[order], piece[order]
+        count = np.where(piece >= 0, 1, at - start)  # a character without a piece is its bytes
+        place = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), np.int32)
+        ids[place[piece >= 0]] = piece[piece >= 0]
+        for k in range(4):
+            more = np.flatnonzero((piece < 0) & (count > k))
+            ids[place[more] + k] = self.byte_ids[text[rows[more], start[more] + k]]
+        return ids, np.bincount(rows, count, n).astype(np.int64), best[np.arange(n), sizes]
+
+    def _learn(self, units: list[bytes]) -> np.ndarray:
+        """Slots of new units, longest first, in tables of a bounded size."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        out, at = np.empty(len(units), np.int64), 0
+        while at < len(order):
+            rows = order[at : at + max(1, CELLS_AT_ONCE // (int(sizes[order[at]]) + 1))]
+            width, some = int(sizes[rows[0]]), sizes[rows]
+            text = np.zeros((len(rows), width), np.uint8)
+            text[np.arange(width) < some[:, None]] = np.frombuffer(b"".join([units[i] for i in rows.tolist()]), np.uint8)
+            out[rows] = self.store.add(*self.viterbi(text, some))
+            at += len(rows)
+        return out
+
+    # ---- texts
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        marked = pc.replace_substring(texts.view(pa.string()), MARK, " ") if pc.any(pc.match_substring(texts, MARK)).as_py() else texts
+        whole = [b" " + t if t else b"" for t in as_bytes(marked)]
+        data = np.frombuffer(b"".join(whole), np.uint8)
+        ends = np.cumsum([len(t) for t in whole])
+        empty = (np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(len(texts)))
+        if not len(data):
+            return empty
+        # A unit starts with a text, with the first of some spaces, with a line end and after one.
+        space, line = data == 32, data == 10
+        fresh = np.zeros(len(data), bool)
+        fresh[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        fresh[0] = True
+        fresh[ends[:-1][ends[:-1] < len(data)]] = True
+        starts = np.flatnonzero(fresh)
+        marks = np.concatenate((starts, [len(data)])).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(marks), pa.py_buffer(data)]).dictionary_encode()
+        mark = MARK.encode()
+        slots = self.store.slots([u.replace(b" ", mark) for u in units.dictionary.to_numpy(zero_copy_only=False).tolist()], self._learn)[units.indices.to_numpy()]
+        lengths = self.store.lengths(slots)
+        last = np.searchsorted(starts, ends, "left")  # units up to each text's end
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        first = np.concatenate(([0], last[:-1]))
+        held, scores = last > first, np.zeros(len(texts))
+        scores[held] = np.add.reduceat(self.store.scores(slots), first[held])
+        return self.store.gather(slots, lengths), np.diff(before[last], prepend=0), scores
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids and log score of each); a null or empty text has no ids."""
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
+        for part in parts(texts.cast(pa.binary()).fill_null(b""), PART_BYTES):
+            self.store.tidy()
+            found.append(self._part(part))
+        ids, counts, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        return ids, counts, scores
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
-        """int32 ids and the path's log score; a null or empty text has no ids."""
-        if not text:
-            return np.zeros(0, dtype="<i4"), 0.0
-        units = self.UNIT.findall((" " + text).replace(" ", MARK))
-        found = list(map(self.seen.get, units))
-        if None in found:
-            found = [f or self._unit(u) for f, u in zip(found, units, strict=True)]
-        return np.frombuffer(b"".join([ids for ids, _ in found]), dtype="<i4"), math.fsum([score for _, score in found])
+        ids, _, scores = self.encode_all(pa.array([text], pa.string()))
+        return ids, float(scores[0])
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of lists of ids that stand one after another."""
+        lengths = self.content.lengths(ids)
+        data = self.content.gather(ids, lengths).tobytes()
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)].tolist()
+        return [data[a + 1 : b] if b > a else b"" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -244,10 +321,10 @@ class SentencePieces:
         key, shared = self.key, self.shared
 
         def encode(values: pa.Array) -> pa.Array:
-            codec = _codec(key, shared)
-            found = [codec.encode(t)[0] for t in values.to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), type=pa.int32()))
+            ids, counts, _ = _codec(key, shared).encode_all(values)
+            give_back()
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
 
         return self._column(encode, "array<int>", text)
 
@@ -269,13 +346,16 @@ class SentencePieces:
         key, shared = self.key, self.shared
 
         def digest(values: pa.Array) -> pa.Array:
-            codec, rows = _codec(key, shared), []
-            for text in values.to_pylist():
-                ids, score = codec.encode(text)
-                rows.append((len(ids), int(codec.is_byte[ids].sum()), zlib.crc32(ids.tobytes()), score, codec.decode(ids.tolist()) == (text or "").replace(MARK, " ")))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_pieces", "n_bytes", "ids_crc32", "score", "round_trip"])
+            codec = _codec(key, shared)
+            ids, counts, scores = codec.encode_all(values)
+            ends = np.cumsum(counts)
+            n_bytes = np.diff(np.concatenate(([0], np.cumsum(codec.is_byte[ids])))[ends], prepend=0)
+            raw = ids.astype("<i4").tobytes()
+            sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            given = as_bytes(values.cast(pa.binary()).fill_null(b""))
+            same = [t == (g.replace(MARK.encode(), b" ") if MARK.encode() in g else g) for t, g in zip(codec.decode_all(ids, counts), given, strict=True)]
+            give_back()
+            return pa.StructArray.from_arrays([pa.array(counts), pa.array(n_bytes.astype(np.int64)), pa.array(sums, pa.int64()), pa.array(scores), pa.array(same, pa.bool_())], ["n_pieces", "n_bytes", "ids_crc32", "score", "round_trip"])
 
         return self._column(digest, "n_pieces long, n_bytes long, ids_crc32 long, score double, round_trip boolean", text)
 
