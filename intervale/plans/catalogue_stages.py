@@ -28,7 +28,7 @@ class JsonScript:
 
     def complete(self, prompt: str) -> str:
         n = int(_number.search(prompt).group(1))
-        again = "Previous output" in prompt
+        again = "Rejected answer" in prompt
         if n % 5 == 4:
             raise clients.TransportError("closed")
         if n % 5 == 3:
@@ -44,7 +44,7 @@ class OutlineScript:
     def complete(self, prompt: str) -> str:
         n = int(_number.search(prompt).group(1))
         last = int(re.search(r"last (\d+)", prompt).group(1))
-        gap = 2 if n % 3 == 2 or (n % 3 == 1 and "Original prompt" not in prompt) else 1
+        gap = 2 if n % 3 == 2 or (n % 3 == 1 and "First request" not in prompt) else 1
         chapter = '{"id": %d, "title": "t", "summary": "s", "block_id_start": %d, "block_id_end": %d}'
         return f'{{"chapters": [{chapter % (1, 0, 0)}, {chapter % (2, gap, last)}]}}'
 
@@ -54,7 +54,7 @@ class DescribeScript:
 
     def complete(self, prompt: str) -> str:
         n = int(_number.search(prompt).group(1))
-        tried = 0 if "Previous response" not in prompt else 1 if "because content" in prompt else 2
+        tried = 0 if "was refused" not in prompt else 1 if "refused: content" in prompt else 2
         if tried >= n % 4:
             return '{"visible_text": "seen", "visible_evidence": [" a ", ""], "description": "a chart"}'
         evidence = "[]" if tried else '["a"]'
@@ -151,7 +151,7 @@ def outline_attempts(t: Tables) -> DataFrame:
 """)
 def outline_failures(t: Tables) -> DataFrame:
     failed = _outlines(t)[1]
-    return failed.select(KEY, "stage_name", "attempt", "error_class", "message", F.when(F.col("prompt").startswith("You repair"), "repair").otherwise(F.col("prompt")).alias("prompt"))
+    return failed.select(KEY, "stage_name", "attempt", "error_class", "message", F.when(F.col("prompt").startswith(completion.OUTLINE_AGAIN), "repair").otherwise(F.col("prompt")).alias("prompt"))
 
 
 @query("""

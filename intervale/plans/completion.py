@@ -21,7 +21,8 @@ from intervale.schemas import TEXT_MEDIA
 from intervale.sources.files import strict_json
 
 KEY = "recording_id"
-REPAIR = "You repair invalid JSON outputs. Return only valid JSON."
+REPAIR = "The answer below is not the JSON that was asked for. Answer again, with that JSON and nothing else."
+OUTLINE_AGAIN = "Write the outline again, as JSON and nothing else."
 OUTLINE = "chapters array<struct<id: bigint, title: string, summary: string, block_id_start: bigint, block_id_end: bigint>>"
 DESCRIPTION = "visible_text string, visible_evidence array<string>, description string"
 
@@ -86,7 +87,7 @@ def complete_json(
         return strict_json(answered, "_json", T.StructType.fromDDL(schema)).withColumn("reason", F.when(F.col("error_class").isNull(), F.col("error"))).drop("_json", "error")
 
     def again(bad: DataFrame) -> DataFrame:
-        return bad.withColumn(prompt, F.concat(F.lit(f"{REPAIR}\n\nValidation error:\n"), "reason", F.lit("\n\nPrevious output:\n"), "answer"))
+        return bad.withColumn(prompt, F.concat(F.lit(f"{REPAIR}\n\nWhat is wrong: "), "reason", F.lit("\n\nRejected answer:\n"), "answer"))
 
     return attempts(rows, ask, again, times=repairs + 1)
 
@@ -116,8 +117,8 @@ def outlines(rows: DataFrame, make_client: Callable[[], Client], profile: Profil
 
     def again(bad: DataFrame) -> DataFrame:
         text = F.concat(
-            F.lit("You repair invalid JSON outline outputs. Return only valid JSON.\n\nValidation error:\n"), "reason", F.lit("\n\nExpected block coverage: 0.."), (F.col("n_blocks") - 1).cast("string"),
-            F.lit("\nKeep chapter ids 1-based and ranges contiguous.\n\nOriginal prompt:\n"), "first_prompt", F.lit("\n\nRaw previous output:\n"), "answer",
+            F.lit(f"{OUTLINE_AGAIN} It broke the rule: "), "reason", F.lit(". It has to take in the blocks 0 to "), (F.col("n_blocks") - 1).cast("string"),
+            F.lit(", each of them once, in chapters numbered from 1.\n\nFirst request:\n"), "first_prompt", F.lit("\n\nRejected answer:\n"), "answer",
         )
         return bad.withColumn("prompt", text)
 
@@ -141,7 +142,7 @@ def descriptions(rows: DataFrame, make_client: Callable[[], Client], profile: Pr
         return done.withColumn("reason", F.when(F.col("error_class").isNull(), verdict))
 
     def again(bad: DataFrame) -> DataFrame:
-        return bad.withColumn("prompt", F.concat("first_prompt", F.lit("\n\nPrevious response was invalid because "), "reason", F.lit(". Return valid JSON with visible_text, visible_evidence, and description.")))
+        return bad.withColumn("prompt", F.concat("first_prompt", F.lit("\n\nThe last answer was refused: "), "reason", F.lit(". Answer again, as JSON with a description, visible_text and visible_evidence.")))
 
     good, bad = attempts(base, ask, again, times=times)
     kept = F.filter(F.transform("record.visible_evidence", strip), lambda x: x != "")
