@@ -16,18 +16,22 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.runtime import prepare
+from intervale.llm.runtime import give_back, prepare
 
 BLOCK = 512
 SPACE, OTHER = 0, 1
-SYMBOLS_AT_ONCE = 8 << 20
+SYMBOLS_AT_ONCE = 4 << 20
+MOST_SLOTS = (1 << 31) - 1
+#: A row is short if it is less than this part of a language's budget.
+SHORT = 20
+#: Languages that one model can tell apart; a row of counts for each comes to the driver.
+MOST_LANGUAGES = 10_000
 
 
 # ---------------------------------------------------------------- automata
@@ -74,7 +78,39 @@ class Model:
         return hashlib.sha256(repr(self.texts).encode()).hexdigest()
 
 
+def pack(step: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, check, to): state s moves by c to to[base[s] + c] if check[base[s] + c] is s.
+
+    A slot for each transition, so memory follows the text and not the alphabet.
+    Every base + c below ``size`` is a slot; those before the first hold nothing.
+    """
+    room = size + 2 * sum(map(len, step)) + 1024
+    check, to, base = [-1] * room, [0] * room, [0] * len(step)
+    from_slot: dict[int, int] = {}  # where to look on for states of so many moves
+    for state in sorted(range(len(step)), key=lambda s: -len(step[s])):
+        moves = sorted(step[state])
+        if not moves:
+            break
+        at = max(from_slot.get(len(moves), 0), size)
+        while True:
+            start = at - moves[0]
+            if start + size + 1 >= len(check):
+                check += [-1] * room
+                to += [0] * room
+            if check[at] < 0 and all(check[start + c] < 0 for c in moves):
+                break
+            at += 1
+        from_slot[len(moves)] = at
+        base[state] = start
+        for c in moves:
+            check[start + c], to[start + c] = state, step[state][c]
+    used = max((i for i, s in enumerate(check) if s >= 0), default=0) + size + 1
+    return tuple(np.array((x + [y] * size)[:used] if x is not base else x, dtype=np.int32) for x, y in ((base, 0), (check, -1), (to, 0)))
+
+
 class Parser:
+    """The automata of all languages in three arrays, and a table of letters."""
+
     def __init__(self, model: Model):
         self.names = [name for name, _ in model.texts]
         letters = sorted({c for _, text in model.texts for c in text if c.isalpha()})
@@ -86,22 +122,20 @@ class Parser:
                 self.of_code[code] = SPACE
         for c, i in self.alphabet.items():
             self.of_code[ord(c)] = i
-        self.roots, self.bits, tables, at = [], [], [], 0
-        for _, text in model.texts:
+        self.roots, self.bits, packed, states, slots = [], [], [], 0, 0
+        self.start = np.zeros((self.size, len(self.names)), np.int32)  # where a phrase that begins with a symbol goes
+        for lang, (_, text) in enumerate(model.texts):
             symbols = self.squeeze(self.encode(text))
             step = suffix_automaton(symbols.tolist())
-            table = np.full((len(step), self.size), -1, dtype=np.int64)
-            for state, moves in enumerate(step):
-                for c, to in moves.items():
-                    table[state, c] = to
-            start = np.where(table[0] < 0, 0, table[0])
-            dead = table < 0
-            table = np.where(dead, start[None, :], table) + at
-            tables.append(((table * self.size) << 1 | dead).astype(np.int32))  # next state, ready for indexing; low bit: a phrase ended
-            self.roots.append(at * self.size)
+            base, check, to = pack(step, self.size)
+            self.start[:, lang] = [states + step[0].get(c, 0) for c in range(self.size)]
+            packed.append((base + slots, np.where(check < 0, -1, check + states), to + states))
+            self.roots.append(states)
             self.bits.append(np.log2(max(2, len(symbols))))
-            at += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            states, slots = states + len(step), slots + len(check)
+            if slots > MOST_SLOTS:
+                raise ValueError("too much text for the automata's tables")
+        self.base, self.check, self.to = (np.concatenate(x).astype(np.int32) for x in zip(*packed, strict=True)) if packed else [np.zeros(0, np.int32)] * 3
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
@@ -141,9 +175,10 @@ class Parser:
             if not k:
                 break
             symbol = stream[start[:k] + j]
-            move = self.table[state[:k] + symbol[:, None]]
-            count[:k] += move & 1
-            state[:k] = move >> 1
+            slot = self.base[state[:k]] + symbol[:, None]
+            held = self.check[slot] == state[:k]
+            count[:k] += ~held  # a phrase ends before this symbol
+            state[:k] = np.where(held, self.to[slot], self.start[symbol])
         total = np.zeros((len(texts), n_lang), dtype=np.int64)
         np.add.at(total, owner, count + 1)
         return total
@@ -179,9 +214,14 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
-def _parser(digest: str, model: Model) -> Parser:
-    return Parser(model)
+_parsers: dict[str, Parser] = {}
+
+
+def _parser(digest: str, shared) -> Parser:
+    if digest not in _parsers:
+        _parsers.clear()
+        _parsers[digest] = shared.value
+    return _parsers[digest]
 
 
 # ---------------------------------------------------------------- Spark
@@ -191,13 +231,15 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """A model from at most ``chars`` characters of about ``rows`` rows a language.
 
     Rows with a null language or text are left out.  Rows are taken in the
-    order of a hash of their id, so the sample does not depend on partitioning;
-    each gives an equal share of the characters, or all it has.
+    order of a hash of their id, so the sample does not depend on partitioning:
+    short rows whole, long ones an equal share of the characters left.
     """
     named = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return Model(())
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))
     limit = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, (rows << 40) // n))))
     sample = (
@@ -207,40 +249,42 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     parts: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["place"], r["text"])):
         parts.setdefault(row["lang"], []).append(row["text"])
-    for lang, taken in parts.items():
-        # The largest share a row with which all rows fit the budget; short texts leave theirs to longer ones.
-        room, share = chars, chars
-        for k, size in enumerate(sorted(len(t) + 1 for t in taken)):
-            share = max(2, room // (len(taken) - k))
-            if size > share:
-                break
-            room -= size
-        else:
-            share = chars
-        parts[lang] = [t[: share - 1] for t in taken]
+    for lang, texts in parts.items():
+        # Whole rows first, while they are short beside the budget; longer ones share what is left of it alike.
+        whole, room = [], chars
+        for t in texts:
+            if len(t) < min(room, chars // SHORT):
+                whole.append(t)
+                room -= len(t) + 1
+        long = [t for t in texts if len(t) >= chars // SHORT]
+        share = max(2, room // len(long)) if long and room > 1 else 0
+        parts[lang] = whole + [t[: share - 1] for t in long if share]
     return Model(tuple((lang, "\n".join(taken).lower()) for lang, taken in sorted(parts.items())))
 
 
-def predict_column(model: Model, text: Column) -> Column:
+def predict_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct<lang_pred, score>: ``und`` and 0 for a null text or one without letters.
 
-    The score is the winner's share of the inverse entropies, between 0 and 1.
+    The score is the winner's share of the inverse entropies, between 0 and 1;
+    of equal entropies the first name wins.
     """
     digest = model.digest()
+    shared = spark.sparkContext.broadcast(Parser(model))  # some 12 bytes a transition, of a bounded sample
 
     def compute(texts: pa.Array) -> pa.Array:
-        found = _parser(digest, model).predict(texts.to_pylist())
+        found = _parser(digest, shared).predict(texts.to_pylist())
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([name for name, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())], ["lang_pred", "score"]
         )
 
     compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(compute, "lang_pred string, score double")(text)
+    # Else a filter on the prediction would be evaluated apart from the prediction itself.
+    return F.arrow_udf(compute, "lang_pred string, score double").asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.  Repeated rows and null ids keep a row each."""
-    prepare(docs.sparkSession)
-    guess = predict_column(model, F.col(text_col))
+    guess = predict_column(prepare(docs.sparkSession), model, F.col(text_col))
     marked = F.lit(False) if held_out is None else held_out
     return docs.select(F.col(id_col).alias("doc_id"), marked.alias("held_out"), guess.alias("guess")).select("doc_id", "held_out", "guess.lang_pred", "guess.score")
