@@ -61,6 +61,17 @@ class DescribeScript:
         return f'{{"visible_text": "", "visible_evidence": {evidence}, "description": "{"a chart" if tried else "..."}"}}'
 
 
+class JudgeScript:
+    """A judgement of every frame in a prompt; none of the last one where the first is 3 modulo 5, a medium that isn't one where it is 4."""
+
+    def complete(self, prompt: str) -> str:
+        found = [int(x) for x in _number.findall(prompt)]
+        kind = found[0] % 5
+        one = '{"frame_id": %d, "medium": "%s", "is_meaningful": %s, "reason": "r", "semantic_key": %s, "quality_score": %s, "visible_text": "", "content_summary": "s"}'
+        rows = [one % (n, "poster" if kind == 4 else "chart", *(("true", '"k"', "3") if n % 2 else ("false", "null", "null"))) for n in (found[:-1] if kind == 3 else found)]
+        return '{"judgements": [' + ", ".join(rows) + "]}"
+
+
 class RefineScript:
     """Every segment of a prompt, refined; one too few where several have one whose id is 3 modulo 7."""
 
@@ -165,6 +176,19 @@ def describe_attempts(t: Tables) -> DataFrame:
     return good.select("frame_id", "attempt", F.array_join("visible_evidence", "|").alias("evidence")).unionByName(left.select("frame_id"), allowMissingColumns=True)
 
 
+@query(f"""
+    WITH f AS (SELECT recording_id, frame_id, first_value(frame_id) OVER (PARTITION BY recording_id ORDER BY ts, frame_id) % 5 AS kind FROM ({b.FRAMES}))
+    SELECT recording_id, frame_id, CASE WHEN frame_id % 2 = 1 THEN 'k' END AS semantic_key, NULL AS rule FROM f WHERE kind < 3
+    UNION ALL SELECT DISTINCT recording_id, NULL, NULL, CASE WHEN kind = 3 THEN 'missing' ELSE 'medium' END FROM f WHERE kind >= 3
+""")
+def judged_recordings(t: Tables) -> DataFrame:
+    ship(t.spark)
+    wide = config.Profile("wide", "openai_chat", capabilities=frozenset({"json_mode"}))
+    shown = lambda frames: F.array_join(F.transform(frames, lambda f: F.concat(F.lit("frame #"), f["frame_id"].cast("string"))), "\n")
+    good, bad = completion.judgements(t.frames().select(KEY, "frame_id", "ts"), JudgeScript, wide, prompt=shown)
+    return good.select(KEY, "frame_id", "semantic_key").unionByName(bad, allowMissingColumns=True)
+
+
 @query(f"""
     WITH l AS (SELECT recording_id, seq, seq AS id, start / 8 AS start, stop / 8 AS stop, (row_number() OVER (PARTITION BY recording_id ORDER BY seq) - 1) // 4 AS batch FROM ({b.LINES})),
     w AS (SELECT *, count(*) OVER r AS rn, bool_or(id % 7 = 3) OVER r AS rp, count(*) OVER g AS bn, bool_or(id % 7 = 3) OVER g AS bp FROM l WINDOW r AS (PARTITION BY recording_id), g AS (PARTITION BY recording_id, batch))

@@ -24,6 +24,9 @@ KEY = "recording_id"
 REPAIR = "The answer below is not the JSON that was asked for. Answer again, with that JSON and nothing else."
 OUTLINE_AGAIN = "Write the outline again, as JSON and nothing else."
 OUTLINE = "chapters array<struct<id: bigint, title: string, summary: string, block_id_start: bigint, block_id_end: bigint>>"
+JUDGEMENTS = (
+    "judgements array<struct<frame_id: bigint, medium: string, is_meaningful: boolean, reason: string, semantic_key: string, quality_score: bigint, visible_text: string, content_summary: string>>"
+)
 DESCRIPTION = "visible_text string, visible_evidence array<string>, description string"
 
 
@@ -127,6 +130,22 @@ def outlines(rows: DataFrame, make_client: Callable[[], Client], profile: Profil
     return good.select(KEY, F.col("record.chapters").alias("chapters"), "attempt"), failures
 
 
+def judgements(frames: DataFrame, make_client: Callable[[], Client], profile: Profile, *, prompt: Callable[[Column], Column], **calls) -> tuple[DataFrame, DataFrame]:
+    """frames (recording_id, frame_id, ts, ..) -> (judgements of recordings that break no rule, (recording_id, rule) of the others).
+
+    One request a recording, with all of its frames in time order, which
+    ``prompt`` makes; an answer has to judge every frame once.
+    """
+    item = F.struct("ts", "frame_id", *[c for c in frames.columns if c not in (KEY, "ts", "frame_id")])
+    rows = frames.groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("f"))
+    answered = settle(_inner(rows.select(KEY, prompt(F.col("f")).alias("prompt")), KEY, make_client, profile, JUDGEMENTS, **calls))
+    found = answered.where("record is not null").select(KEY, F.explode("record.judgements").alias("j")).select(KEY, "j.*")
+    judged = frames.join(answered.where("record is not null").select(KEY), KEY, "left_semi")
+    broken = settle(validate.judgement_violations(found, judged).select(KEY, "rule").distinct())
+    failed = answered.where("record is null").select(KEY, F.coalesce("error_class", F.lit("Model")).alias("rule"))
+    return found.join(broken, KEY, "left_anti"), broken.unionByName(failed)
+
+
 def descriptions(rows: DataFrame, make_client: Callable[[], Client], profile: Profile, *, key: str = "frame_id", times: int = 3, **calls) -> tuple[DataFrame, DataFrame]:
     """rows (key, medium, prompt) -> (accepted (key, description, visible_text, visible_evidence, attempt), failures).
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from intervale.functions import canonical
 from intervale.functions import frames as fr
 from intervale.operators import memo, selection, validate
-from intervale.plans import clients, completion, config, refine, runner
+from intervale.plans import clients, completion, config, refine, runner, services
 from intervale.plans.catalogue_stages import PROFILE, JsonScript, RefineScript
 from intervale.sources import catalog, files, media, sinks
 
@@ -126,6 +126,30 @@ def test_what_a_model_cannot_do_is_not_sent(spark):
     assert [r.error_class for r in refused] == ["Model", "ContextLength"] and refused[0].message == "no json_mode"
 
 
+@pytest.mark.parametrize("kind", ["openai_chat", "openai_responses", "anthropic_messages", "openai_compatible_chat"])
+def test_services(kind):
+    sent = []
+    answers = {"/chat/completions": {"choices": [{"message": {"content": "yes"}}]}, "/responses": {"output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "yes"}]}]}, "/messages": {"content": [{"type": "thinking"}, {"type": "text", "text": "yes"}]}}
+
+    def send(url, headers, body):
+        sent.append((url, headers, body))
+        return 200, next(v for k, v in answers.items() if url.endswith(k))
+
+    profile = config.Profile("p", kind, model="m", base_url="http://localhost:1/v1/", api_key_env="K")
+    client = services.connect(profile, {"K": "secret"}, send=send, system="be short", images=(services.Image("image/png", "AAAA"),), options=config.Options(temperature=0.2))
+    assert client.complete("really?") == "yes"
+    url, headers, body = sent[0]
+    assert url.startswith("http://localhost:1/v1/") and "secret" in "".join(headers.values()) and body["model"] == "m" and body["temperature"] == 0.2
+    assert "AAAA" in json.dumps(body) and "be short" in json.dumps(body) and "really?" in json.dumps(body) and None not in body.values()
+    for status, error in ((401, clients.AuthError), (429, clients.RateLimitError), (503, clients.TransportError), (400, clients.ClientError)):
+        with pytest.raises(error):
+            services.connect(profile, {"K": "s"}, send=lambda *a: (status, {"error": "no"})).complete("x")  # noqa: B023
+    with pytest.raises(clients.ClientError, match="no answer"):
+        services.connect(profile, {"K": "s"}, send=lambda *a: (200, {})).complete("x")
+    with pytest.raises(config.ConfigError):
+        services.connect(config.Profile("p", "carrier_pigeon"))
+
+
 @pytest.mark.parametrize(("mode", "want"), [("single_call", {}), ("batched", {4: "batch", 5: "batch"}), ("serial", dict.fromkeys(range(6), "segment")), ("adaptive", {0: "segment", 1: "segment", 2: "segment", 3: "segment", 4: "batch", 5: "batch"})])
 def test_refine_modes(spark, mode, want):
     rows = spark.createDataFrame([("r", i, i, float(i), i + 1.0, "t") for i in range(6)], "recording_id string, seq long, id long, start double, stop double, text string")
