@@ -341,7 +341,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
 # ---------------------------------------------------------------- similar shingle sets
 
 #: The order of shingles takes counts from about so many texts, and keeps at most so many of the most common.
-SAMPLE_TEXTS, MOST_COMMON = 20_000, 1 << 18
+SAMPLE_TEXTS, MOST_COMMON = 50_000, 1 << 18
 #: Pairs of different components are all compared once they are at most so many an entry (or in all); before that, after
 #: at most so many rounds, each key's texts are compared with one of them.
 PAIRS_AN_ENTRY, FEW_PAIRS, STAR_ROUNDS = 1, 100_000, 1
@@ -525,10 +525,10 @@ def shared_prefixes(sets: DataFrame, rows: int, common: tuple[np.ndarray, np.nda
 
 
 def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: int | None) -> DataFrame:
-    """(u, v) of entries (key, cid, n, pos, root, odd) of one key and different roots that may be similar.
+    """(u, v) of entries (key, cid, n, pos, root) of one key and different roots that may be similar.
 
     With a turn, each key's entries are paired with one of them, another one
-    each turn; without, all with all.  A key of ``hot`` (key, blocks) is dealt to
+    each turn; without, all with all, and entries have parities (odd).  A key of ``hot`` (key, blocks) is dealt to
     blocks: with a turn each is on its own, without every two meet.  Only pairs
     that sizes, places or parities rule out are left out: sets of that similarity
     differ in at most (1 - share) / (1 + share) of their sizes' sum.
@@ -536,7 +536,8 @@ def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: i
     spark = entries.sparkSession
 
     def pair(batches):
-        got = [[c.to_numpy() for c in b.columns[:-1]] + [np.frombuffer(b"".join(b.columns[-1].to_pylist()), "<u8").reshape(b.num_rows, -1)] for b in batches if b.num_rows]
+        words = lambda c, rows: np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(rows, -1) if turn is None else np.zeros((rows, 0), "<u8")
+        got = [[c.to_numpy() for c in b.columns[:8]] + [words(b.columns[-1], b.num_rows)] for b in batches if b.num_rows]
         if not got:
             return
         *numbers, odd = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -574,7 +575,7 @@ def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: i
     dealt = entries.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
     others = F.array("block") if turn is not None else F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(others)).select("key", "cid", "n", "pos", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "odd")
+    dealt = dealt.withColumn("other", F.explode(others)).select("key", "cid", "n", "pos", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *(["odd"] if turn is None else []))
     return dealt.repartition(parts, "key", "low", "high").mapInArrow(pair, "u long, v long").distinct()
 
 
@@ -646,7 +647,7 @@ def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets:
 
     few = entries.where("other is not null").select(F.col("cid").alias("u"), F.col("other").alias("v"))
     compare_pairs(near.unionByName(few).distinct(), "few")
-    entries = scratch.table(entries.where("other is null").drop("other").join(classes.select("cid", "odd"), "cid"), "many")
+    entries = entries.where("other is null").drop("other")
     total = entries.count()
     if not total:
         return roots
@@ -654,7 +655,7 @@ def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets:
     hot = scratch.table(hot, "hot")
     for turn in range(STAR_ROUNDS + 1):
         labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("to"))
-        now = scratch.table(entries.join(labels, "cid", "left").select("key", "cid", "n", "pos", "odd", F.coalesce("to", "cid").alias("root")), f"entries-{turn}")
+        now = scratch.table(entries.join(labels, "cid", "left").select("key", "cid", "n", "pos", F.coalesce("to", "cid").alias("root")), f"entries-{turn}")
         if turn:
             scratch.free(f"entries-{turn - 1}")
         alike = now.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -662,6 +663,9 @@ def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets:
         if not left:
             break
         last = left <= max(FEW_PAIRS, PAIRS_AN_ENTRY * total) or turn == STAR_ROUNDS
+        if last:  # only entries of keys that still have different roots can pair
+            mixed = alike.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
+            now = now.join(mixed, "key", "left_semi").join(classes.select("cid", "odd"), "cid")
         compare_pairs(candidate_pairs(now, hot, share, None if last else turn), str(turn))
         if last:
             break
@@ -699,7 +703,7 @@ def without_similar(
     keepers = labelled.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1").select("root", F.col("keeper.row").alias("keeper"))
     by_set = labelled.select("cid", "root").join(keepers, "root").select("cid", "keeper")
     lost = scratch.table(rows.select("cid", "row").join(by_set, "cid").where("row <> keeper").select("row"), "lost")
-    scratch.free("entries", "many")
+    scratch.free("entries")
     may_go = bit_filter(lost)(F.col(row))  # the texts of all other rows aren't shuffled
     stay = landed.where(may_go).join(lost.select(F.col("row").alias(row)), row, "left_anti")
     return landed.where(~may_go).select(*docs.columns).unionByName(stay.select(*docs.columns))
