@@ -94,6 +94,13 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(read_table(spark, sf_dir, "documents"), remainder=id_remainder(F.col("doc_id"), 10))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page; null counts as empty, pages without an article give the empty text."""
+    from intervale.llm.line_blocks import extract
+
+    return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 SQL = {
     "op4_source_mixing": r"""
         WITH RECURSIVE slim AS (
