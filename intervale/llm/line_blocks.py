@@ -288,4 +288,5 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_name: str = "text"
             columns = [*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.record_batch(columns, [f.name for f in schema.fields])
 
-    return pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html_col}`").cast("string")).mapInArrow(work, schema)
+    rows = pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html_col}`").cast("string"))
+    return rows.toDF(*(f"_c{i}" for i in range(len(kept) + 1))).mapInArrow(work, schema)  # names with dots are none for mapInArrow

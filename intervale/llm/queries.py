@@ -94,6 +94,13 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(read_table(spark, sf_dir, "documents"), remainder=id_remainder(F.col("doc_id"), 10))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after three rounds; vectors that are null, of another length or not finite take no part."""
+    from intervale.llm.elkan import clusters
+
+    return clusters(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", size=64, scale=64)
+
+
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every whole page; null counts as empty, pages without an article give the empty text."""
     from intervale.llm.line_blocks import extract
@@ -101,7 +108,34 @@ def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def _cluster_rounds(rounds: int) -> str:
+    """SQL of so many rounds: vectors a0, a1, ... with their nearest of centroids c0, c1, ..."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+        a{r} AS (
+          SELECT rid, vec_id, e, min(struct_pack(d := d, k := k)) AS best
+          FROM (SELECT v.*, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{r} c) GROUP BY ALL)""")
+        if r < rounds:
+            parts.append(f"""
+        m{r} AS (
+          SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e
+          FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY k),
+        c{r + 1} AS (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    return ",".join(parts)
+
+
 SQL = {
+    "op12_centroid_clusters": f"""
+        WITH v AS (
+          SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (SELECT row_number() OVER o - 1 AS k, e FROM v QUALIFY k < 16 WINDOW o AS (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), e)),
+        {_cluster_rounds(3)}
+        SELECT vec_id, best.k::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a3 JOIN c3 c ON c.k = best.k
+    """,
     "op4_source_mixing": r"""
         WITH RECURSIVE slim AS (
           SELECT doc_id, source, coalesce('s' || source, 'n') AS key, doc_id::VARCHAR AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
