@@ -130,7 +130,7 @@ SQL = {
         WITH v AS (
           SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        c0 AS (SELECT row_number() OVER o - 1 AS k, e FROM v QUALIFY k < 16 WINDOW o AS (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), e)),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS k, e FROM v QUALIFY k < 16),
         {_cluster_rounds(3)}
         SELECT vec_id, best.k::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
                sha256(array_to_string(c.e, ',')) AS centroid_sha256
