@@ -94,6 +94,13 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(read_table(spark, sf_dir, "documents"), remainder=id_remainder(F.col("doc_id"), 10))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; a null text has no features, a null id counts as the empty text."""
+    from intervale.llm.importance import resampled
+
+    return resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), buckets=10_000, seed="42", least_words=20, percent=5)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every usable vector after three rounds; vectors that are null, of another length or not finite take no part."""
     from intervale.llm.elkan import clusters
@@ -125,7 +132,37 @@ def _cluster_rounds(rounds: int) -> str:
     return ",".join(parts)
 
 
+#: CRC-32 of every byte alone, by its rule, as a DuckDB list.
+_CRC_BYTES = """(SELECT list(c ORDER BY b) FROM (
+            WITH RECURSIVE t AS (SELECT b, b AS c, 0 AS i FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM t WHERE i < 8)
+            SELECT b, c FROM t WHERE i = 8))"""
+
+
 SQL = {
+    "op11_importance_resampling": rf"""
+        WITH crc AS MATERIALIZED (SELECT {_CRC_BYTES} AS t),
+        texts AS (SELECT row_number() OVER () AS rid, 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT row_number() OVER (), 'b', item_id, text FROM benchmark),
+        split AS MATERIALIZED (
+          SELECT rid, kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        found AS MATERIALIZED (
+          SELECT kind, rid, f, count(*) AS n FROM (
+            SELECT kind, rid, unnest(w) AS f FROM split
+            UNION ALL SELECT kind, rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split WHERE len(w) > 1
+            UNION ALL SELECT kind, rid, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split WHERE len(w) > 2) GROUP BY ALL),
+        strings AS (SELECT f, hex(encode(f)) AS h, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM found GROUP BY f),
+        hashed AS MATERIALIZED (
+          SELECT f, s, strings.t, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+          FROM strings, crc),
+        sums AS (SELECT b AS bucket, coalesce(sum(s), 0)::BIGINT AS s, coalesce(sum(t), 0)::BIGINT AS t FROM range(10000) r(b) LEFT JOIN hashed ON bucket = b GROUP BY b),
+        gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM sums),
+        weights AS (SELECT rid, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM found JOIN hashed USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY rid),
+        scored AS (
+          SELECT id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+          FROM split LEFT JOIN weights USING (rid) WHERE kind = 'd'),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY words >= 20) AS able FROM scored)
+        SELECT id AS doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 5 * able // 100 THEN r END AS rank FROM ranked
+    """,
     "op12_centroid_clusters": f"""
         WITH v AS (
           SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
