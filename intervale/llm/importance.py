@@ -40,6 +40,8 @@ from intervale.llm.unit_store import parts
 #: Words of a chunk and of a range: at least, at most, and between them as many as make blocks of so many features.
 LEAST_WORDS, MOST_WORDS, ENTRIES = 3_000_000, 8_000_000, 256
 PART_BYTES = 4 << 20
+#: Words are nearly half of what a block sends.
+WORDS_LEVEL = 6
 ANSWER, TOTALS = 0, 1
 #: Rows of a task that ranks.
 RANKED_ROWS = 1_000_000
@@ -130,8 +132,8 @@ class Checksums:
 # ---------------------------------------------------------------- packing
 
 
-def _squash(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _squash(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _open(data: bytes) -> bytes:
@@ -142,9 +144,9 @@ def _planes(values: np.ndarray, kind=np.uint32) -> bytes:
     return _squash(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes())
 
 
-def _unplanes(data: bytes, kind=np.uint32) -> np.ndarray:
+def _unplanes(data: bytes, kind=np.uint32, wanted=np.int64) -> np.ndarray:
     raw = np.frombuffer(_open(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind).astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind).astype(wanted)
 
 
 def _steps(ascending: np.ndarray) -> bytes:
@@ -165,22 +167,22 @@ class Features:
         self.words, self.lengths = words, lengths
         size = len(words)
         document = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        two = np.flatnonzero(document[:-1] == document[1:])
-        three = np.flatnonzero(document[:-2] == document[2:]) if len(tokens) > 2 else np.zeros(0, np.int64)
-        pairs, at_two = np.unique(tokens[two] * size + tokens[two + 1], return_inverse=True)
-        pair_at = np.zeros(len(tokens), np.int64)
-        pair_at[two] = at_two
-        triples, at_three = np.unique(pair_at[three] * size + tokens[three + 2], return_inverse=True)
-        self.first, self.second = pairs // max(1, size), pairs % max(1, size)
-        self.pair, self.third = triples // max(1, size), triples % max(1, size)
+        two, three = document[:-1] == document[1:], document[:-2] == document[2:]
+        pairs, at_two = _distinct(tokens[:-1][two], tokens[1:][two], size)
+        self.first, self.second = pairs
+        pair_at = np.zeros(len(tokens), np.int32)
+        pair_at[:-1][two] = at_two
+        triples, at_three = _distinct(pair_at[:-2][three], tokens[2:][three], size)
+        self.pair, self.third = triples
+        del pair_at
         #: Of words, pairs and triples: the document and the feature of each occurrence.
-        self.found = [(document, tokens), (document[two], at_two), (document[three], at_three)]
+        self.found = [(document, tokens), (document[:-1][two], at_two), (document[:-2][three], at_three)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, size)
         one_range = _range_of(hashes, ranges)
         pair_range = _range_of(hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.second], ranges)
         self.ranges = [one_range, pair_range, pair_range[self.pair]]
         #: Features by range, those of a range in ascending order.
-        self.orders = [np.argsort(r, kind="stable") for r in self.ranges]
+        self.orders = [np.argsort(r, kind="stable").astype(np.int32) for r in self.ranges]
 
     def counts(self) -> list[np.ndarray]:
         return [np.bincount(which, minlength=len(r)) for (_, which), r in zip(self.found, self.ranges, strict=True)]
@@ -198,23 +200,23 @@ class Features:
             used = np.unique(np.concatenate((one, first, second, third)))
             local = lambda x, used=used: np.searchsorted(used, x)
             spoken = b"\n".join(self.words.take(pa.array(used)).to_pylist())
-            yield r, _squash(spoken), _steps(local(one)), _steps(local(first)), _planes(local(second)), _planes(fan[two]), _planes(local(third)), _planes(np.concatenate([n[x] for n, x in zip(counts, (one, two, three), strict=True)]))
+            yield r, _squash(spoken, WORDS_LEVEL), _steps(local(one)), _steps(local(first)), _planes(local(second)), _planes(fan[two]), _planes(local(third)), _planes(np.concatenate([n[x] for n, x in zip(counts, (one, two, three), strict=True)]))
 
-    def weights(self, answers: list[tuple[int, bytes]], gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, answers: list[tuple[int, bytes]], gains: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
         """(number of features, sum of gains) of each document, from the (range, packed buckets) that came back."""
         got: list[list[np.ndarray]] = [[], [], []]
         cuts = [np.searchsorted(r[o], np.arange(max((p for p, _ in answers), default=0) + 2)) for r, o in zip(self.ranges, self.orders, strict=True)]
         for part, data in sorted(answers):
-            buckets = _unplanes(data)
+            buckets = _unplanes(data, kind, kind)
             sizes = [int(c[part + 1] - c[part]) for c in cuts]
             if sum(sizes) != len(buckets):
                 raise RuntimeError("buckets of a chunk do not match its features")
-            for kind, piece in enumerate(np.split(buckets, np.cumsum(sizes)[:-1])):
-                got[kind].append(piece)
+            for pieces, piece in zip(got, np.split(buckets, np.cumsum(sizes)[:-1]), strict=True):
+                pieces.append(piece)
         number, weight = np.zeros(len(self.lengths), np.int64), np.zeros(len(self.lengths))
         for order, pieces, (document, which) in zip(self.orders, got, self.found, strict=True):
             gain = np.empty(len(order))
-            found = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+            found = np.concatenate(pieces) if pieces else np.zeros(0, kind)
             if len(found) != len(order):
                 raise RuntimeError("buckets of a chunk are not complete")
             gain[order] = gains[found]
@@ -223,12 +225,25 @@ class Features:
         return number, weight.astype(np.int64)
 
 
+def _distinct(left: np.ndarray, right: np.ndarray, size: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((left, right) of the distinct pairs in ascending order, place of each pair among them); right is below size."""
+    codes = left.astype(np.int64) * size
+    codes += right
+    found, place = np.unique(codes, return_inverse=True)
+    return ((found // max(1, size)).astype(np.int32), (found % max(1, size)).astype(np.int32)), place.astype(np.int32)
+
+
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (((mixed >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
 
 
-CHUNK = "ids array<long>, lengths binary, words binary, tokens binary, n_words long"
+CHUNK = "ids array<long>, lengths binary, words binary, often binary, tokens binary, n_words long"
+
+
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Words in the order in which a chunk numbers them in its texts: frequent ones first, so that their numbers pack well."""
+    return np.argsort(-counts, kind="stable").astype(np.int32)
 
 
 def _gather(batches, chunk_words: int):
@@ -237,12 +252,16 @@ def _gather(batches, chunk_words: int):
 
     def flush():
         words, places = merged(dictionaries)
-        whole = np.concatenate([p[t] for p, t in zip(places, tokens, strict=True)]) if tokens else np.zeros(0, np.int64)
+        whole = np.concatenate([p[t] for p, t in zip(places, tokens, strict=True)])
+        often = np.bincount(whole, minlength=len(words))
+        rank = np.empty(len(words), np.int32)
+        rank[by_frequency(often)] = np.arange(len(words))
         row = {
             "ids": pa.array([sum(ids, [])], pa.list_(pa.int64())),
             "lengths": pa.array([_planes(np.concatenate(lengths))]),
             "words": pa.array([_squash(b"\n".join(words.to_pylist()))]),
-            "tokens": pa.array([_planes(whole)]),
+            "often": pa.array([_planes(often)]),
+            "tokens": pa.array([_planes(rank[whole])]),
             "n_words": pa.array([held]),
         }
         return pa.record_batch(row)
@@ -273,7 +292,8 @@ def _words(data: bytes) -> pa.Array:
 
 
 def _features(row: dict, ranges: int) -> Features:
-    return Features(_words(row["words"]), _unplanes(row["tokens"]), _unplanes(row["lengths"]), ranges)
+    tokens = by_frequency(_unplanes(row["often"]))[_unplanes(row["tokens"], wanted=np.int32)]
+    return Features(_words(row["words"]), tokens, _unplanes(row["lengths"]), ranges)
 
 
 def _count_range(blocks: list[tuple], buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -322,7 +342,7 @@ class FeatureCounts:
 
     def _count(self) -> None:
         found = self.chunks.agg(F.sum("n_words").alias("n"), F.max(F.shiftright("chunk", 33)).alias("file"), F.max(F.expr("chunk & 8589934591")).alias("nth")).first()
-        ranges = self.ranges = max(1, 2 * (found.n or 0) // self.most)
+        ranges = self.ranges = max(1, 4 * (found.n or 0) // (3 * self.most))
         # Chunks are dealt one by one: the first of each file, the second of each, and so on.
         files, nth = (found.file or 0) + 1, (found.nth or 0) + 1
         self.place = F.expr(f"(chunk & 8589934591) * {files} + shiftright(chunk, 33)")
@@ -375,7 +395,7 @@ class FeatureCounts:
 
             def done():
                 features = _features(own, ranges)
-                number, weight = features.weights([(p, _planes(_unplanes(b, kind))) for p, b in found], worth)
+                number, weight = features.weights(found, worth, kind)
                 give_back()
                 return pa.record_batch({"id": pa.array(own["ids"], pa.int64()), "n_words": features.lengths, "n_features": number, "weight": weight})
 
