@@ -11,9 +11,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.operators import memo
+from intervale.operators import admission, memo
 from intervale.plans import bindings as b
-from intervale.plans import clients, completion, config, refine
+from intervale.plans import clients, completion, config, leases, refine
 from intervale.plans.bindings import KEY, Tables
 from intervale.plans.catalogue import query
 from intervale.shipping import ship
@@ -105,19 +105,38 @@ def _numbered(rows: DataFrame, number: str, more: str = "") -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, CASE WHEN size > 400 THEN NULL WHEN doc_id % 3 = 1 THEN NULL ELSE p END AS answer, CASE WHEN size > 400 THEN 'ContextLength' WHEN doc_id % 3 = 1 THEN 'Model' END AS error_class,
-           CASE WHEN size > 400 THEN size || ' > 400' WHEN doc_id % 3 = 1 THEN 'no vision' END AS message
-    FROM (SELECT doc_id, left(coalesce(text, ''), 2000) AS p, (length(left(coalesce(text, ''), 2000)) + 4) // 4 + CASE WHEN doc_id % 3 = 1 THEN 1024 * (doc_id % 2) ELSE 0 END + 20 AS size, doc_id % 3 = 1 AND doc_id % 2 = 1 AS seen FROM documents)
-    WHERE NOT (doc_id % 3 = 1 AND doc_id % 2 = 0)
+    SELECT doc_id, CASE WHEN size > 400 OR seen THEN NULL ELSE p END AS answer, CASE WHEN size > 400 THEN 'ContextLength' WHEN seen THEN 'Model' END AS error_class,
+           CASE WHEN size > 400 THEN size || ' > 400' WHEN seen THEN 'no vision' END AS message
+    FROM (SELECT doc_id, coalesce(text, '') AS p, (length(coalesce(text, '')) + 4) // 4 + CASE WHEN doc_id % 6 = 1 THEN 1024 ELSE 0 END + 20 AS size, doc_id % 6 = 1 AS seen FROM documents)
 """)
 def text_completions(t: Tables) -> DataFrame:
+    """Every whole text as a prompt; every sixth one comes with a picture, which this model can't see."""
     ship(t.spark)
-    d = F.col("doc_id")
-    rows = t.raw("documents").where(~((d % 3 == 1) & (d % 2 == 0))).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("prompt"))
-    done = completion.complete_text(rows, clients.EchoClient, PROFILE, config.Options(max_output_tokens=20), images=F.when((d % 3 == 1) & (d % 2 == 1), 1).otherwise(0))
+    rows = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    done = completion.complete_text(rows, clients.EchoClient, PROFILE, config.Options(max_output_tokens=20), images=F.when(F.col("doc_id") % 6 == 1, 1).otherwise(0))
     return done.select("doc_id", "answer", "error_class", "message")
 
 
+#: Limits of a window of a quarter of a second.
+LEASED_REQUESTS, LEASED_TOKENS, LEASED_WINDOW = 400, 200_000, 0.25
+
+
+@query("SELECT conv_id AS recording_id, string_agg(text, chr(10) ORDER BY turn) AS answer, 0::BIGINT AS crowded FROM conversations GROUP BY conv_id")
+def leased_requests(t: Tables) -> DataFrame:
+    """A request a conversation, five at a time in each of four tasks under one limit of requests and tokens.
+
+    ``crowded`` counts leases of the whole log that end a window with more than it may hold.
+    """
+    ship(t.spark)
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    rows = t.raw("conversations").groupBy(F.col("conv_id").alias(KEY)).agg(F.array_join(turns, "\n").alias("prompt")).withColumn("tokens", admission.token_estimate(F.length("prompt"), F.lit(0)))
+    with leases.LeaseOffice(t.spark, {"shared": (LEASED_REQUESTS, LEASED_TOKENS)}, window=LEASED_WINDOW) as office:
+        done = completion.settle(clients.complete_rows(rows, clients.EchoClient, tokens="tokens", make_gate=office.desk("shared"), tasks=4, at_once=5, trace=True))
+    log = admission.usage(leases.lease_log(done, "shared"), window_us=int(LEASED_WINDOW * leases.MICROS))
+    over = (F.col("window_requests") > LEASED_REQUESTS) | ((F.col("window_tokens") > LEASED_TOKENS) & (F.col("tokens") <= LEASED_TOKENS))
+    return done.select(KEY, "answer", log.agg(F.count_if(over)).scalar().alias("crowded"))
+
+
 @query("""
     SELECT doc_id, CASE WHEN doc_id % 6 <= 3 THEN doc_id || ' after ' || (doc_id % 6 + 1) END AS answer, CASE WHEN doc_id % 6 > 3 THEN 'RateLimit' END AS error_class FROM documents
 """)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -57,7 +58,8 @@ def status_error(status: int | None, message: str = "") -> ClientError:
 class LocalGate:
     """Holds requests of one worker process to limits of requests and tokens a minute.
 
-    Workers don't share memory, so each takes its part of a profile's limits.
+    Workers don't share memory, so each takes its part of a profile's limits; where
+    the number of workers isn't known, ``leases.LeaseOffice`` shares one window.
     """
 
     def __init__(self, rpm: int | None, tpm: int | None, *, workers: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
@@ -91,33 +93,67 @@ def complete_rows(
     prompt: str = "prompt",
     refused: str | None = None,
     tokens: str | None = None,
-    make_gate: Callable[[], Callable[[int], None]] | None = None,
+    make_gate: Callable[[], Callable[[int], int | None]] | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    tasks: int | None = None,
+    at_once: int = 1,
+    trace: bool = False,
 ) -> DataFrame:
     """rows plus ``answer``, ``error_class`` and ``message``; a failed request is a row with an error, not a failed job.
 
-    A row with a text in ``refused`` (``class: message``) isn't sent.  The gate
-    gets the row's ``tokens`` before each attempt.
+    Rows are dealt evenly to ``tasks`` tasks (as many as there are cores if none is
+    named, since rows after a grouping are few and light, and would share one
+    task; 0 leaves them where they are), each of which has up to ``at_once``
+    requests under way.  Answers stay beside their rows, in the order in which the
+    task got them.  A row with a text in ``refused`` (``class: message``) isn't
+    sent.  The gate gets the row's ``tokens`` before each attempt; with ``trace``,
+    the times that it gives come back as ``leases``, and the seconds at which
+    the request began and ended as ``began`` and ``ended``, its task as ``task``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, gate = make_client(), make_gate() if make_gate else lambda n: None
-        for batch in batches:
-            answers, errors, messages = [], [], []
-            for i, text in enumerate(batch[prompt]):
-                why = batch[refused].iloc[i] if refused else None
-                if isinstance(why, str):
-                    kind, _, said = why.partition(": ")
-                    answers.append(None), errors.append(kind), messages.append(said)
-                    continue
-                n = int(batch[tokens].iloc[i]) if tokens else 0
-                try:
-                    answers.append(with_retries(lambda t=text: client.complete(t), sleep, lambda n=n: gate(n)))
-                    errors.append(None), messages.append(None)
-                except ClientError as e:
-                    answers.append(None), errors.append(type(e).__name__.removesuffix("Error")), messages.append(str(e))
-            found = batch.drop(columns=[refused]) if refused else batch
-            yield found.assign(answer=pd.array(answers, dtype="string"), error_class=pd.array(errors, dtype="string"), message=pd.array(messages, dtype="string"))
+        from pyspark import TaskContext
 
+        client, gate = make_client(), make_gate() if make_gate else lambda n: None
+        place = TaskContext.get().partitionId()
+
+        def one(request: tuple[str | None, str | None, int]) -> tuple:
+            text, why, n = request
+            began, leases = time.time(), []
+            if why is not None:
+                kind, _, said = why.partition(": ")
+                return None, kind, said, leases, began, time.time()
+            take = lambda: leases.extend(x for x in [gate(n)] if x is not None)
+            try:
+                return with_retries(lambda: client.complete(text), sleep, take), None, None, leases, began, time.time()
+            except ClientError as e:
+                return None, type(e).__name__.removesuffix("Error"), str(e), leases, began, time.time()
+
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            for batch in batches:
+                whys = [x if isinstance(x, str) else None for x in batch[refused]] if refused else [None] * len(batch)
+                sizes = batch[tokens].fillna(0).astype(int) if tokens else [0] * len(batch)
+                done = list(pool.map(one, zip(batch[prompt], whys, sizes, strict=True)))
+                answer, error, message, leases, began, ended = zip(*done, strict=True) if done else ([],) * 6
+                found = batch.drop(columns=[refused]) if refused else batch
+                found = found.assign(answer=pd.array(answer, dtype="string"), error_class=pd.array(error, dtype="string"), message=pd.array(message, dtype="string"))
+                yield found.assign(leases=list(leases), began=list(began), ended=list(ended), task=place) if trace else found
+
+    dealt = rows if tasks == 0 else rows.repartition(tasks or rows.sparkSession.sparkContext.defaultParallelism)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != refused)
-    return rows.mapInPandas(run, f"{schema}, answer string, error_class string, message string")
+    traced = ", leases array<long>, began double, ended double, task int" if trace else ""
+    return dealt.mapInPandas(run, f"{schema}, answer string, error_class string, message string{traced}")
+
+
+ERRORS = {kind.__name__.removesuffix("Error"): kind for kind in (ClientError, RateLimitError, AuthError, TransportError)}
+
+
+def raise_first(answered: DataFrame, *order: str) -> None:
+    """Raise the error of the first failed row in the order given, if any failed.
+
+    For callers that want a failed request to end the job: rows are asked first,
+    all of them, and their answers should be kept (``completion.settle``) before.
+    """
+    first = answered.where("error_class is not null").orderBy(*order).select("error_class", "message").first()
+    if first is not None:
+        raise ERRORS.get(first.error_class, ClientError)(first.message)

@@ -65,6 +65,9 @@ SETTINGS: dict[str, tuple[Any, tuple]] = {
     "merge.assemble.top_title": (None, ("text",)),
 }
 
+#: Settings of how many requests of a task run side by side.
+CONCURRENT = {"slide_describe": "visual_pipeline.describe.concurrent_calls", "section": "merge.section.concurrent_calls"}
+
 
 # ---------------------------------------------------------------- as a query
 
@@ -148,6 +151,7 @@ class Options:
     json_mode: bool = False
     reasoning_effort: str | None = None
     thinking_budget_tokens: int | None = None
+    timeout_seconds: float | None = None
 
 
 @dataclass(frozen=True)
@@ -167,7 +171,7 @@ class Profile:
 
     def options(self, asked: Options) -> Options:
         own = lambda a, b: b if a is None else a
-        return replace(asked, reasoning_effort=own(asked.reasoning_effort, self.reasoning_effort), thinking_budget_tokens=own(asked.thinking_budget_tokens, self.thinking_budget_tokens))
+        return replace(asked, **{name: own(getattr(asked, name), getattr(self, name)) for name in ("reasoning_effort", "thinking_budget_tokens", "timeout_seconds")})
 
     def refuses(self, asked: Options, *, images: bool = False) -> str | None:
         """Why this profile can't take a request, or None."""
@@ -184,6 +188,8 @@ class Profile:
             return "takes a thinking budget, no reasoning effort"
         if budget is not None and self.provider != "anthropic_messages":
             return "takes a reasoning effort, no thinking budget"
+        if budget is not None and asked.max_output_tokens is not None and budget >= asked.max_output_tokens:
+            return "thinking budget must be under the output limit"
         return "no vision" if images and "vision" not in can else None
 
     def key(self, environment: dict[str, str] | None = None) -> str | None:
@@ -213,6 +219,10 @@ class Config:
     def __getitem__(self, key: str) -> Any:
         return self.settings.get(key, SETTINGS[key][0])
 
+    def calls(self, task: str) -> dict[str, int]:
+        """How a model stage's requests run side by side, for ``clients.complete_rows``: one task with so many requests under way."""
+        return {"tasks": 1, "at_once": int(self[CONCURRENT[task]])} if task in CONCURRENT else {}
+
     def profile_of(self, task: str) -> Profile:
         if task not in self.tasks:
             raise ConfigError(f"no such task: {task}")

@@ -11,6 +11,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from intervale.plans.clients import ClientError, TransportError, status_error
@@ -19,7 +20,7 @@ from intervale.plans.config import ConfigError, Options, Profile
 Transport = Callable[[str, dict[str, str], dict[str, Any]], tuple[int, dict[str, Any]]]
 #: Where a service of each kind lives if its profile names no address.
 ADDRESSES = {"openai_chat": "https://api.openai.com/v1", "openai_responses": "https://api.openai.com/v1", "anthropic_messages": "https://api.anthropic.com/v1"}
-#: Tokens that a service which needs a number is asked for if the request has none.
+#: Tokens that a service which needs a number is asked for if the request has none, beside those for thinking.
 DEFAULT_OUTPUT = 1024
 
 
@@ -48,12 +49,16 @@ class Image:
 
 @dataclass
 class Service:
-    """A client of one profile; see ``intervale.plans.clients.Client``."""
+    """A client of one profile; see ``intervale.plans.clients.Client``.
+
+    Without a transport of its own, a request that takes longer than its time-out
+    is a TransportError.
+    """
 
     profile: Profile
     key: str | None
     options: Options = Options()
-    send: Transport = post
+    send: Transport | None = None
     system: str | None = None
     images: tuple[Image, ...] = field(default_factory=tuple)
 
@@ -63,7 +68,9 @@ class Service:
         base = self.profile.base_url or ADDRESSES.get(self.profile.provider)
         if base is None:
             raise ConfigError(f"profile {self.profile.name} names no address")
-        status, answer = self.send(base.rstrip("/") + self.path, self.headers(), {k: v for k, v in self.body(prompt, self.profile.options(self.options)).items() if v is not None})
+        asked = self.profile.options(self.options)
+        send = self.send or partial(post, timeout=asked.timeout_seconds)
+        status, answer = send(base.rstrip("/") + self.path, self.headers(), {k: v for k, v in self.body(prompt, asked).items() if v is not None})
         if status >= 400:
             raise status_error(status, str(answer.get("error", answer)))
         try:
@@ -120,10 +127,14 @@ class Messages(Service):
 
     def body(self, prompt, asked):
         pictures = [{"type": "image", "source": {"type": "base64", "media_type": i.mime, "data": i.content}} for i in self.images]
-        budget = asked.thinking_budget_tokens
+        budget, most = asked.thinking_budget_tokens, asked.max_output_tokens
+        if most is None:
+            most = DEFAULT_OUTPUT + (budget or 0)
+        if budget is not None and budget >= most:
+            raise ClientError("the thinking budget must be under the output limit")
         return {
             "model": self.profile.model, "system": self.system, "messages": [{"role": "user", "content": [*pictures, {"type": "text", "text": prompt}]}], "temperature": asked.temperature,
-            "max_tokens": asked.max_output_tokens or DEFAULT_OUTPUT, "thinking": {"type": "enabled", "budget_tokens": budget} if budget else None,
+            "max_tokens": most, "thinking": None if budget is None else {"type": "enabled", "budget_tokens": budget},
         }
 
     def text(self, answer):
