@@ -5,7 +5,7 @@ greedily into the longest phrases that occur in that text; the language that
 needs the fewest phrases, normalised by the information a phrase carries
 (log2 of the training length, per symbol), wins.
 
-Training takes a bounded sample: at most ``chars`` symbols of each language.
+Training takes a bounded sample of rows: at most ``chars`` symbols of each language.
 Prediction reads every whole text.  Texts are cut into blocks of ``BLOCK``
 symbols that are parsed side by side, one array step per position, so a batch
 needs memory in proportion to its own size and long texts cost no more than
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.llm.runtime import give_back, prepare
@@ -31,7 +31,9 @@ MOST_SLOTS = (1 << 31) - 1
 #: A row is short if it is less than this part of a language's budget.
 SHORT = 20
 #: Languages that one model can tell apart; a row of counts for each comes to the driver.
-MOST_LANGUAGES = 10_000
+MOST_LANGUAGES = 1_000
+#: Characters of all languages together that the driver reads to choose from, and that a model is made of.
+SAMPLED, LEARNED = 64_000_000, 8_000_000
 
 
 # ---------------------------------------------------------------- automata
@@ -227,39 +229,57 @@ def _parser(digest: str, shared) -> Parser:
 # ---------------------------------------------------------------- Spark
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", chars: int = 40_000, rows: int = 400) -> Model:
-    """A model from at most ``chars`` characters of about ``rows`` rows a language.
+def sampled(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int, chars: int) -> DataFrame:
+    """(lang, place, text): of each language the ``rows`` rows with the smallest hash of id and text, in that order of place.
 
-    Rows with a null language or text are left out.  Rows are taken in the
-    order of a hash of their id, so the sample does not depend on partitioning:
-    short rows whole, long ones an equal share of the characters left.
+    Rows that are equal in both count once, so neither null nor repeated ids
+    bring more.  Of a text longer than ``chars``, so many characters from a hashed
+    place on.  A hash that few distinct rows are below is the filter, so that the
+    ranking sees about twice the rows wanted.
     """
-    named = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:
-        return Model(())
+    named = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    named = named.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    placed = named.withColumn("place", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
+    counts = {r.lang: r.n for r in placed.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))
-    limit = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, (rows << 40) // n))))
-    sample = (
-        named.withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, "lang"))
-        .where(F.col("text").isNotNull()).select("lang", "place", F.substring("text", 1, chars).alias("text")).toArrow().to_pylist()
-    )
-    parts: dict[str, list[str]] = {}
-    for row in sorted(sample, key=lambda r: (r["lang"], r["place"], r["text"])):
-        parts.setdefault(row["lang"], []).append(row["text"])
+    limit = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, (2 * rows << 40) // n)))) if counts else F.create_map().cast("map<string,bigint>")
+    near = placed.where(F.col("place") <= F.try_element_at(limit, "lang"))
+    start = 1 + F.pmod(F.col("place"), F.greatest(F.lit(1), F.length("text") - chars + 1))
+    cut = near.select("lang", "place", F.substring("text", start.cast("int"), F.lit(chars)).alias("text")).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    return cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= rows).drop("n")
+
+
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", chars: int = 40_000, rows: int = 400) -> Model:
+    """A model from at most ``chars`` characters of up to ``rows`` rows a language.
+
+    Rows with a null language or text are left out.  The sample goes by a hash
+    of id and text, so it does not depend on partitioning: short rows whole, of
+    long ones an equal share of the characters left, each from a hashed place.
+    Over all languages no more than SAMPLED characters come to the driver and
+    LEARNED make up the model: with many languages each has fewer.
+    """
+    languages = labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count()
+    if not languages:
+        return Model(())
+    chars = max(SHORT, min(chars, LEARNED // languages))
+    found = sampled(labelled, text_col=text_col, lang_col=lang_col, id_col=id_col, rows=rows, chars=max(SHORT, min(chars, SAMPLED // (rows * languages)))).toArrow().to_pylist()
+    parts: dict[str, list[tuple[int, str]]] = {}
+    for row in sorted(found, key=lambda r: (r["lang"], r["place"])):
+        parts.setdefault(row["lang"], []).append((row["place"], row["text"]))
+    taken: dict[str, list[str]] = {}
     for lang, texts in parts.items():
         # Whole rows first, while they are short beside the budget; longer ones share what is left of it alike.
         whole, room = [], chars
-        for t in texts:
+        for _, t in texts:
             if len(t) < min(room, chars // SHORT):
                 whole.append(t)
                 room -= len(t) + 1
-        long = [t for t in texts if len(t) >= chars // SHORT]
-        share = max(2, room // len(long)) if long and room > 1 else 0
-        parts[lang] = whole + [t[: share - 1] for t in long if share]
-    return Model(tuple((lang, "\n".join(taken).lower()) for lang, taken in sorted(parts.items())))
+        long = [(place, t) for place, t in texts if len(t) >= chars // SHORT]
+        share = max(1, room // len(long) - 1) if long and room > 1 else 0
+        at = lambda place, t, share=share: place % max(1, len(t) - share + 1)
+        taken[lang] = whole + [t[at(place, t) : at(place, t) + share] for place, t in long if share]
+    return Model(tuple((lang, "\n".join(texts)[:chars].lower()) for lang, texts in sorted(taken.items())))
 
 
 def predict_column(spark: SparkSession, model: Model, text: Column) -> Column:

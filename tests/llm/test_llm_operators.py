@@ -582,6 +582,24 @@ def test_one_long_text_does_not_fill_the_sample(spark):
     assert {c for c in text if c.isalpha()} == {chr(97 + i) for i in range(20)} | {"z"} and 900 <= len(text) <= 1000
 
 
+def test_language_sample_is_bounded(spark):
+    """Null and equal ids, equal rows, long texts and many languages bring no more than the sample's rows and characters."""
+    from intervale.llm import language_id as li
+
+    null_ids = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("x").alias("lang"))
+    same_id = null_ids.withColumn("doc_id", F.lit(7).cast("long"))
+    equal = null_ids.withColumn("text", F.lit("the same text"))
+    assert li.sampled(null_ids, rows=400, chars=1000).count() == 400 and li.sampled(same_id, rows=400, chars=1000).count() == 400
+    assert li.sampled(equal, rows=400, chars=1000).count() == 1 and li.sampled(null_ids.limit(0), rows=400, chars=9).count() == 0
+    long = spark.range(30).select("id", F.concat(F.repeat(F.lit("a"), 5000), F.repeat(F.lit("b"), 5000)).alias("text"), F.lit("x").alias("lang"))
+    cut = [r.text for r in li.sampled(long, id_col="id", rows=100, chars=50).collect()]
+    assert {len(t) for t in cut} == {50} and {t[0] for t in cut} == {"a", "b"}  # from places all over the text
+    assert {"a", "b"} <= set(li.fit(long, id_col="id", chars=2000).texts[0][1])
+    many = spark.range(3000).select("id", F.repeat(F.col("id").cast("string"), 300).alias("text"), (F.col("id") % 50).cast("string").alias("lang"))
+    model = li.fit(many, id_col="id", chars=800)
+    assert len(model.texts) == 50 and all(0 < len(t) <= 800 for _, t in model.texts)
+
+
 def test_signs_beyond_the_letter_table_are_no_letters():
     from intervale.llm.language_id import Model, Parser
 
