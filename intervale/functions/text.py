@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,7 @@ TS_MARK = r"\[\[TS:(\d+(?:\.\d+)?)(?:-\d+(?:\.\d+)?)?\]\]"
 LONE_TS_MARK = r"^\[\[TS:(\d+(?:\.\d+)?)\]\]$"
 REF_MARK = r"\[\[REF:(\d+)\]\]"
 SHOWN_TIME = r"(?:\[\d{2}:\d{2}:\d{2}\]\([^\)\n]+\)|\[\d{2}:\d{2}:\d{2}\](?!\())"
+LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
 PUNCTUATION = "。！？；，、,.!?;:"
 CONTENT = r"(?U)[\w\x{4e00}-\x{9fff}]"
 UNREADABLE = r"(?i)(不可读|无法读取|无法辨认|看不清|unreadable|illegible)"
@@ -95,32 +97,39 @@ def render_time_marks(text: Column, template: str = "[{hms}]", url: str | None =
     a link can also have {source_path} and {source_filename}.  Splits at the
     marks and puts pieces and rendered marks back in order.
     """
-    times = F.regexp_extract_all(text, F.lit(TS_MARK), 1)
-    pieces = F.split(text, TS_MARK, -1)
+    fields_of_path = {}
+    if url is not None:
+        path = F.lit("") if source_path is None else source_path
+        fields_of_path = {"source_path": path, "source_filename": F.element_at(F.split(path, "/"), -1)}
 
     def shown(mark: Column) -> Column:
         label = render_time(mark, template)
-        if url is None:
-            return label
-        path = F.lit("") if source_path is None else source_path
-        fields = _time_fields(mark) | {"source_path": path, "source_filename": F.element_at(F.split(path, "/"), -1)}
-        return F.concat(F.lit("["), label, F.lit("]("), _fill(url, fields), F.lit(")"))
+        return label if url is None else F.concat(F.lit("["), label, F.lit("]("), _fill(url, _time_fields(mark) | fields_of_path), F.lit(")"))
+
+    return _at_marks(text, TS_MARK, lambda found: bind(found.cast("double"), shown))
+
 
-    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(shown(F.get(times, i).cast("double")), F.lit("")))), "")
+def _at_marks(text: Column, mark: str, shown: Callable[[Column], Column]) -> Column:
+    """The text with ``shown(what a mark's group holds)`` in place of each mark; text and marks are worked out once."""
+
+    def whole(t: Column) -> Column:
+        # The piece after the last mark meets a null.
+        return F.array_join(F.zip_with(F.split(t, mark, -1), F.regexp_extract_all(t, F.lit(mark), 1), lambda piece, found: F.when(found.isNull(), piece).otherwise(F.concat(piece, shown(found)))), "")
+
+    return bind(text, whole)
 
 
 def render_ref_marks(text: Column, anchors: Column) -> Column:
     """Each [[REF:n]] as ``[§n+1](#anchor)``, or ``§n+1`` where the map of anchors has no n."""
-    ids = F.regexp_extract_all(text, F.lit(REF_MARK), 1)
-    pieces = F.split(text, REF_MARK, -1)
 
-    def shown(piece: Column, i: Column) -> Column:
-        n = F.get(ids, i).cast("long")
-        label = F.concat(F.lit("§"), (n + 1).cast("string"))
-        anchor = F.try_element_at(anchors, n)
-        return F.concat(piece, F.when(n.isNull(), "").when(anchor.isNull(), label).otherwise(F.concat(F.lit("["), label, F.lit("](#"), anchor, F.lit(")"))))
+    def shown(found: Column) -> Column:
+        def link(n: Column) -> Column:
+            label = F.concat(F.lit("§"), (n + 1).cast("string"))
+            return bind(F.try_element_at(anchors, n), lambda anchor: F.when(anchor.isNull(), label).otherwise(F.concat(F.lit("["), label, F.lit("](#"), anchor, F.lit(")"))))
+
+        return bind(found.cast("long"), link)
 
-    return F.array_join(F.transform(pieces, shown), "")
+    return _at_marks(text, REF_MARK, shown)
 
 
 def strip_ref_marks(text: Column) -> Column:
@@ -150,34 +159,43 @@ def strip_heading(text: Column, title: Column) -> Column:
     # and ## match the title or anything that ends with a space and the title;
     ### and #### match the title alone.  Leading blank lines go in any case.
     """
-    body = F.regexp_replace(text, r"(?U)^(?:[^\S\n]*\n)+", "")
-    body = F.when(strip(body) == "", "").otherwise(body)
-    first, rest = F.split_part(body, F.lit("\n"), F.lit(1)), F.regexp_replace(body, r"^[^\n]*\n?", "")
-    first = strip(first)
-    high, low = strip(F.regexp_extract(first, r"(?U)^#{1,2}\s+(.*)$", 1)), strip(F.regexp_extract(first, r"(?U)^#{3,4}\s+(.*)$", 1))
-    is_high = first.rlike(r"(?U)^#{1,2}\s+") & ((high == title) | high.endswith(F.concat(F.lit(" "), title)))
-    is_low = first.rlike(r"(?U)^#{3,4}\s+") & (low == title)
-    return F.when(is_high | is_low, F.regexp_replace(rest, r"(?U)^\s+", "")).otherwise(body)
+
+    def without(body: Column, first: Column) -> Column:
+        def by(high: Column) -> Column:
+            is_high = first.rlike(r"(?U)^#{1,2}\s+") & ((high == title) | high.endswith(F.concat(F.lit(" "), title)))
+            is_low = first.rlike(r"(?U)^#{3,4}\s+") & (strip(F.regexp_extract(first, r"(?U)^#{3,4}\s+(.*)$", 1)) == title)
+            return F.when(is_high | is_low, F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"(?U)^\s+", "")).otherwise(body)
+
+        # Most first lines are no headings, and are told from one by a character.
+        return F.when(first.startswith("#"), bind(strip(F.regexp_extract(first, r"(?U)^#{1,2}\s+(.*)$", 1)), by)).otherwise(body)
+
+    bare = bind(F.regexp_replace(text, r"(?U)^(?:[^\S\n]*\n)+", ""), lambda body: F.when(strip(body) == "", "").otherwise(body))
+    return bind(bare, lambda body: bind(strip(F.split_part(body, F.lit("\n"), F.lit(1))), lambda first: without(body, first)))
 
 
 def normalise_spacing(text: Column) -> Column:
     """Line by line: no blanks at the end; a lone time goes to the front, punctuation before times, and a space after them.
 
-    Heading lines stay as they are but for their end.
+    Heading lines stay as they are but for their end.  Any of Unicode's line ends
+    parts lines, and becomes a line feed; one at the very end goes.
     """
 
+    def alone(line: Column, times: Column) -> Column:
+        """A line's one time, if it has just one, in front."""
+        time = F.get(times, F.lit(0))
+        first = F.concat_ws(" ", time, F.nullif(strip(F.regexp_replace(line, SHOWN_TIME, "")), F.lit("")))
+        return F.when((F.size(times) == 1) & ~line.startswith(time), first).otherwise(line)
+
+    def spaced(line: Column) -> Column:
+        timed = F.regexp_replace(line, rf"(?U)({SHOWN_TIME})\s*([{PUNCTUATION}])", "$2$1")
+        return F.regexp_replace(F.regexp_replace(timed, rf" +([{PUNCTUATION}])", "$1"), rf"(?U)({SHOWN_TIME})(?!\s|$)", "$1 ")
+
     def one(line: Column) -> Column:
-        line = F.regexp_replace(line, r"(?U)\s+$", "")
-        times = F.regexp_extract_all(line, F.lit(f"({SHOWN_TIME})"), 1)
-        others = strip(F.regexp_replace(line, SHOWN_TIME, ""))
-        inner = (F.size(times) == 1) & ~line.startswith(F.get(times, F.lit(0)))
-        moved = F.when(inner, F.when(others == "", F.get(times, F.lit(0))).otherwise(F.concat(F.get(times, F.lit(0)), F.lit(" "), others))).otherwise(line)
-        moved = F.regexp_replace(moved, rf"(?U)({SHOWN_TIME})\s*([{PUNCTUATION}])", "$2$1")
-        moved = F.regexp_replace(moved, rf" +([{PUNCTUATION}])", "$1")
-        moved = F.regexp_replace(moved, rf"(?U)({SHOWN_TIME})(?!\s|$)", "$1 ")
-        return F.when(line.rlike(r"(?U)^\s*#"), line).otherwise(moved)
-
-    return F.array_join(F.transform(F.split(text, "\n", -1), one), "\n")
+        body = bind(F.regexp_extract_all(line, F.lit(f"({SHOWN_TIME})"), 1), lambda times: spaced(alone(line, times)))
+        return F.when(line.rlike(r"(?U)^\s*#"), line).otherwise(body)
+
+    lines = F.split(F.regexp_replace(text, f"{LINE_END}\\z", ""), LINE_END, -1)
+    return F.array_join(F.transform(lines, lambda line: bind(F.regexp_replace(line, r"(?U)\s+$", ""), one)), "\n")
 
 
 def rewrite_links(text: Column, links: Column) -> Column:

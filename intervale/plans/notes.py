@@ -102,9 +102,11 @@ def assemble(
     anchors = of_block.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("block_id").cast("long"), "anchor"))).alias("anchors"))
     sources = recordings.select(KEY, "source_path")
     body = validate.lookup(anchored, sections, [KEY, "chapter_id"], ["text"], "section").join(anchors, KEY, "left").join(sources, KEY)
-    shown = fn.strip_heading(F.col("text"), F.col("title"))
-    shown = fn.render_ref_marks(shown, F.coalesce("anchors", F.create_map().cast("map<bigint,string>")))
-    shown = fn.strip(fn.normalise_spacing(fn.render_time_marks(shown, time_format, url, F.col("source_path"))))
+    # A column a step: each is used more than once in the next one, and so is worked out before it.
+    body = body.withColumn("_shown", fn.strip_heading(F.col("text"), F.col("title")))
+    body = body.withColumn("_shown", fn.render_ref_marks(F.col("_shown"), F.coalesce("anchors", F.create_map().cast("map<bigint,string>"))))
+    body = body.withColumn("_shown", fn.render_time_marks(F.col("_shown"), time_format, url, F.col("source_path")))
+    shown = fn.strip(fn.normalise_spacing(F.col("_shown")))
     part = F.concat(F.lit('<a id="'), "anchor", F.lit('"></a>\n## '), "title", F.lit("\n"), shown, F.lit("\n"))
     entry = F.concat(F.lit("- ["), "title", F.lit("](#"), "anchor", F.lit(")"))
     lists = body.select(KEY, "seq", part.alias("part"), entry.alias("entry")).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "part", "entry"))).alias("p"))
