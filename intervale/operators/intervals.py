@@ -10,12 +10,45 @@ are named by the predicates below.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.text import strip as trimmed
 
 KEY = "recording_id"
+
+
+@dataclass(frozen=True)
+class Levels:
+    """Buckets for intervals of very unequal lengths, in place of one width: ``least``, twice that, and so on.
+
+    An interval is at home in the buckets of the first level that is no shorter than
+    itself, at most two, and calls at those of each higher level at which the other
+    side has any home, at most two each.  So an interval is dealt to no more
+    than two buckets a level, however long it is, where buckets of one width would be as
+    many as the interval is long.  The levels that occur are read from both sides
+    first; a caller keeps sides that are dear to work out.
+    """
+
+    least: float
+
+    def __mul__(self, n: float) -> float:
+        return self.least * n
+
+    def level(self, start: Column, stop: Column) -> Column:
+        return F.when(stop >= start, F.greatest(F.lit(0), F.ceil(F.log2((stop - start) / F.lit(float(self.least))))).cast("int"))
+
+    def size(self, level: Column) -> Column:
+        return F.pow(F.lit(2.0), level) * float(self.least)
+
+    def buckets(self, start: Column, stop: Column, level: Column) -> Column:
+        """(level, number) of the buckets of a level that the closed interval touches."""
+        size = self.size(level)
+        return F.transform(F.sequence(F.floor(start / size).cast("long"), F.floor(stop / size).cast("long")), lambda n: F.struct(level.cast("int").alias("level"), n.alias("n")))
+
+
 #: Buckets of a join that make a block of an ordered pass.
 BLOCK = 64
 REF_TOKEN = r"\[\[REF:\d+\]\]"
@@ -47,18 +80,50 @@ def word_in_window(w_start: Column, w_stop: Column, start: Column, stop: Column)
 def _buckets(start: Column, stop: Column, width: float) -> Column:
     """Numbers of all buckets that the closed interval touches; none for a null or reversed interval."""
     first, last = F.floor(start / width).cast("long"), F.floor(stop / width).cast("long")
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(stop >= start, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _dealt_by_levels(rows: DataFrame, span: tuple[str, str], is_left: bool, levels: Column, width: Levels) -> DataFrame:
+    """rows once for each bucket that they are at home in or call at, as ``_of_left`` (whose home), ``_l`` and ``_n``.
+
+    ``levels`` are those of the other side.  Whose home a bucket is, is part of
+    the key, so that intervals that only call at one never meet.
+    """
+    start, stop, own, theirs = F.col(span[0]), F.col(span[1]), F.col("_level"), F.col("_theirs")
+    rows = rows.withColumn("_level", width.level(start, stop)).where(own.isNotNull()).withColumn("_theirs", levels)  # null and reversed intervals meet nothing
+    home = F.when(F.exists(theirs, (lambda x: x <= own) if is_left else (lambda x: x < own)), width.buckets(start, stop, own))
+    calls = F.flatten(F.transform(F.filter(theirs, lambda x: x > own if is_left else x >= own), lambda x: width.buckets(start, stop, x)))
+    empty = F.array().cast("array<struct<of_left:boolean,level:int,n:bigint>>")
+    tagged = lambda buckets, of_left: F.coalesce(F.transform(buckets, lambda x: F.struct(F.lit(of_left).alias("of_left"), x["level"].alias("level"), x["n"].alias("n"))), empty)
+    every = rows.withColumn("_at", F.explode(F.concat(tagged(home, is_left), tagged(calls, not is_left))))
+    return every.withColumns({"_of_left": F.col("_at.of_left"), "_l": F.col("_at.level"), "_n": F.col("_at.n")}).drop("_at", "_level", "_theirs")
+
+
+def _meet_by_levels(left: DataFrame, right: DataFrame, width: Levels, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """A pair meets in the home of its longer interval, of two of one level in that of the left one."""
+
+    def known(rows: DataFrame, span: tuple[str, str]) -> Column:
+        levels = rows.select(width.level(F.col(span[0]), F.col(span[1])).alias("l")).agg(F.array_sort(F.collect_set("l")).alias("levels"))
+        return F.coalesce(levels.scalar(), F.array().cast("array<int>"))
+
+    a = _dealt_by_levels(left, left_span, True, known(right, right_span), width)
+    b = _dealt_by_levels(right, right_span, False, known(left, left_span), width)
+    first = F.floor(F.greatest(F.col(left_span[0]), F.col(right_span[0])) / width.size(F.col("_l"))).cast("long")
+    return a.join(b, [KEY, "_of_left", "_l", "_n"]).where(F.col("_n") == first).drop("_of_left", "_l", "_n")
 
 
 def _dealt(rows: DataFrame, start: str, stop: str, width: float, name: str) -> DataFrame:
     return rows.withColumn(name, F.explode(_buckets(F.col(start), F.col(stop), width)))
 
 
-def meet(left: DataFrame, right: DataFrame, width: float, left_span: tuple[str, str] = ("start", "stop"), right_span: tuple[str, str] = ("r_start", "r_stop")) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, width: float | Levels, left_span: tuple[str, str] = ("start", "stop"), right_span: tuple[str, str] = ("r_start", "r_stop")) -> DataFrame:
     """Inner join of intervals that share a bucket, each pair once; the caller adds the exact condition.
 
-    ``right`` has its own column names but for the recording key.
+    ``right`` has its own column names but for the recording key.  One width suits
+    intervals of about that length or less; ``Levels`` take any lengths.
     """
+    if isinstance(width, Levels):
+        return _meet_by_levels(left, right, width, left_span, right_span)
     a = _dealt(left, *left_span, width, "_bucket")
     b = _dealt(right, *right_span, width, "_bucket")
     first = F.greatest(F.floor(F.col(left_span[0]) / width), F.floor(F.col(right_span[0]) / width))
@@ -68,7 +133,7 @@ def meet(left: DataFrame, right: DataFrame, width: float, left_span: tuple[str,
 # ---------------------------------------------------------------- points to intervals
 
 
-def align(frames: DataFrame, segments: DataFrame, *, max_gap: float, width: float) -> DataFrame:
+def align(frames: DataFrame, segments: DataFrame, *, max_gap: float, width: float | Levels) -> DataFrame:
     """Each frame's segment, and whether that is context for it.
 
     frames (recording_id, frame_id, ts), segments (recording_id, segment_id,
@@ -122,7 +187,7 @@ def _nearest_both_ways(rows: DataFrame, before: Column, after: Column, at: str,
     return inside.join(others, [KEY, "_block"]).withColumns({"before": F.greatest("before", "_before"), "after": F.least("after", "_after")}).drop("_block", "_before", "_after")
 
 
-def segment_at(points: DataFrame, segments: DataFrame, *, width: float) -> DataFrame:
+def segment_at(points: DataFrame, segments: DataFrame, *, width: float | Levels) -> DataFrame:
     """points plus segment_id: the first segment in list order with start <= ts <= stop, or null."""
     spans = segments.select(KEY, F.col("segment_id").alias("r_id"), F.col("seq").alias("r_seq"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
     hits = meet(points.select(KEY, "point_id", "ts", F.col("ts").alias("_at")), spans, width, ("ts", "_at"))
@@ -133,7 +198,7 @@ def segment_at(points: DataFrame, segments: DataFrame, *, width: float) -> DataF
 # ---------------------------------------------------------------- intervals to intervals
 
 
-def overlap_slots(blocks: DataFrame, visuals: DataFrame, *, width: float) -> DataFrame:
+def overlap_slots(blocks: DataFrame, visuals: DataFrame, *, width: float | Levels) -> DataFrame:
     """A slot for each overlap of a block with a visual, clipped to both; touching ones give none.
 
     blocks (recording_id, block_id, start, stop), visuals (recording_id, ord,
@@ -152,7 +217,7 @@ def nest_slots(blocks: DataFrame, slots: DataFrame, fields: list[str]) -> DataFr
     return joined.withColumn("visuals", F.coalesce("visuals", F.array().cast(nested.schema["visuals"].dataType)))
 
 
-def text_at(windows: DataFrame, segments: DataFrame, *, width: float, strict: bool = False) -> DataFrame:
+def text_at(windows: DataFrame, segments: DataFrame, *, width: float | Levels, strict: bool = False) -> DataFrame:
     """windows (recording_id, window_id, start, stop) plus ``text`` of the segments in them, in list order.
 
     Loose: any overlap.  Strict: the segment lies within the window.  Reference
@@ -176,7 +241,7 @@ def out_of_bounds(windows: DataFrame, recordings: DataFrame) -> DataFrame:
     return rows.select(KEY, "window_id", rule.alias("rule")).where("rule is not null")
 
 
-def slice_words(markers: DataFrame, segments: DataFrame, words: DataFrame, *, width: float) -> DataFrame:
+def slice_words(markers: DataFrame, segments: DataFrame, words: DataFrame, *, width: float | Levels) -> DataFrame:
     """markers (recording_id, marker_id, start, stop) plus ``text`` of the words in them.
 
     Segments that do not overlap the marker are left out first.  A segment
@@ -208,7 +273,7 @@ def snap_candidates(words: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.select(KEY, F.explode(F.array_distinct(bounds)).alias("value")).distinct()
 
 
-def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float, width: float) -> DataFrame:
+def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float, width: float | Levels) -> DataFrame:
     """boundaries (recording_id, boundary_id, value) plus snapped, distance and warned.
 
     The nearest candidate; of two as near, the greater.  A recording without
@@ -220,7 +285,7 @@ def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float, widt
     given = F.when(F.col("is_boundary") == 0, F.col("value"))
     # Candidates come first among equal values on the way up, and on the way down by the same key turned round.
     line = line.withColumn("given", given)
-    near = _nearest_both_ways(line, F.max("given"), F.min("given"), "value", "is_boundary", width).where("is_boundary = 1")
+    near = _nearest_both_ways(line, F.max("given"), F.min("given"), "value", "is_boundary", width * 1).where("is_boundary = 1")
     near = near.withColumnsRenamed({"before": "under", "after": "over"})
     near = near.withColumn("over", F.when(F.col("under") == F.col("value"), F.col("under")).otherwise(F.col("over")))
     above = F.col("under").isNull() | (F.col("over") - F.col("value") <= F.col("value") - F.col("under"))
@@ -229,9 +294,13 @@ def snap(boundaries: DataFrame, candidates: DataFrame, *, warn_over: float, widt
     return out.withColumn("warned", F.col("distance") > warn_over)
 
 
-def uncovered_words(words: DataFrame, markers: DataFrame, *, width: float) -> DataFrame:
+def uncovered_words(words: DataFrame, markers: DataFrame, *, width: float | Levels) -> DataFrame:
     """Words with a visible character that no marker touches (see ``word_in_window``)."""
     visible = words.where(F.regexp_replace("word", r"(?U)\s+", "") != "")
+    if isinstance(width, Levels):
+        long_spans = islands(markers).select(KEY, F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
+        hits = meet(visible.select(KEY, "segment_id", "word_pos", "start", "stop"), long_spans, width).where(word_in_window(F.col("start"), F.col("stop"), F.col("r_start"), F.col("r_stop")))
+        return visible.join(hits.select(KEY, "segment_id", "word_pos").distinct(), [KEY, "segment_id", "word_pos"], "left_anti")
     spans = _dealt(islands(markers).select(KEY, F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), "r_start", "r_stop", width, "_bucket")
     # Touching markers are one span, so a word meets a marker if and only if it meets a span.
     dealt = _dealt(visible, "start", "stop", width, "_bucket")
@@ -251,7 +320,7 @@ def islands(intervals: DataFrame) -> DataFrame:
     return numbered.groupBy(KEY, "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("n")
 
 
-def uncovered_lines(lines: DataFrame, markers: DataFrame, *, width: float) -> DataFrame:
+def uncovered_lines(lines: DataFrame, markers: DataFrame, *, width: float | Levels) -> DataFrame:
     """Lines (recording_id, segment_id, start, stop) that the union of the markers does not cover entirely."""
     spans = islands(markers).select(KEY, F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
     covered = meet(lines, spans, width).where("r_start <= start and stop <= r_stop").select(KEY, "segment_id").distinct()
@@ -261,10 +330,10 @@ def uncovered_lines(lines: DataFrame, markers: DataFrame, *, width: float) -> Da
 # ---------------------------------------------------------------- id ranges
 
 
-def block_chapters(chapters: DataFrame) -> DataFrame:
-    """(recording_id, block_id, chapter_id): closed ranges written out; of overlapping chapters the later in the list."""
-    rows = chapters.where("block_id_start <= block_id_end").select(KEY, "chapter_id", "seq", F.explode(F.sequence("block_id_start", "block_id_end")).alias("block_id"))
-    return rows.groupBy(KEY, "block_id").agg(F.max_by("chapter_id", "seq").alias("chapter_id"))
+def block_chapters(chapters: DataFrame, value: str = "chapter_id") -> DataFrame:
+    """(recording_id, block_id, chapter_id or another value): closed ranges written out; of overlapping chapters the later in the list."""
+    rows = chapters.where("block_id_start <= block_id_end").select(KEY, value, "seq", F.explode(F.sequence("block_id_start", "block_id_end")).alias("block_id"))
+    return rows.groupBy(KEY, "block_id").agg(F.max_by(value, "seq").alias(value))
 
 
 def chapter_blocks(chapters: DataFrame, blocks: DataFrame) -> DataFrame:

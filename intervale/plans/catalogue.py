@@ -86,6 +86,38 @@ def unify_blocks_nested(t: Tables) -> DataFrame:
     )
 
 
+#: Spans from a second to over a day long, by the event's id.
+LONG = "SELECT event_type, user_id AS recording_id, event_id, epoch_us(ts) AS start, epoch_us(ts) + (1000000 * pow(10, event_id % 6))::BIGINT AS stop FROM events"
+
+
+def _long_spans(t: Tables) -> DataFrame:
+    return t.events().select("event_type", F.col("user_id").alias(KEY), "event_id", F.col("us").alias("start"), (F.col("us") + (1_000_000 * F.pow(F.lit(10), F.col("event_id") % 6)).cast("long")).alias("stop"))
+
+
+@query(f"""
+    WITH e AS ({LONG}), a AS (SELECT * FROM e WHERE event_type <> 'error'), v AS (SELECT * FROM e WHERE event_type = 'error')
+    SELECT a.recording_id, a.event_id AS block_id, v.event_id AS ord, greatest(a.start, v.start) AS slot_start, least(a.stop, v.stop) AS slot_stop
+    FROM a JOIN v ON a.recording_id = v.recording_id AND a.start < v.stop AND a.stop > v.start
+""")
+def unequal_overlap_slots(t: Tables) -> DataFrame:
+    """Overlaps of intervals whose lengths span five orders of magnitude."""
+    spans = _long_spans(t)
+    blocks = spans.where("event_type <> 'error'").select(KEY, F.col("event_id").alias("block_id"), "start", "stop")
+    visuals = spans.where("event_type = 'error'").select(KEY, F.col("event_id").alias("ord"), F.col("start").alias("v_start"), F.col("stop").alias("v_stop"))
+    return intervals.overlap_slots(blocks, visuals, width=intervals.Levels(1_000_000)).select(KEY, "block_id", "ord", "slot_start", "slot_stop")
+
+
+@query(f"""
+    WITH e AS ({LONG}), f AS ({b.FRAMES})
+    SELECT f.recording_id, f.frame_id AS point_id, f.ts, min(e.event_id) AS segment_id
+    FROM f LEFT JOIN (SELECT * FROM e WHERE event_type <> 'error') e ON f.recording_id = e.recording_id AND start <= ts AND ts <= stop GROUP BY ALL
+""")
+def unequal_segment_at(t: Tables) -> DataFrame:
+    """Points in segments of a second to over a day."""
+    segments = _long_spans(t).where("event_type <> 'error'").select(KEY, F.col("event_id").alias("segment_id"), F.col("event_id").alias("seq"), "start", "stop")
+    return intervals.segment_at(t.frames().select(KEY, F.col("frame_id").alias("point_id"), "ts"), segments, width=intervals.Levels(1_000_000))
+
+
 def _text_sql(condition: str) -> str:
     return f"""
     WITH w AS ({b.MARKERS}), s AS ({b.LINES})

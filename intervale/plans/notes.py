@@ -98,7 +98,7 @@ def assemble(
     stem of the source's name.  A chapter without a section is an error.
     """
     anchored = chapters.withColumn("anchor", fn.chapter_anchor(F.col("chapter_id"), F.col("title")))
-    of_block = intervals.block_chapters(chapters).join(anchored.select(KEY, "chapter_id", "anchor"), [KEY, "chapter_id"])
+    of_block = intervals.block_chapters(anchored, "anchor")
     anchors = of_block.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("block_id").cast("long"), "anchor"))).alias("anchors"))
     sources = recordings.select(KEY, "source_path")
     body = validate.lookup(anchored, sections, [KEY, "chapter_id"], ["text"], "section").join(anchors, KEY, "left").join(sources, KEY)
