@@ -351,6 +351,8 @@ PARITIES = 512
 FEW_SETS = 4
 #: A key with more entries is a grid of blocks of about so many, of which any two meet in a cell of their own.
 ENTRIES_A_BLOCK = 20_000
+#: Entries that a task of the exact pairing is dealt, and that it takes in at once (with up to 64 bytes of parities each).
+ENTRIES_A_TASK, ENTRIES_HELD = 500_000, 100_000
 PART_BYTES = 4 << 20
 
 
@@ -456,15 +458,16 @@ def _may_be_similar(share: Fraction, n: np.ndarray, pos: np.ndarray, x: np.ndarr
     return (left * (p + q) >= p * (n[x] + n[y])) & (np.minimum(n[x], n[y]) * q >= p * np.maximum(n[x], n[y]))
 
 
-def shared_prefixes(sets: DataFrame, rows: int, common: tuple[np.ndarray, np.ndarray], share: Fraction) -> DataFrame:
+def shared_prefixes(sets: DataFrame, entries: int, common: tuple[np.ndarray, np.ndarray], share: Fraction) -> DataFrame:
     """(cid, n, keys) -> (key, cid, n, pos, other) of the shingles of prefixes that two or more sets share.
 
     A shingle that few sets share gives their pairs (cid, other); any other one
     gives its entries, without another.  Entries of a common shingle are dealt
-    out by set as well, and all stay.
+    out by set as well, and all stay.  ``entries`` is how many there are, by which
+    they are dealt to tasks.
     """
     spark = sets.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 100 // ROWS_A_TASK)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ROWS_A_TASK)
     shared = spark.sparkContext.broadcast(common[0])  # at most MOST_COMMON
     kind = np.dtype([("key", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
@@ -524,22 +527,45 @@ def shared_prefixes(sets: DataFrame, rows: int, common: tuple[np.ndarray, np.nda
     return dealt.mapInArrow(meet, "key long, cid long, n long, pos long, other long")
 
 
-def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: int | None) -> DataFrame:
+def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: int | None, total: int) -> DataFrame:
     """(u, v) of entries (key, cid, n, pos, root) of one key and different roots that may be similar.
 
     With a turn, each key's entries are paired with one of them, another one
     each turn; without, all with all, and entries have parities (odd).  A key of ``hot`` (key, blocks) is dealt to
     blocks: with a turn each is on its own, without every two meet.  Only pairs
     that sizes, places or parities rule out are left out: sets of that similarity
-    differ in at most (1 - share) / (1 + share) of their sizes' sum.
+    differ in at most (1 - share) / (1 + share) of their sizes' sum.  ``total`` is
+    the number of entries, by which they are dealt to tasks; a task gets its keys
+    in order and holds the entries of a few at a time, at most those of two blocks of one.
     """
-    spark = entries.sparkSession
+    spark, most_held = entries.sparkSession, ENTRIES_HELD
 
     def pair(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high = (batch.column(i).to_numpy() for i in (0, 5, 6))
+            if sum(b.num_rows for b in held) >= most_held:
+                # The last key's entries may go on in the next batch.
+                cut = int(np.flatnonzero((key != key[-1]) | (low != low[-1]) | (high != high[-1])).max(initial=-1)) + 1
+                before = held[-1]
+                if cut:
+                    yield from pairs_of([*held, batch.slice(0, cut)])
+                    held = [batch.slice(cut)]
+                    continue
+                if any(before.column(i)[-1].as_py() != x[0] for i, x in ((0, key), (5, low), (6, high))):
+                    yield from pairs_of(held)
+                    held = []
+            held.append(batch)
+        if held:
+            yield from pairs_of(held)
+        give_back()
+
+    def pairs_of(batches):
+        """Pairs of whole keys."""
         words = lambda c, rows: np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(rows, -1) if turn is None else np.zeros((rows, 0), "<u8")
-        got = [[c.to_numpy() for c in b.columns[:8]] + [words(b.columns[-1], b.num_rows)] for b in batches if b.num_rows]
-        if not got:
-            return
+        got = [[c.to_numpy() for c in b.columns[:8]] + [words(b.columns[-1], b.num_rows)] for b in batches]
         *numbers, odd = (np.concatenate(x) for x in zip(*got, strict=True))
         key, cid, n, pos, root, low, high, block = (x.astype(np.int64) for x in numbers)
         order = np.lexsort((_mix(cid + (turn or 0)), block, high, low, key))
@@ -569,14 +595,13 @@ def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: i
                 yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
                 held = held[:0]
         yield pa.record_batch({"u": np.ascontiguousarray(held[:, 0]), "v": np.ascontiguousarray(held[:, 1])})
-        give_back()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ENTRIES_A_TASK)
     dealt = entries.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
     others = F.array("block") if turn is not None else F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = dealt.withColumn("other", F.explode(others)).select("key", "cid", "n", "pos", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *(["odd"] if turn is None else []))
-    return dealt.repartition(parts, "key", "low", "high").mapInArrow(pair, "u long, v long").distinct()
+    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(pair, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
@@ -666,7 +691,7 @@ def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets:
         if last:  # only entries of keys that still have different roots can pair
             mixed = alike.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
             now = now.join(mixed, "key", "left_semi").join(classes.select("cid", "odd"), "cid")
-        compare_pairs(candidate_pairs(now, hot, share, None if last else turn), str(turn))
+        compare_pairs(candidate_pairs(now, hot, share, None if last else turn, total), str(turn))
         if last:
             break
     return roots
@@ -697,7 +722,8 @@ def without_similar(
         return sets_of(rows, ends.join(classes, "cid").select(F.col("least.row").alias("keeper")), width)
 
     near = near_prints(classes, distance, scratch)
-    entries = scratch.table(shared_prefixes(landed.select(f"{mark}.*"), landed.count(), common, share), "entries")
+    prefixes = landed.agg(F.sum(F.octet_length(F.col(f"{mark}.keys")) / 8).cast("long").alias("n")).first().n or 0
+    entries = scratch.table(shared_prefixes(landed.select(f"{mark}.*"), prefixes, common, share), "entries")
     roots = similar_roots(entries, near, classes, sets, scratch, share)
     labelled = classes.join(roots, classes.cid == roots.node, "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
     keepers = labelled.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1").select("root", F.col("keeper.row").alias("keeper"))

@@ -276,6 +276,30 @@ def test_rounds_of_one_text_a_key_lose_no_pair(spark, monkeypatch):
     assert kept_ids(spark, rows) == first_of_each(rows)
 
 
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_pairs_do_not_depend_on_how_keys_are_taken_in(spark, monkeypatch, held):
+    """Keys of one to many entries, over batches of Arrow of a few rows: every pair of different roots of a key, once."""
+    from fractions import Fraction
+
+    from intervale.llm import simhash
+
+    monkeypatch.setattr(simhash, "ENTRIES_HELD", held)
+    monkeypatch.setattr(simhash, "ENTRIES_A_TASK", 50)
+    sizes = [1, 2, 3, 9, 30, 1, 12]
+    rows = [(key, 100 * key + i, 10, 0, 100 * key + i // 2, b"\0" * 64) for key, n in enumerate(sizes) for i in range(n)]
+    entries = spark.createDataFrame(rows, "key long, cid long, n long, pos long, root long, odd binary")
+    hot = spark.createDataFrame([(4, 3)], "key long, blocks long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted(map(tuple, simhash.candidate_pairs(entries, hot, Fraction(4, 5), None, len(rows)).collect()))
+        star = simhash.candidate_pairs(entries.drop("odd"), hot, Fraction(4, 5), 0, len(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]]
+    assert got == sorted(want) and set(map(tuple, star)) <= set(want) and len(star) < len(want)
+
+
 def test_every_pair_at_the_least_similarity_meets(spark):
     rng = random.Random(32)
     rows = []
