@@ -80,6 +80,29 @@ def stale(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     return requests.join(manifest.select(KEY, "stage_name", "cache_key", "output_paths").distinct(), [KEY, "stage_name", "cache_key", "output_paths"], "left_anti")
 
 
+def stale_closure(made: DataFrame, changed: DataFrame, *, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(recording_id, stage_name, depth): the changed results and all that were made from them, directly or not.
+
+    made (recording_id, stage_name, inputs, outputs) says which files each result
+    read and wrote, of whatever recording; ``depth`` is the least number of steps
+    from a changed one.  A round a step: only what the last one reached is
+    followed, and a result is followed once, however many ways lead to it, so
+    shared inputs don't multiply and a circle ends.  ``settle`` keeps a round's rows.
+    """
+    wrote = made.select(F.col(KEY).alias("from_rec"), F.col("stage_name").alias("from_stage"), F.explode("outputs").alias("path"))
+    read = made.select(KEY, "stage_name", F.explode("inputs").alias("path"))
+    steps = settle(wrote.join(read, "path").select("from_rec", "from_stage", KEY, "stage_name").distinct())
+    last = known = settle(changed.select(KEY, "stage_name").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not last.isEmpty():
+        depth += 1
+        ends = last.select(F.col(KEY).alias("from_rec"), F.col("stage_name").alias("from_stage"))
+        reached = steps.join(ends, ["from_rec", "from_stage"], "left_semi").select(KEY, "stage_name").distinct()
+        last = settle(reached.join(known, [KEY, "stage_name"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = known.unionByName(last)
+    return known
+
+
 def fallback(rows: DataFrame, attempts: list[Callable[[DataFrame], DataFrame]], key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pass rows through attempts in turn; each gives (key, .., is_valid).  Returns (accepted, left over).
 

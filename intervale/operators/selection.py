@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "recording_id"
@@ -93,6 +93,25 @@ def distinct_times(frames: DataFrame, first_frames: DataFrame | None = None) ->
     return kept.unionByName(bare.select(KEY, zero("ts"), F.col("frame_id").cast(kept.schema["frame_id"].dataType).alias("frame_id"), zero("seq")))
 
 
+def change_scores(frames: DataFrame, *, block: int) -> DataFrame:
+    """(recording_id, frame, ts, feature) -> (recording_id, frame, ts, score): how far each frame is from the one before.
+
+    The score is the mean absolute difference of features; a recording's first
+    frame has 0, and so has one whose neighbour has another size.  Frames are dealt to
+    blocks of ``block`` numbers, and each block is lent the last frame of the
+    block before it, so a recording is spread over tasks and only one frame a
+    block travels twice.
+    """
+    rows = frames.select(KEY, "frame", "ts", "feature", F.floor(F.col("frame") / block).cast("long").alias("_block"))
+    tails = rows.groupBy(KEY, "_block").agg(F.max_by(F.struct("frame", "feature"), "frame").alias("tail"))
+    lent = tails.withColumn("tail", F.lag("tail").over(Window.partitionBy(KEY).orderBy("_block"))).where("tail is not null")
+    lent = lent.select(KEY, "tail.frame", F.lit(None).cast(frames.schema["ts"].dataType).alias("ts"), "tail.feature", "_block", F.lit(True).alias("_lent"))
+    before = F.lag("feature").over(Window.partitionBy(KEY, "_block").orderBy("frame"))
+    joined = rows.withColumn("_lent", F.lit(False)).unionByName(lent).withColumn("_before", before).where("not _lent")
+    score = F.when((F.size("_before") == F.size("feature")) & (F.size("feature") > 0), mean_difference(F.col("_before"), F.col("feature")))
+    return joined.select(KEY, "frame", "ts", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 def scene_cuts(scores: DataFrame, *, thresholds: list[float], least_frames: int) -> DataFrame:
     """(recording_id, threshold, start, stop) of scenes between cuts, from the change scores of a recording's frames.
 

@@ -37,6 +37,16 @@ def frame_times(t: Tables) -> DataFrame:
     return selection.frame_times(middle, representative="last").select(KEY, "window_id", "middle", F.col("ts").alias("last"))
 
 
+@query("""
+    WITH f AS (SELECT label AS recording_id, vec_id AS frame, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
+    SELECT recording_id, frame, round(CASE WHEN len(p) = len(e) THEN list_sum(list_transform(list_zip(p, e), lambda x: abs(x[1] - x[2]))) / len(e) ELSE 0 END, 9) AS score FROM f
+""")
+def change_scores(t: Tables) -> DataFrame:
+    """Vectors of a label as the frames of a recording."""
+    frames = t.raw("embeddings").select(F.col("label").alias(KEY), F.col("vec_id").alias("frame"), F.col("vec_id").alias("ts"), F.col("embedding").cast("array<double>").alias("feature"))
+    return selection.change_scores(frames, block=64).select(KEY, "frame", F.round("score", 9).alias("score"))
+
+
 SCORED = "SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, epoch_us(ts) AS ts, floor(value) AS score FROM events"
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.operators import admission, memo
@@ -16,8 +16,9 @@ from intervale.plans import bindings as b
 from intervale.plans import clients, completion, config, leases, refine
 from intervale.plans.bindings import KEY, Tables
 from intervale.plans.catalogue import query
+from intervale.settling import fresh_folder, settle
 from intervale.shipping import ship
-from intervale.sources import catalog
+from intervale.sources import catalog, connector
 
 PROFILE = config.Profile("test", "openai_chat", capabilities=frozenset({"json_mode"}), max_context=400)
 _number = re.compile(r"#(\d+)")
@@ -131,7 +132,7 @@ def leased_requests(t: Tables) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     rows = t.raw("conversations").groupBy(F.col("conv_id").alias(KEY)).agg(F.array_join(turns, "\n").alias("prompt")).withColumn("tokens", admission.token_estimate(F.length("prompt"), F.lit(0)))
     with leases.LeaseOffice(t.spark, {"shared": (LEASED_REQUESTS, LEASED_TOKENS)}, window=LEASED_WINDOW) as office:
-        done = completion.settle(clients.complete_rows(rows, clients.EchoClient, tokens="tokens", make_gate=office.desk("shared"), tasks=4, at_once=5, trace=True))
+        done = settle(clients.complete_rows(rows, clients.EchoClient, tokens="tokens", make_gate=office.desk("shared"), tasks=4, at_once=5, trace=True))
     log = admission.usage(leases.lease_log(done, "shared"), window_us=int(LEASED_WINDOW * leases.MICROS))
     over = (F.col("window_requests") > LEASED_REQUESTS) | ((F.col("window_tokens") > LEASED_TOKENS) & (F.col("tokens") <= LEASED_TOKENS))
     return done.select(KEY, "answer", log.agg(F.count_if(over)).scalar().alias("crowded"))
@@ -270,8 +271,39 @@ def section_counts(t: Tables) -> DataFrame:
     return memo.section_counts(_requests(t), memo.hits(_requests(t), _known(t)))
 
 
+_LINE = "SELECT o_custkey AS r, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders"
+
+
+@query(f"""
+    WITH RECURSIVE l AS ({_LINE}), steps AS (SELECT a.r, a.n AS at, b.n AS next FROM l a JOIN l b ON a.r = b.r AND b.n > 1 AND a.n IN (b.n - 1, b.n // 2)),
+    reach AS (SELECT r, n, 0 AS depth FROM l WHERE o % 11 = 0 UNION SELECT s.r, s.next, depth + 1 FROM reach JOIN steps s ON s.r = reach.r AND s.at = reach.n)
+    SELECT reach.r AS recording_id, 'stage_' || o AS stage_name, min(depth) AS depth FROM reach JOIN l ON l.r = reach.r AND l.n = reach.n GROUP BY ALL
+""")
+def stale_stages(t: Tables) -> DataFrame:
+    """A customer's orders as stages, each of which reads what the one before it made and what the one at half its place made."""
+    n = F.col("n")
+    line = t.raw("orders").select(F.col("o_custkey").alias(KEY), F.col("o_orderkey").alias("o"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
+    path = lambda i: F.concat_ws("/", F.col(KEY).cast("string"), i.cast("int").cast("string"))
+    made = line.select(KEY, F.concat(F.lit("stage_"), "o").alias("stage_name"), F.when(n > 1, F.array(path(n - 1), path(F.floor(n / 2)))).otherwise(F.array().cast("array<string>")).alias("inputs"), F.array(path(n)).alias("outputs"), "o")
+    return memo.stale_closure(made, made.where("o % 11 = 0"), settle=settle)
+
+
 # ---------------------------------------------------------------- artifacts
 
+
+@query("""
+    SELECT s_nationkey::VARCHAR AS input_hash, 'sections/' || printf('%03d', row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) || '.md' AS path, '# ' || s_name || chr(10) AS text FROM suppliers_of
+""".replace("suppliers_of", "supplier"))
+def published_sections(t: Tables) -> DataFrame:
+    """A file for each supplier as a chapter of its nation, written as a whole and read back from the run folders."""
+    n = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    sections = t.raw("supplier").select(F.col("s_nationkey").alias(KEY), n.alias("chapter_id"), F.concat(F.lit("# "), "s_name", F.lit("\n")).alias("text"))
+    root = fresh_folder(t.spark, "sections")
+    connector.write_files(connector.section_files(sections), root, run_id="all", stage="section")
+    found = connector.read_artifacts(t.spark, root).where("artifact = 'sections_dir'")
+    return found.select("input_hash", "path", F.decode("content", "utf-8").alias("text"))
+
+
 _NAMES = list(catalog.ARTIFACTS)
 _STATES = " UNION ALL ".join(f"SELECT k, {i} AS i, '{n}' AS artifact, '{s}' AS stage FROM customer_keys" for i, (n, (_, s)) in enumerate(catalog.ARTIFACTS.items()))
 _ORDER = {s: i for i, s in enumerate(dict.fromkeys(s for _, s in catalog.ARTIFACTS.values()))}

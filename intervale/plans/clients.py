@@ -152,7 +152,7 @@ def raise_first(answered: DataFrame, *order: str) -> None:
     """Raise the error of the first failed row in the order given, if any failed.
 
     For callers that want a failed request to end the job: rows are asked first,
-    all of them, and their answers should be kept (``completion.settle``) before.
+    all of them, and their answers should be kept (``settling.settle``) before.
     """
     first = answered.where("error_class is not null").orderBy(*order).select("error_class", "message").first()
     if first is not None:

@@ -1,7 +1,7 @@
 """Model stages as DataFrame passes: ask, check the answer, ask again with what was wrong.
 
-Every pass ends in a checkpoint, so that no model is asked twice for one row
-however often later passes read it.
+Every pass ends in a table of the shared folder, so that no model is asked twice
+for one row however often later passes read it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from intervale.operators.admission import token_estimate
 from intervale.plans.clients import Client, complete_rows
 from intervale.plans.config import Options, Profile
 from intervale.schemas import TEXT_MEDIA
+from intervale.settling import settle
 from intervale.sources.files import strict_json
 
 KEY = "recording_id"
@@ -30,17 +31,6 @@ JUDGEMENTS = (
 DESCRIPTION = "visible_text string, visible_evidence array<string>, description string"
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """The frame's rows in the shared folder of ``spark.checkpoint.dir``; a folder of our own where a local session names none."""
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "file:///tmp/checkpoints/intervale")
-    return frame.checkpoint()
-
-
 def complete_text(rows: DataFrame, make_client: Callable[[], Client], profile: Profile, options: Options = Options(), *, prompt: str = "prompt", images: Column | None = None, **calls) -> DataFrame:
     """rows plus ``answer``, or ``error_class`` and ``message``.
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from intervale.operators import sequence, validate
 from intervale.plans.clients import Client
-from intervale.plans.completion import complete_json, settle
+from intervale.plans.completion import complete_json
 from intervale.plans.config import Profile
+from intervale.settling import settle
 
 KEY = "recording_id"
 #: The units of each mode, in the order in which they are tried.

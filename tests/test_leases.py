@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from intervale.operators import admission
 from intervale.operators.admission import Limiter
-from intervale.plans import clients, completion, config, leases, services
+from intervale.plans import clients, config, leases, services
+from intervale.settling import settle
 
 
 def slow_echo():
@@ -44,7 +45,7 @@ def test_grouped_requests_share_one_limit(spark):
     grouped = spark.range(3000).groupBy((F.col("id") % 1000).alias("k")).agg(F.concat(F.lit("p"), F.min("id").cast("string")).alias("prompt"), F.sum("id").alias("s")).withColumn("tokens", (F.col("k") % 7 + 1).cast("long"))
     limit, most_tokens, window = 150, 450, 0.3
     with leases.LeaseOffice(spark, {"p": (limit, most_tokens)}, window=window) as office:
-        rows = completion.settle(clients.complete_rows(grouped, slow_echo(), tokens="tokens", make_gate=office.desk("p"), tasks=4, at_once=5, trace=True)).toPandas()
+        rows = settle(clients.complete_rows(grouped, slow_echo(), tokens="tokens", make_gate=office.desk("p"), tasks=4, at_once=5, trace=True)).toPandas()
     assert len(rows) == 1000 and (rows.answer == "p" + rows.k.astype(str)).all()
     assert sorted(rows.task.unique()) == [0, 1, 2, 3] and rows.groupby("task").size().min() > 150
     for _, own in rows.groupby("task"):
@@ -101,7 +102,7 @@ def test_retries_take_new_leases(spark):
 
 def test_first_error_in_order(spark):
     rows = spark.createDataFrame([(i, f"{'worse' if i == 7 else 'bad' if i == 3 else 'ok'} {i}") for i in range(20)], "seq int, prompt string")
-    done = completion.settle(clients.complete_rows(rows, slow_echo(), tasks=3, at_once=2))
+    done = settle(clients.complete_rows(rows, slow_echo(), tasks=3, at_once=2))
     assert done.where("answer is not null").count() == 18
     with pytest.raises(clients.AuthError, match="bad 3"):
         clients.raise_first(done, "seq")
