@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from intervale.operators.graphs import components
 
 KEY = "recording_id"
 
@@ -201,3 +210,95 @@ def greedy_dedupe(items: DataFrame, *, threshold: float, group: str = KEY) -> Da
     empty = F.array().cast(gathered.schema["items"].dataType)
     folded = gathered.select(group, F.explode(F.aggregate("items", empty, step)).alias("k"))
     return folded.select(group, "k.seq", "k.item_id", "k.score")
+
+
+def spread_greedy(items: DataFrame, *, threshold: float, settle: Callable[[DataFrame], DataFrame], group: str = KEY, pivots: int = 3) -> DataFrame:
+    """``greedy_dedupe`` for groups of any size: the same rows, from many tasks and without an array of a group.
+
+    By the triangle inequality, items nearer than the threshold are so by their
+    distances to a few pivots as well: a group's first item, the one farthest from it,
+    and so on.  Cells of that width over these distances that touch are one
+    region, and items of different regions never meet, so each region is
+    folded on its own, as a stream in ``seq`` order that holds what is kept,
+    by cell.  What is kept lies apart, so a cell holds little of it however many
+    items pass through.  A region that is one cloud is one task.  Items without a
+    feature, or with one that isn't finite, are near nothing and stay; those of
+    different sizes are near nobody of the other size.  Ties in ``seq`` go by
+    ``item_id``.
+    """
+    if threshold <= 0:  # nothing is nearer
+        return items.select(group, "seq", "item_id", F.col("score").cast("double").alias("score"))
+    feature = F.col("feature").cast("array<double>")
+    able = F.coalesce((F.size(feature) > 0) & F.forall(feature, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    rows = items.select(group, "seq", "item_id", F.col("score").cast("double").alias("score"), feature.alias("feature"), F.size(feature).alias("_size"), able.alias("_able"))
+    rows = rows.withColumn("_group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))  # null is a group
+    alone = rows.where("not _able").select(group, "seq", "item_id", "score")
+    key = ["_group", "_size"]
+    placed, axes = rows.where("_able").drop("_able"), []
+    for i in range(pivots):
+        far = F.max_by("feature", F.struct(F.least(F.lit(float("inf")), *axes), "seq", "item_id")) if axes else F.min_by("feature", F.struct("seq", "item_id"))
+        pivot = placed.groupBy(*key).agg(far.alias("_pivot"))
+        placed = settle(placed.join(pivot, key).withColumn(f"_d{i}", mean_difference(F.col("feature"), F.col("_pivot"))).drop("_pivot"))
+        axes.append(f"_d{i}")
+    # A little wider than the threshold, for what rounding may add to a distance.
+    cell = F.array(*[F.floor(F.least(F.col(d) / (threshold * (1 + 1e-9)), F.lit(1e15))).cast("long") for d in axes])
+    placed = placed.withColumn("cell", cell).withColumn("place", F.xxhash64(*key, "cell"))  # two cells of one hash share a region, which harms nothing
+    cells = settle(placed.select(*key, "cell", "place").distinct())
+    around = F.array(*[F.array(*[F.get("cell", F.lit(i)) + step for i, step in enumerate(steps)]) for steps in itertools.product((-1, 0, 1), repeat=pivots) if steps > (0,) * pivots])
+    touching = cells.withColumn("beside", F.explode(around)).join(cells.select(*key, F.col("cell").alias("beside"), F.col("place").alias("b")), [*key, "beside"]).select(F.col("place").alias("a"), "b")
+    roots = components(touching, settle=settle)
+    placed = placed.join(roots, placed.place == roots.node, "left").withColumn("region", F.coalesce("root", "place")).drop("node", "root", "place", "_group", *axes)
+    kind = T.StructType([placed.schema[c] for c in (group, "seq", "item_id", "score")])
+    names = [f.name for f in kind.fields]
+
+    def fold(batches):
+        now, kept = None, None
+        for batch in batches:
+            regions = list(zip(batch.column("g").to_pylist(), batch.column("region").to_pylist(), batch.column("size").to_pylist(), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("g", "seq", "item_id", "score", "cell")]
+            features = batch.column("feature")
+            for i, region in enumerate(regions):
+                if region != now:
+                    if kept is not None:
+                        yield kept.rows(kind)
+                    now, kept = region, _Kept(threshold)
+                g, seq, item_id, score, at = (c[i] for c in columns)
+                kept.meet((g, seq, item_id, score), np.array(features[i].values), tuple(at))
+        if kept is not None:
+            yield kept.rows(kind)
+
+    dealt = placed.select(F.col(group).alias("g"), "seq", "item_id", "score", "feature", "cell", F.col("_size").alias("size"), "region")
+    folded = dealt.repartition("region").sortWithinPartitions("region", "g", "size", "seq", "item_id").mapInArrow(fold, kind)
+    return folded.select(*names).unionByName(alone)
+
+
+def _order(score: float) -> tuple[bool, float]:
+    """NaN is larger than any number, as in Spark."""
+    return (True, 0.0) if math.isnan(score) else (False, score)
+
+
+class _Kept:
+    """What a greedy pass has kept of a region so far, by cell."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.cells = threshold, {}
+
+    def meet(self, row: tuple, feature: np.ndarray, cell: tuple[int, ...]) -> None:
+        near = []
+        for at in itertools.product(*[(c - 1, c, c + 1) for c in cell]):
+            held = self.cells.get(at)
+            if held:
+                off = np.add.accumulate(np.abs(np.stack([f for _, f in held]) - feature), axis=1)[:, -1] / len(feature)
+                near += [(at, held[i][0]) for i in np.flatnonzero(off < self.threshold)]
+        best = max((_order(old[3]) for _, old in near if old[3] is not None), default=None)
+        if near and (best is None or row[3] is None or _order(row[3]) <= best):  # a score that isn't there beats none
+            return
+        for at, old in near:
+            self.cells[at] = [x for x in self.cells[at] if x[0] is not old]
+        self.cells.setdefault(cell, []).append((row, feature))
+
+    def rows(self, kind: T.StructType) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        found = [row for held in self.cells.values() for row, _ in held]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(to_arrow_schema(kind))], names=[f.name for f in kind.fields])

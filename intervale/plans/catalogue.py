@@ -13,6 +13,7 @@ from intervale.plans import bindings as b
 from intervale.plans import notes
 from intervale.plans.bindings import HOUR, KEY, Tables
 from intervale.schemas import TEXT_MEDIA
+from intervale.settling import settle
 from intervale.sources import files
 
 DAY = 24 * HOUR
@@ -308,6 +309,23 @@ def greedy_near_duplicate(t: Tables) -> DataFrame:
     return selection.greedy_dedupe(items, threshold=0.1327)
 
 
+@query("""
+    WITH items AS (SELECT 0 AS recording_id, list({'seq': vec_id, 'f': embedding::DOUBLE[], 's': (vec_id * 37 % 101)::DOUBLE} ORDER BY vec_id) AS xs FROM embeddings),
+    near AS (SELECT recording_id, list_reduce(xs, lambda acc, x:
+        CASE WHEN len(list_filter(acc, lambda k: list_sum(list_transform(list_zip(k.f, x.f), lambda p: abs(p[1] - p[2]))) / 64 < 0.12)) = 0 THEN list_append(acc, x)
+             WHEN x.s > list_max(list_transform(list_filter(acc, lambda k: list_sum(list_transform(list_zip(k.f, x.f), lambda p: abs(p[1] - p[2]))) / 64 < 0.12), lambda k: k.s))
+             THEN list_append(list_filter(acc, lambda k: NOT (list_sum(list_transform(list_zip(k.f, x.f), lambda p: abs(p[1] - p[2]))) / 64 < 0.12)), x)
+             ELSE acc END, []::STRUCT(seq BIGINT, f DOUBLE[], s DOUBLE)[]) AS kept FROM
+        (SELECT recording_id, list_transform(xs, lambda x: {'seq': x.seq, 'f': x.f, 's': x.s}) AS xs FROM items))
+    SELECT recording_id, k.seq AS seq, k.seq AS item_id, k.s AS score FROM (SELECT recording_id, unnest(kept) AS k FROM near)
+""")
+def spread_near_duplicate(t: Tables) -> DataFrame:
+    """All vectors as the frames of one recording, region by region."""
+    v = t.raw("embeddings")
+    items = v.select(F.lit(0).alias(KEY), F.col("vec_id").alias("seq"), F.col("vec_id").alias("item_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("score"), F.col("embedding").alias("feature"))
+    return selection.spread_greedy(items, threshold=0.12, settle=settle)
+
+
 @query(f"""
     SELECT recording_id, count(*) AS frames, count(*) FILTER (WHERE score >= 150) AS rich, min(ts) AS first_ts, max(ts) AS last_ts FROM ({b.FRAMES}) GROUP BY recording_id
 """)

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from intervale.operators import admission, intervals as iv
+from intervale.operators import admission, graphs, selection
+from intervale.operators import intervals as iv
 from intervale.operators.admission import Limiter
+from intervale.settling import settle
 
 # ---------------------------------------------------------------- intervals of any length
 
@@ -106,3 +108,71 @@ def test_a_busy_log_is_cut_where_it_rests(spark):
     steady = hours.withColumn("t", F.col("seq") * 1.0)
     assert admission.idle_pieces(steady, rpm=10, tpm=None).select("piece").distinct().count() == 1
     assert admission.schedule(hours.limit(0), rpm=1, tpm=1).collect() == []
+
+
+# ---------------------------------------------------------------- greedy removal
+
+ITEMS = "recording_id string, seq long, item_id long, score double, feature array<double>"
+
+
+def both_ways(spark, data, threshold, **more):
+    items = spark.createDataFrame(data, ITEMS).repartition(3)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    return rows(selection.spread_greedy(items, threshold=threshold, settle=settle, **more)), rows(selection.greedy_dedupe(items, threshold=threshold))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_regions_fold_as_the_whole(spark, seed):
+    """Clouds, chains, copies, ties of scores, several recordings."""
+    rng = random.Random(seed)
+    data, seq = [], 0
+    for recording in ("a", "b", None):
+        centres = [[rng.uniform(0, 4) for _ in range(5)] for _ in range(6)]
+        for _ in range(70):
+            seq += 1
+            base = rng.choice(centres)
+            drift = rng.choice([0.0, 0.05, 0.3, 1.0])
+            data.append((recording, seq, seq, float(rng.randrange(6)), [x + rng.uniform(-drift, drift) for x in base]))
+    for threshold in (0.05, 0.4, 2.0, 0.0):
+        spread, whole = both_ways(spark, data, threshold, pivots=2)
+        assert spread == whole and (threshold == 0.0 or len(spread) < len(data))
+
+
+def test_odd_items_are_near_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("a", i, i, s, f) for i, (s, f) in enumerate([(1.0, [0.0, 0.0]), (2.0, None), (3.0, []), (None, [0.0, 0.01]), (nan, [0.0, 0.02]), (5.0, [nan, 0.0]), (6.0, [inf, 0.0]), (7.0, [inf, 0.0]), (8.0, [None, 0.0]), (0.0, [0.0, 0.0, 0.0]), (4.0, [0.0, 0.0])])]
+    spread = {r.item_id for r in selection.spread_greedy(spark.createDataFrame(data, ITEMS), threshold=0.1, settle=settle).collect()}
+    assert spread == {1, 2, 4, 5, 6, 7, 8, 9}  # the one whose score is NaN takes the place of the first, and keeps it
+    assert selection.spread_greedy(spark.createDataFrame([], ITEMS), threshold=0.1, settle=settle).collect() == []
+
+
+def test_one_large_group_is_many_regions(spark):
+    """200,000 items of one recording, a third of them copies of one: many tasks, and no pair of copies is met twice."""
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
+    centre = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 3000)
+    at = lambda k: F.pmod(F.xxhash64(centre, F.lit(k)), F.lit(1000)) * 1.0
+    near = F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0)
+    items = spark.range(0, 200_000, 1, 4).select(F.lit("r").alias("recording_id"), F.col("id").alias("seq"), F.col("id").alias("item_id"), h(9).alias("score"), F.array(*[at(k) + near * h(k) * 0.2 for k in range(4)]).alias("feature"))
+    kept = selection.spread_greedy(items, threshold=0.5, settle=settle)
+    assert kept.withColumn("c", F.when(F.col("item_id") % 3 == 0, 0).otherwise(F.col("item_id") % 3000)).groupBy("c").count().agg(F.count("*"), F.max("count")).first() == (2001, 1)
+    best = items.where("item_id % 3 = 0").agg(F.max("score")).first()[0]
+    assert kept.where("item_id % 3 = 0").first().score == best
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 30)] + [(200, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    got = graphs.components(spark.createDataFrame(edges, "a long, b long"), settle=settle).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in list(parent))
+    assert graphs.components(spark.createDataFrame([], "a long, b long"), settle=settle).collect() == []
