@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,6 +40,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED_UNITS, REMEMBERED_BYTES = 200_000, 80
 PART_BYTES, CELLS_AT_ONCE = 4 << 20, 1 << 20
+#: Units that no more than so many others are as long as are encoded one by one, by the matches of so many places at once.
+SIDE_BY_SIDE, STARTS_AT_ONCE = 128, 1 << 16
 
 
 # ---------------------------------------------------------------- trie
@@ -224,11 +227,66 @@ class Codec:
             ids[place[more] + k] = self.byte_ids[text[rows[more], start[more] + k]]
         return ids, np.bincount(rows, count, n).astype(np.int64), best[np.arange(n), sizes]
 
+    def matches(self, text: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of every piece that starts at places [first, last) of a text, by start and end; all starts walk the trie together."""
+        live, state, found = np.arange(first, last), np.zeros(last - first, np.int64), [(np.zeros(0, np.int64),) * 3]
+        for j in range(len(text)):
+            inside = live + j < len(text)
+            live, state = live[inside], state[inside]
+            to = self.base[state] + text[live + j] + 1
+            held = self.check[to] == state
+            live, state = live[held], to[held]
+            if not len(live):
+                break
+            ends = self.value[state] >= 0
+            found.append((live[ends], live[ends] + j + 1, self.value[state[ends]]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((end, start))
+        return start[order], end[order], piece[order]
+
+    def long_path(self, text: np.ndarray) -> tuple[np.ndarray, float]:
+        """(ids, score) of the best path of one unit, a match at a time: what ``viterbi`` gives, without a step of numpy for each byte."""
+        size, nowhere, unknown = len(text), float("-inf"), self.unknown_score
+        best, came, by = array("d", [nowhere]) * (size + 1), array("i", [0]) * (size + 1), array("i", [-1]) * (size + 1)
+        best[0] = 0.0
+        for first in range(0, size, STARTS_AT_ONCE):
+            last = min(size, first + STARTS_AT_ONCE)
+            start, end, piece = self.matches(text, first, last)
+            bounds, ends, pieces, scores = np.searchsorted(start, np.arange(first, last + 1)).tolist(), end.tolist(), piece.tolist(), self.scores[piece].tolist()
+            lead = text[first:last]
+            whole = np.minimum(size, np.arange(first, last) + 1 + (lead >= 0x80) + (lead >= 0xE0) + (lead >= 0xF0)).tolist()
+            for i in range(first, last):
+                so_far = best[i]
+                if so_far == nowhere:
+                    continue
+                bare, after = True, whole[i - first]
+                for k in range(bounds[i - first], bounds[i - first + 1]):
+                    to, score = ends[k], so_far + scores[k]
+                    if to == after:
+                        bare = False
+                    if score > best[to]:
+                        best[to], came[to], by[to] = score, i, pieces[k]
+                if bare and so_far + unknown > best[after]:
+                    best[after], came[after], by[after] = so_far + unknown, i, -1
+        ids, at = array("i"), size
+        while at:
+            if by[at] >= 0:
+                ids.append(by[at])
+            else:
+                ids.extend(self.byte_ids[text[came[at] : at][::-1]].tolist())
+            at = came[at]
+        return np.frombuffer(ids, np.int32)[::-1] if ids else np.zeros(0, np.int32), best[size]
+
     def _learn(self, units: list[bytes]) -> np.ndarray:
-        """Slots of new units, longest first, in tables of a bounded size."""
+        """Slots of new units, longest first, in tables of a bounded size; those that few others are as long as, one by one."""
         sizes = np.array([len(u) for u in units], np.int64)
         order = np.argsort(-sizes, kind="stable")
         out, at = np.empty(len(units), np.int64), 0
+        rest = int(sizes[order[SIDE_BY_SIDE]]) if len(order) > SIDE_BY_SIDE else 0
+        while at < len(order) and sizes[order[at]] > rest:
+            ids, score = self.long_path(np.frombuffer(units[order[at]], np.uint8))
+            out[order[at]] = self.store.add(ids, np.array([len(ids)]), np.array([score]))[0]
+            at += 1
         while at < len(order):
             rows = order[at : at + max(1, CELLS_AT_ONCE // (int(sizes[order[at]]) + 1))]
             width, some = int(sizes[rows[0]]), sizes[rows]
