@@ -143,26 +143,37 @@ def refined_violations(refined: DataFrame, markers: DataFrame, *, drift: float)
     })
 
 
-def speech_violations(segments: DataFrame) -> DataFrame:
-    """Transcribed segments: start < stop, start not before the end of the last earlier one with text, words not reversed."""
+def speech_violations(segments: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """Transcribed segments: start < stop, start not before the end of the last earlier one with text, words not reversed.
+
+    Of the recordings given, those without any segment break the rule ``empty``, in no row.
+    """
     last = F.last(F.when(~is_blank(F.col("text")), F.col("stop")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    return _report(segments.withColumn("previous_stop", last), "seq", {
+    broken = _report(segments.withColumn("previous_stop", last), "seq", {
         "interval": F.col("start") >= F.col("stop"),
         "order": F.col("start") < F.col("previous_stop"),
         "word": F.exists("words", lambda w: w["start"] > w["stop"]) if "words" in segments.columns else F.lit(False),
     })
+    if recordings is None:
+        return broken
+    empty = recordings.select(KEY).distinct().join(segments.select(KEY), KEY, "left_anti")
+    return broken.unionByName(empty.select(KEY, F.lit(None).cast(broken.schema["row_id"].dataType).alias("row_id"), F.lit("empty").alias("rule")))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], what: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], what: str, *, last_by: str | None = None) -> DataFrame:
     """rows plus the values of the row of ``table`` with the same keys; a row without one is an error when it is read.
 
-    ``table`` has one row for each key.
+    So is one that ``table`` has several rows for, unless ``last_by`` names what
+    orders them: then the last one counts.
     """
-    held = table.select(*keys, *values, F.lit(True).alias("_held"))
+    of_key = [(F.first(v) if last_by is None else F.max_by(v, last_by)).alias(v) for v in values]
+    held = table.groupBy(*keys).agg(F.count("*").alias("_held"), *of_key)
     joined = rows.join(held, keys, "left")
-    lost = F.raise_error(F.concat(F.lit(f"no {what} for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    wrong = F.raise_error(F.concat(F.when(F.col("_held").isNull(), "no").otherwise("more than one"), F.lit(f" {what} for "), named))
+    found = F.col("_held") >= 1 if last_by is not None else F.col("_held") == 1
     # The check guards the values, so that no plan can leave it out.
-    checked = [F.when(F.col("_held"), F.col(v)).otherwise(lost.cast(joined.schema[v].dataType)).alias(v) for v in values]
+    checked = [F.when(found, F.col(v)).otherwise(wrong.cast(joined.schema[v].dataType)).alias(v) for v in values]
     return joined.select(*rows.columns, *checked)
 
 

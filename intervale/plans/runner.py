@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -112,19 +114,66 @@ def run_batch(inputs: Iterable[tuple[str, Callable[[], Any]]]) -> tuple[int, lis
 
 
 @contextmanager
-def one_writer(spark: SparkSession, run_dir: str) -> Iterator[None]:
-    """Hold an input's folder: a lock file that only one run can make, on any store that makes files atomically."""
+def one_writer(spark: SparkSession, run_dir: str, *, stale_after: float = 600.0) -> Iterator[None]:
+    """Hold an input's folder: a lock file that only one run can make, on any store that makes files atomically.
+
+    The holder touches its lock while it runs.  One that nobody has touched for
+    ``stale_after`` seconds is that of a killed run, and is taken over: it is
+    moved away first, and moved back if it turns out to be another's by then.
+    """
     jvm = spark.sparkContext._jvm
     lock = jvm.org.apache.hadoop.fs.Path(f"{run_dir.rstrip('/')}/.lock")
     store = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(lock.getParent())
-    try:
-        out = store.create(lock, False)
-    except Exception as e:
-        raise Busy(f"another run holds {run_dir}") from e
-    try:
-        out.write(bytearray(uuid.uuid4().hex.encode()))
+    owner = uuid.uuid4().hex
+
+    def owner_of(path) -> str | None:
+        try:
+            opened = store.open(path)
+            try:
+                return bytes(opened.readNBytes(32)).decode()
+            finally:
+                opened.close()
+        except Exception:  # it has gone
+            return None
+
+    def make() -> bool:
+        try:
+            out = store.create(lock, False)
+        except Exception:
+            return False
+        out.write(bytearray(owner.encode()))
         out.close()
+        return True
+
+    def take_over() -> bool:
+        try:
+            old, touched = owner_of(lock), store.getFileStatus(lock).getModificationTime()
+        except Exception:  # it has gone
+            return make()
+        if time.time() - touched / 1000 < stale_after:
+            return False
+        aside = jvm.org.apache.hadoop.fs.Path(f"{lock}.{owner}")
+        if not store.rename(lock, aside):
+            return False
+        if owner_of(aside) != old:
+            store.rename(aside, lock)
+            return False
+        store.delete(aside, False)
+        return make()
+
+    if not (make() or take_over()):
+        raise Busy(f"another run holds {run_dir}")
+    ended = threading.Event()
+
+    def touch() -> None:
+        while not ended.wait(stale_after / 4):
+            store.setTimes(lock, int(time.time() * 1000), -1)
+
+    threading.Thread(target=touch, daemon=True).start()
+    try:
         yield
     finally:
-        store.delete(lock, False)
+        ended.set()
+        if owner_of(lock) == owner:
+            store.delete(lock, False)
