@@ -6,6 +6,7 @@ that SQL can tell the outcome.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from intervale.operators import admission, memo
 from intervale.plans import bindings as b
-from intervale.plans import clients, completion, config, leases, refine
+from intervale.plans import clients, completion, config, envelopes, leases, refine
 from intervale.plans.bindings import KEY, Tables
 from intervale.plans.catalogue import query
 from intervale.settling import fresh_folder, settle
@@ -98,6 +99,13 @@ class BusyScript:
         return f"{n} after {self.asked[n]}"
 
 
+class Witness:
+    """Tells what it was shown: every text, and every picture's media type and digest, in their order."""
+
+    def complete_parts(self, parts: list[clients.Part]) -> str:
+        return "\n".join(p.text if p.content is None else f"{p.mime} {hashlib.sha256(p.content).hexdigest()}" for p in parts)
+
+
 def _numbered(rows: DataFrame, number: str, more: str = "") -> DataFrame:
     return rows.withColumn("prompt", F.concat(F.lit("about #"), F.col(number).cast("string"), F.lit(more)))
 
@@ -138,6 +146,30 @@ def leased_requests(t: Tables) -> DataFrame:
     return done.select(KEY, "answer", log.agg(F.count_if(over)).scalar().alias("crowded"))
 
 
+SHOWN, SHOWN_TOKENS = "Which pages are these?", 4_200
+
+
+@query(f"""
+    WITH f AS (SELECT page_id // 7 AS recording_id, page_id, html, 'page ' || page_id || ' of ' || coalesce(url, '') AS label FROM pages),
+    c AS (SELECT *, length(label) // 4 + CASE WHEN html IS NULL THEN 0 ELSE 1024 END + 1 AS cost FROM f),
+    p AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY recording_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                 greatest(1, {SHOWN_TOKENS} - ((length('{SHOWN}') + 4) // 4 + 1) - max(cost) OVER (PARTITION BY recording_id)) AS room FROM c)
+    SELECT recording_id, (before // room)::BIGINT AS request, count(*) AS frames,
+           '{SHOWN}' || chr(10) || string_agg(label || coalesce(chr(10) || 'text/html ' || sha256(html), ''), chr(10) ORDER BY page_id) AS answer, NULL::VARCHAR AS error_class
+    FROM p GROUP BY 1, 2
+""")
+def picture_requests(t: Tables) -> DataFrame:
+    """Pages as pictures, seven a recording, in requests of bounded size; answers tell the digests of what reached the model."""
+    ship(t.spark)
+    p = F.col("page_id")
+    label = F.concat(F.lit("page "), p.cast("string"), F.lit(" of "), F.coalesce("url", F.lit("")))
+    frames = t.raw("pages").select(F.floor(p / 7).alias(KEY), p.alias("frame_id"), (p * 90.0).alias("ts"), F.lit("text/html").alias("mime"), F.encode("html", "utf-8").alias("content"), label.alias("label"))
+    made = envelopes.picture_envelopes(frames, prompt=F.lit(SHOWN), label=F.col("label"), most_tokens=SHOWN_TOKENS, block=200.0)
+    seeing = config.Profile("seeing", "openai_chat", capabilities=frozenset({"vision"}), max_context=SHOWN_TOKENS)
+    done = completion.complete_text(made.withColumn("prompt", F.lit("")), Witness, seeing, parts="parts")
+    return done.select(KEY, "request", F.size("frame_ids").cast("long").alias("frames"), "answer", "error_class")
+
+
 @query("""
     SELECT doc_id, CASE WHEN doc_id % 6 <= 3 THEN doc_id || ' after ' || (doc_id % 6 + 1) END AS answer, CASE WHEN doc_id % 6 > 3 THEN 'RateLimit' END AS error_class FROM documents
 """)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -38,7 +39,18 @@ class TransportError(ClientError):
     """The service can't be reached or is broken."""
 
 
+@dataclass(frozen=True)
+class Part:
+    """A text, or a picture with its media type, of a request."""
+
+    text: str | None = None
+    mime: str | None = None
+    content: bytes | None = None
+
+
 class Client(Protocol):
+    """Answers a prompt; one that takes pictures has ``complete_parts`` as well."""
+
     def complete(self, prompt: str) -> str: ...
 
 
@@ -91,6 +103,7 @@ def complete_rows(
     make_client: Callable[[], Client],
     *,
     prompt: str = "prompt",
+    parts: str | None = None,
     refused: str | None = None,
     tokens: str | None = None,
     make_gate: Callable[[], Callable[[int], int | None]] | None = None,
@@ -105,19 +118,25 @@ def complete_rows(
     named, since rows after a grouping are few and light, and would share one
     task; 0 leaves them where they are), each of which has up to ``at_once``
     requests under way.  Answers stay beside their rows, in the order in which the
-    task got them.  A row with a text in ``refused`` (``class: message``) isn't
+    task got them.  Where a column ``parts`` (see ``envelopes``) is named, its texts
+    and pictures are sent in their order instead of the prompt, and it is
+    left out of what comes back.  A row with a text in ``refused`` (``class: message``) isn't
     sent.  The gate gets the row's ``tokens`` before each attempt; with ``trace``,
     the times that it gives come back as ``leases``, and the seconds at which
     the request began and ended as ``began`` and ``ended``, its task as ``task``.
     """
 
+    unsent = [c for c in (refused, parts) if c]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         client, gate = make_client(), make_gate() if make_gate else lambda n: None
         place = TaskContext.get().partitionId()
 
-        def one(request: tuple[str | None, str | None, int]) -> tuple:
+        send = (lambda x: client.complete_parts([Part(*(p[k] for k in ("text", "mime", "content"))) for p in x])) if parts else client.complete
+
+        def one(request: tuple) -> tuple:
             text, why, n = request
             began, leases = time.time(), []
             if why is not None:
@@ -125,7 +144,7 @@ def complete_rows(
                 return None, kind, said, leases, began, time.time()
             take = lambda: leases.extend(x for x in [gate(n)] if x is not None)
             try:
-                return with_retries(lambda: client.complete(text), sleep, take), None, None, leases, began, time.time()
+                return with_retries(lambda: send(text), sleep, take), None, None, leases, began, time.time()
             except ClientError as e:
                 return None, type(e).__name__.removesuffix("Error"), str(e), leases, began, time.time()
 
@@ -133,14 +152,14 @@ def complete_rows(
             for batch in batches:
                 whys = [x if isinstance(x, str) else None for x in batch[refused]] if refused else [None] * len(batch)
                 sizes = batch[tokens].fillna(0).astype(int) if tokens else [0] * len(batch)
-                done = list(pool.map(one, zip(batch[prompt], whys, sizes, strict=True)))
+                done = list(pool.map(one, zip(batch[parts or prompt], whys, sizes, strict=True)))
                 answer, error, message, leases, began, ended = zip(*done, strict=True) if done else ([],) * 6
-                found = batch.drop(columns=[refused]) if refused else batch
+                found = batch.drop(columns=unsent)
                 found = found.assign(answer=pd.array(answer, dtype="string"), error_class=pd.array(error, dtype="string"), message=pd.array(message, dtype="string"))
                 yield found.assign(leases=list(leases), began=list(began), ended=list(ended), task=place) if trace else found
 
     dealt = rows if tasks == 0 else rows.repartition(tasks or rows.sparkSession.sparkContext.defaultParallelism)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != refused)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in unsent)
     traced = ", leases array<long>, began double, ended double, task int" if trace else ""
     return dealt.mapInPandas(run, f"{schema}, answer string, error_class string, message string{traced}")
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from intervale.functions.text import description_verdict, fenced_json, strip
 from intervale.operators import validate
 from intervale.operators.admission import token_estimate
+from intervale.plans import envelopes
 from intervale.plans.clients import Client, complete_rows
 from intervale.plans.config import Options, Profile
 from intervale.schemas import TEXT_MEDIA
@@ -31,22 +32,23 @@ JUDGEMENTS = (
 DESCRIPTION = "visible_text string, visible_evidence array<string>, description string"
 
 
-def complete_text(rows: DataFrame, make_client: Callable[[], Client], profile: Profile, options: Options = Options(), *, prompt: str = "prompt", images: Column | None = None, **calls) -> DataFrame:
-    """rows plus ``answer``, or ``error_class`` and ``message``.
+def complete_text(rows: DataFrame, make_client: Callable[[], Client], profile: Profile, options: Options = Options(), *, prompt: str = "prompt", parts: str | None = None, images: Column | None = None, **calls) -> DataFrame:
+    """rows plus ``answer``, or ``error_class`` and ``message``; a column of ``parts`` is sent in place of the prompt, and goes.
 
     A request over the profile's context is a ContextLength error, one that asks
     for what the model can't do a Model error; neither is sent.
     """
     asked = profile.options(options)
-    count = F.lit(0) if images is None else images
-    size = token_estimate(F.length(prompt) + len("user"), count) + (options.max_output_tokens or 0)
+    count = envelopes.pictures(F.col(parts)) if parts else F.lit(0) if images is None else images
+    length = envelopes.text_length(F.col(parts)) if parts else F.length(prompt)
+    size = token_estimate(length + len("user"), count) + (options.max_output_tokens or 0)
     plain, seeing = (profile.refuses(asked, images=x) for x in (False, True))
     refused = F.when(F.lit(plain).isNotNull(), F.concat(F.lit("Model: "), F.lit(plain))).when((count > 0) & F.lit(seeing).isNotNull(), F.concat(F.lit("Model: "), F.lit(seeing)))
     if profile.max_context is not None:
         over = F.concat(F.lit("ContextLength: "), size.cast("string"), F.lit(f" > {profile.max_context}"))
         refused = F.when(size > profile.max_context, over).otherwise(refused)
     ready = rows.withColumns({"_refused": refused.cast("string"), "_tokens": size})
-    return complete_rows(ready, make_client, prompt=prompt, refused="_refused", tokens="_tokens", **calls).drop("_tokens")
+    return complete_rows(ready, make_client, prompt=prompt, parts=parts, refused="_refused", tokens="_tokens", **calls).drop("_tokens")
 
 
 def attempts(rows: DataFrame, ask: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame], *, times: int) -> tuple[DataFrame, DataFrame]:
@@ -66,21 +68,23 @@ def attempts(rows: DataFrame, ask: Callable[[DataFrame], DataFrame], again: Call
 
 
 def complete_json(
-    rows: DataFrame, make_client: Callable[[], Client], profile: Profile, schema: str, *, repairs: int = 1, prompt: str = "prompt", options: Options = Options(), **calls
+    rows: DataFrame, make_client: Callable[[], Client], profile: Profile, schema: str, *, repairs: int = 1, prompt: str = "prompt", parts: str | None = None, options: Options = Options(), **calls
 ) -> tuple[DataFrame, DataFrame]:
     """(rows plus ``record`` and ``answer``, failed attempts): answers decoded strictly, whole or from their first fence.
 
     The schema is in DDL.  What doesn't decode is sent back with the reason and
-    the answer, which replace the prompt, as often as ``repairs`` says.
+    the answer, which replace the prompt, as often as ``repairs`` says.  With
+    ``parts``, rows have them beside an unsent prompt; a repair is a text alone.
     """
     options = Options(**(options.__dict__ | {"json_mode": "json_mode" in profile.capabilities}))
 
     def ask(left: DataFrame) -> DataFrame:
-        answered = complete_text(left, make_client, profile, options, prompt=prompt, **calls).withColumn("_json", F.coalesce(fenced_json(F.col("answer")), F.lit("")))
+        answered = complete_text(left, make_client, profile, options, prompt=prompt, parts=parts, **calls).withColumn("_json", F.coalesce(fenced_json(F.col("answer")), F.lit("")))
         return strict_json(answered, "_json", T.StructType.fromDDL(schema)).withColumn("reason", F.when(F.col("error_class").isNull(), F.col("error"))).drop("_json", "error")
 
     def again(bad: DataFrame) -> DataFrame:
-        return bad.withColumn(prompt, F.concat(F.lit(f"{REPAIR}\n\nWhat is wrong: "), "reason", F.lit("\n\nRejected answer:\n"), "answer"))
+        once_more = bad.withColumn(prompt, F.concat(F.lit(f"{REPAIR}\n\nWhat is wrong: "), "reason", F.lit("\n\nRejected answer:\n"), "answer"))
+        return once_more.withColumn(parts, F.array(envelopes.text_part(F.col(prompt)))) if parts else once_more
 
     return attempts(rows, ask, again, times=repairs + 1)
 
@@ -90,7 +94,8 @@ def _inner(rows: DataFrame, key: str, make_client, profile, schema, **calls) ->
     good, bad = complete_json(rows, make_client, profile, schema, **calls)
     last = bad.join(good.select(key), key, "left_anti").groupBy(key).agg(F.max_by(F.struct(F.coalesce("error_class", F.lit("Model")).alias("error_class"), F.coalesce("message", "reason").alias("message"), "answer"), "attempt").alias("_e"))
     found = good.select(key, "record", "answer").unionByName(last.select(key, "_e.answer"), allowMissingColumns=True)
-    return rows.join(found, key, "left").join(last.select(key, "_e.error_class", "_e.message"), key, "left")
+    kept = rows.drop(calls["parts"]) if calls.get("parts") else rows
+    return kept.join(found, key, "left").join(last.select(key, "_e.error_class", "_e.message"), key, "left")
 
 
 def outlines(rows: DataFrame, make_client: Callable[[], Client], profile: Profile, *, times: int = 2, **calls) -> tuple[DataFrame, DataFrame]:
@@ -120,19 +125,30 @@ def outlines(rows: DataFrame, make_client: Callable[[], Client], profile: Profil
     return good.select(KEY, F.col("record.chapters").alias("chapters"), "attempt"), failures
 
 
-def judgements(frames: DataFrame, make_client: Callable[[], Client], profile: Profile, *, prompt: Callable[[Column], Column], **calls) -> tuple[DataFrame, DataFrame]:
+def judgements(
+    frames: DataFrame, make_client: Callable[[], Client], profile: Profile, *, prompt: Callable[[Column], Column] | Column, label: Column | None = None, most_tokens: int | None = None, block: float = 600.0, **calls
+) -> tuple[DataFrame, DataFrame]:
     """frames (recording_id, frame_id, ts, ..) -> (judgements of recordings that break no rule, (recording_id, rule) of the others).
 
     One request a recording, with all of its frames in time order, which
-    ``prompt`` makes; an answer has to judge every frame once.
+    ``prompt`` makes; an answer has to judge every frame once.  With a ``label``,
+    frames have ``mime`` and ``content`` too, the prompt is a column, and a request is that,
+    then each frame's label and picture; a recording over ``most_tokens`` is then
+    several requests (``envelopes.picture_envelopes``), whose judgements have to cover its frames together.
     """
-    item = F.struct("ts", "frame_id", *[c for c in frames.columns if c not in (KEY, "ts", "frame_id")])
-    rows = frames.groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("f"))
-    answered = settle(_inner(rows.select(KEY, prompt(F.col("f")).alias("prompt")), KEY, make_client, profile, JUDGEMENTS, **calls))
-    found = answered.where("record is not null").select(KEY, F.explode("record.judgements").alias("j")).select(KEY, "j.*")
-    judged = frames.join(answered.where("record is not null").select(KEY), KEY, "left_semi")
-    broken = settle(validate.judgement_violations(found, judged).select(KEY, "rule").distinct())
-    failed = answered.where("record is null").select(KEY, F.coalesce("error_class", F.lit("Model")).alias("rule"))
+    if label is None:
+        item = F.struct("ts", "frame_id", *[c for c in frames.columns if c not in (KEY, "ts", "frame_id")])
+        rows = frames.groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("f"))
+        rows, key = rows.select(KEY, prompt(F.col("f")).alias("prompt")), KEY
+    else:
+        made = envelopes.picture_envelopes(frames, prompt=prompt, label=label, most_tokens=most_tokens, block=block)
+        rows, key = made.select(F.concat_ws("#", F.col("request").cast("string"), F.col(KEY).cast("string")).alias("_request"), KEY, F.col("parts")[0]["text"].alias("prompt"), "parts"), "_request"
+        calls["parts"] = "parts"
+    answered = settle(_inner(rows, key, make_client, profile, JUDGEMENTS, **calls))
+    whole = answered.groupBy(KEY).agg(F.count_if(F.col("record").isNull()).alias("n")).where("n = 0").select(KEY)
+    found = answered.where("record is not null").select(KEY, F.explode("record.judgements").alias("j")).select(KEY, "j.*").join(whole, KEY, "left_semi")
+    broken = settle(validate.judgement_violations(found, frames.drop("mime", "content").join(whole, KEY, "left_semi")).select(KEY, "rule").distinct())
+    failed = answered.where("record is null").select(KEY, F.coalesce("error_class", F.lit("Model")).alias("rule")).distinct()
     return found.join(broken, KEY, "left_anti"), broken.unionByName(failed)
 
 
@@ -140,12 +156,19 @@ def descriptions(rows: DataFrame, make_client: Callable[[], Client], profile: Pr
     """rows (key, medium, prompt) -> (accepted (key, description, visible_text, visible_evidence, attempt), failures).
 
     A description that breaks a rule is asked for again, up to so many times, with
-    that rule named after the first prompt.
+    that rule named after the first prompt.  Rows with ``mime`` and ``content`` send
+    their picture after the prompt, at each attempt.
     """
     base = rows.select(key, "medium", "prompt").withColumn("first_prompt", F.col("prompt"))
 
+    seen = rows.select(key, "mime", "content") if "content" in rows.columns else None
+
     def ask(left: DataFrame) -> DataFrame:
-        done = _inner(left, key, make_client, profile, DESCRIPTION, **calls)
+        if seen is None:
+            done = _inner(left, key, make_client, profile, DESCRIPTION, **calls)
+        else:
+            pictured = left.join(seen, key, "left").withColumn("parts", envelopes.beside(F.col("prompt"), F.col("mime"), F.col("content"))).drop("mime", "content")
+            done = _inner(pictured, key, make_client, profile, DESCRIPTION, parts="parts", **calls)
         r = F.col("record")
         verdict = description_verdict(r["description"], r["visible_text"], r["visible_evidence"], F.col("medium"), TEXT_MEDIA)
         return done.withColumn("reason", F.when(F.col("error_class").isNull(), verdict))

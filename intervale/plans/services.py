@@ -6,6 +6,7 @@ adapters run on executors with any HTTP library, or in tests with none.
 
 from __future__ import annotations
 
+import base64
 import json
 import urllib.error
 import urllib.request
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
 
-from intervale.plans.clients import ClientError, TransportError, status_error
+from intervale.plans.clients import ClientError, Part, TransportError, status_error
 from intervale.plans.config import ConfigError, Options, Profile
 
 Transport = Callable[[str, dict[str, str], dict[str, Any]], tuple[int, dict[str, Any]]]
@@ -46,6 +47,10 @@ class Image:
     def url(self) -> str:
         return f"data:{self.mime};base64,{self.content}"
 
+    @staticmethod
+    def of(part: Part) -> Image:
+        return Image(part.mime or "image/png", base64.b64encode(part.content).decode())
+
 
 @dataclass
 class Service:
@@ -65,12 +70,20 @@ class Service:
     path = ""
 
     def complete(self, prompt: str) -> str:
+        """The answer to a prompt, beside the client's own pictures if it has any."""
+        return self._ask([prompt, *self.images])
+
+    def complete_parts(self, parts: list[Part]) -> str:
+        """The answer to texts and pictures, sent in their order."""
+        return self._ask([p.text if p.content is None else Image.of(p) for p in parts])
+
+    def _ask(self, content: list[str | Image]) -> str:
         base = self.profile.base_url or ADDRESSES.get(self.profile.provider)
         if base is None:
             raise ConfigError(f"profile {self.profile.name} names no address")
         asked = self.profile.options(self.options)
         send = self.send or partial(post, timeout=asked.timeout_seconds)
-        status, answer = send(base.rstrip("/") + self.path, self.headers(), {k: v for k, v in self.body(prompt, asked).items() if v is not None})
+        status, answer = send(base.rstrip("/") + self.path, self.headers(), {k: v for k, v in self.body(content, asked).items() if v is not None})
         if status >= 400:
             raise status_error(status, str(answer.get("error", answer)))
         try:
@@ -81,7 +94,7 @@ class Service:
     def headers(self) -> dict[str, str]:
         return {"authorization": f"Bearer {self.key}"} if self.key else {}
 
-    def body(self, prompt: str, asked: Options) -> dict[str, Any]:
+    def body(self, content: list[str | Image], asked: Options) -> dict[str, Any]:
         raise NotImplementedError
 
     def text(self, answer: dict[str, Any]) -> str:
@@ -93,9 +106,10 @@ class Chat(Service):
 
     path = "/chat/completions"
 
-    def body(self, prompt, asked):
-        parts = [{"type": "text", "text": prompt}, *({"type": "image_url", "image_url": {"url": i.url}} for i in self.images)]
-        messages = [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": parts if self.images else prompt}]
+    def body(self, content, asked):
+        parts = [{"type": "image_url", "image_url": {"url": x.url}} if isinstance(x, Image) else {"type": "text", "text": x} for x in content]
+        plain = content[0] if len(content) == 1 and isinstance(content[0], str) else parts
+        messages = [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": plain}]
         return {
             "model": self.profile.model, "messages": messages, "temperature": asked.temperature, "max_completion_tokens": asked.max_output_tokens,
             "response_format": {"type": "json_object"} if asked.json_mode else None, "reasoning_effort": asked.reasoning_effort,
@@ -108,8 +122,8 @@ class Chat(Service):
 class Responses(Service):
     path = "/responses"
 
-    def body(self, prompt, asked):
-        parts = [{"type": "input_text", "text": prompt}, *({"type": "input_image", "image_url": i.url} for i in self.images)]
+    def body(self, content, asked):
+        parts = [{"type": "input_image", "image_url": x.url} if isinstance(x, Image) else {"type": "input_text", "text": x} for x in content]
         return {
             "model": self.profile.model, "instructions": self.system, "input": [{"role": "user", "content": parts}], "temperature": asked.temperature, "max_output_tokens": asked.max_output_tokens,
             "text": {"format": {"type": "json_object"}} if asked.json_mode else None, "reasoning": {"effort": asked.reasoning_effort} if asked.reasoning_effort else None,
@@ -125,15 +139,15 @@ class Messages(Service):
     def headers(self):
         return {"x-api-key": self.key or "", "anthropic-version": "2023-06-01"}
 
-    def body(self, prompt, asked):
-        pictures = [{"type": "image", "source": {"type": "base64", "media_type": i.mime, "data": i.content}} for i in self.images]
+    def body(self, content, asked):
+        parts = [{"type": "image", "source": {"type": "base64", "media_type": x.mime, "data": x.content}} if isinstance(x, Image) else {"type": "text", "text": x} for x in content]
         budget, most = asked.thinking_budget_tokens, asked.max_output_tokens
         if most is None:
             most = DEFAULT_OUTPUT + (budget or 0)
         if budget is not None and budget >= most:
             raise ClientError("the thinking budget must be under the output limit")
         return {
-            "model": self.profile.model, "system": self.system, "messages": [{"role": "user", "content": [*pictures, {"type": "text", "text": prompt}]}], "temperature": asked.temperature,
+            "model": self.profile.model, "system": self.system, "messages": [{"role": "user", "content": parts}], "temperature": asked.temperature,
             "max_tokens": most, "thinking": None if budget is None else {"type": "enabled", "budget_tokens": budget},
         }
 
