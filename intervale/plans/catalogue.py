@@ -13,8 +13,10 @@ from intervale.plans import bindings as b
 from intervale.plans import notes
 from intervale.plans.bindings import HOUR, KEY, Tables
 from intervale.schemas import TEXT_MEDIA
-from intervale.settling import settle
+from intervale.settling import fresh_folder, settle
+from intervale.shipping import ship
 from intervale.sources import files
+from intervale.streaming import events
 
 DAY = 24 * HOUR
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +46,27 @@ def align_nearest(t: Tables) -> DataFrame:
     return intervals.align(t.frames(), t.segments(), max_gap=2 * HOUR, width=DAY)
 
 
+@query(SQL["align_nearest"])
+def align_nearest_stream(t: Tables) -> DataFrame:
+    """The same from a stream: frames and ended segments land in three parts, each up to an hour after its time, in any order; a run takes up a part from where the last one stopped."""
+    ship(t.spark)
+    came, folder, out, state = (fresh_folder(t.spark, x) for x in ("marks", "landed", "aligned", "progress"))
+    arrived = F.greatest("start", F.coalesce("stop", "start")) + F.pmod(F.xxhash64("kind", "id", KEY), F.lit(HOUR))
+    events.marks(t.frames(), t.segments()).withColumn("arrived", arrived).write.parquet(came)
+    every = t.spark.read.parquet(came)
+    first, last, longest = every.agg(F.min("arrived"), F.max("arrived"), F.max(F.col("stop") - F.col("start"))).first()
+    third = ((last or 0) - (first or 0)) // 3 + 1
+    late = f"{(longest or 0) + HOUR + third} microseconds"  # a part's own length, since its rows come in any order
+    end = t.spark.range(1).select(F.lit("").alias(KEY), F.lit("end").alias("kind"), events.event_time(F.lit((last or 0) * 2 - (first or 0) + (longest or 0) + 2 * HOUR + third)).alias("at"))
+    for part in range(4):
+        rows = every.where(F.floor((F.col("arrived") - (first or 0)) / third) == part).drop("arrived") if part < 3 else end
+        rows.write.mode("append").parquet(folder)
+        stream = events.nearest_stream(t.spark.readStream.schema(events.MARKS).parquet(folder), max_gap=2 * HOUR, late=late)
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    key = t.frames().schema[KEY].dataType
+    return t.spark.read.schema(f"{KEY} string, frame_id long, ts long, segment_id long, has_audio_context boolean").parquet(out).withColumn(KEY, F.col(KEY).cast(key))
+
+
 @query(f"""
     WITH f AS ({b.FRAMES}), s AS ({b.SEGMENTS})
     SELECT f.recording_id, f.frame_id AS point_id, f.ts, min(segment_id) AS segment_id
