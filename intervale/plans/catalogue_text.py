@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,6 +257,23 @@ def published_assets(t: Tables) -> DataFrame:
     return made.select(KEY, "image_path", "source", "target", F.array_join(F.array_sort(F.map_keys("links")), "|").alias("names"), F.try_element_at("links", "image_path").alias("link"))
 
 
+#: Every name that a text may have for image {0}, and a link that isn't one.
+SPELLED = "![a](f/{0}) ![b](cache/h/f/{0}) ![c](/srv/v/cache/h/f/{0}) ![d](n_assets/{0}) ![e](n-20260101-000000_assets/{0}) ![f](../../cache/h/f/{0}) ![g](other/{0}) f/{0}"
+PUBLISHED = re.sub(r"\((?!other)[^)]*\)", "(n-20260101-000000_assets/{0})", SPELLED)
+
+
+@query(f"""
+    SELECT recording_id, string_agg(replace('{PUBLISHED}', '{{0}}', x), chr(10) ORDER BY x) AS text FROM (SELECT DISTINCT o_custkey AS recording_id, o_orderkey % 7 || '.png' AS x FROM orders) GROUP BY recording_id
+""")
+def published_notes(t: Tables) -> DataFrame:
+    """Notes whose links name their images in all ways, after publishing."""
+    orders = t.raw("orders").select(F.col("o_custkey").alias(KEY), F.concat((F.col("o_orderkey") % 7).cast("string"), F.lit(".png")).alias("x"))
+    blocks = orders.select(KEY, F.array(F.struct(F.concat(F.lit("f/"), "x").alias("image_path"))).alias("visuals"))
+    notes = orders.distinct().groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.replace(F.lit(SPELLED), F.lit("{0}"), x)), "\n").alias("text"))
+    assets = sinks.published_assets(blocks, note=F.lit("out/a/n-20260101-000000.md"), latest=F.lit("out/a/n.md"), cache="cache/h", resolved="/srv/v/cache/h")
+    return sinks.published_notes(notes, assets)
+
+
 @query("SELECT d.lang AS recording_id, doc_id AS frame_id FROM documents d JOIN labels USING (doc_id) WHERE toxic = 0 AND lang IS NOT NULL")
 def surviving_frames(t: Tables) -> DataFrame:
     frames = t.raw("documents").select(F.col("lang").alias(KEY), F.col("doc_id").alias("frame_id"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,10 @@ from intervale.sources.catalog import ARTIFACTS
 
 KEY = "recording_id"
 SINK, SOURCE = "intervale_files", "intervale_artifacts"
+#: Bytes of a file that a copy holds at a time.
+PIECE = 1 << 20
+#: Times that a failed run's folder is deleted if tasks still write there.
+TRIES = 10
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -35,11 +40,22 @@ def _store(path: str):
 
 
 def _put(store, target: str, content: bytes) -> None:
-    store.create_dir(str(PurePosixPath(target).parent), recursive=True)
     with store.open_output_stream(target) as out:
         out.write(content)
 
 
+def _copy(store, target: str, source: str) -> tuple[str, int]:
+    """(hash, size) of a file that is copied a piece at a time."""
+    theirs, at = _store(source)
+    digest, size = hashlib.sha256(), 0
+    with theirs.open_input_stream(at) as pieces, store.open_output_stream(target) as out:
+        while piece := pieces.read(PIECE):
+            digest.update(piece)
+            out.write(piece)
+            size += len(piece)
+    return digest.hexdigest(), size
+
+
 # ---------------------------------------------------------------- sink
 
 
@@ -65,15 +81,26 @@ class FileWriter(DataSourceWriter):
     def waiting(self) -> str:
         return f"{_store(self.root)[1]}/.staging/{self.run_id}"
 
+    def open(self) -> FileWriter:
+        """Make the run's folder, on the driver: a task that goes on after its run has failed finds none and fails too."""
+        _store(self.root)[0].create_dir(self.waiting, recursive=True)
+        return self
+
     def write(self, rows: Iterator) -> Staged:
         store, _ = _store(self.root)
         folder, files = f"{self.waiting}/{uuid.uuid4().hex}", {}
+        store.create_dir(folder, recursive=False)
         for row in rows:
             name = PurePosixPath(row["path"])
             if name.is_absolute() or ".." in name.parts or not name.parts or name.parts[0] in (".staging", "manifest"):
                 raise ValueError(f"{row['path']} is no name below the target")
             if str(name) in files:
                 raise ValueError(f"{name} is written twice")
+            for above in reversed(name.parents[:-1]):
+                store.create_dir(f"{folder}/{above}", recursive=False)
+            if "source" in row and row["source"] is not None:
+                files[str(name)] = (str(name), *_copy(store, f"{folder}/{name}", row["source"]))
+                continue
             content = row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"] or b"")
             _put(store, f"{folder}/{name}", content)
             files[str(name)] = (str(name), hashlib.sha256(content).hexdigest(), len(content))
@@ -101,8 +128,15 @@ class FileWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, _ = _store(self.root)
-        if store.get_file_info(self.waiting).type == fs.FileType.Directory:
-            store.delete_dir(self.waiting)
+        for left in reversed(range(TRIES)):
+            try:
+                if store.get_file_info(self.waiting).type == fs.FileType.Directory:
+                    store.delete_dir(self.waiting)
+                return
+            except OSError:  # a task that isn't stopped yet has put a file there meanwhile
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class Files(DataSource):
@@ -111,15 +145,19 @@ class Files(DataSource):
         return SINK
 
     def writer(self, schema, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], self.options["run_id"], self.options.get("stage", ""))
+        return FileWriter(self.options["path"], self.options["run_id"], self.options.get("stage", "")).open()
 
 
 def write_files(files: DataFrame, root: str, *, run_id: str, stage: str = "") -> None:
-    """Files (path below the root, content as text or binary), all of them or none, and one row of the run in the manifest."""
+    """Files (path below the root, content as text or binary), all of them or none, and one row of the run in the manifest.
+
+    Rows with a ``source`` are copies of that file, made where the row is, so that
+    only names are shuffled; one that isn't there fails the run.
+    """
     spark = files.sparkSession
     ship(spark)
     spark.dataSource.register(Files)
-    files.select("path", "content").write.format(SINK).mode("append").option("path", root).option("run_id", run_id).option("stage", stage).save()
+    files.select("path", "content", *(["source"] if "source" in files.columns else [])).write.format(SINK).mode("append").option("path", root).option("run_id", run_id).option("stage", stage).save()
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -146,6 +184,13 @@ def note_files(notes: DataFrame, *, stamp: str | None = None) -> DataFrame:
     return notes.select(F.explode(F.array(*names)).alias("path"), F.col("text").alias("content"))
 
 
+def asset_files(assets: DataFrame, *, below: str = "") -> DataFrame:
+    """Copies of published images (``sinks.published_assets``), a row a file; ``below`` is the folder that their sources' names start from."""
+    base = f"{below.rstrip('/')}/" if below else ""
+    copies = assets.select(F.col("target").alias("path"), F.lit(None).cast("binary").alias("content"), F.concat(F.lit(base), "source").alias("source")).distinct()
+    return copies.repartition(assets.sparkSession.sparkContext.defaultParallelism, "path")  # few light rows, much to copy
+
+
 # ---------------------------------------------------------------- source
 
 

@@ -77,22 +77,30 @@ def append_progress(rows: DataFrame, path: str, *, stage: str) -> None:
     rows.select(KEY, F.lit(stage).alias("stage_name"), "done", "total", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
-def published_assets(blocks: DataFrame, *, note: Column, latest: Column, cache: str) -> DataFrame:
+def published_assets(blocks: DataFrame, *, note: Column, latest: Column, cache: str, resolved: str | None = None) -> DataFrame:
     """(recording_id, image_path, source, target, links): each distinct image of the blocks' visuals.
 
     ``note`` is the path of the note that gets the images and ``latest`` that of
-    the latest note.  ``links`` maps every name a text may have for the image to
+    the latest note; ``resolved`` is the absolute name of the cache, links followed,
+    where texts may hold that.  ``links`` maps every name a text may have for the image to
     the link to write: the bare path, the cached file, the link from either note
     and the cached file as seen from the note's folder.
     """
     images = blocks.select(KEY, note.alias("note"), latest.alias("latest"), F.explode("visuals.image_path").alias("image_path")).distinct()
     source = F.concat(F.lit(f"{cache.rstrip('/')}/"), "image_path")
     link = fn.markdown_image(F.col("note"), F.col("image_path"))
-    names = F.array("image_path", source, link, fn.markdown_image(F.col("latest"), F.col("image_path")), fn.relative_path(source, fn.parent(F.col("note"))))
+    names = F.array("image_path", source, link, fn.markdown_image(F.col("latest"), F.col("image_path")), fn.relative_path(source, fn.parent(F.col("note"))), *([F.concat(F.lit(f"{resolved.rstrip('/')}/"), "image_path")] if resolved else []))
     links = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n, link)))
     return images.select(KEY, "image_path", source.alias("source"), fn.asset_path(F.col("note"), F.col("image_path")).alias("target"), links.alias("links"))
 
 
+def published_notes(notes: DataFrame, assets: DataFrame) -> DataFrame:
+    """notes (recording_id, .., text) whose links lead to the published images, whatever name a link has for one; others stay."""
+    links = assets.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.map_entries("links")))).alias("_links"))
+    found = notes.join(links, KEY, "left")
+    return found.withColumn("text", F.when(F.col("_links").isNull(), F.col("text")).otherwise(fn.rewrite_links(F.col("text"), F.map_from_entries("_links")))).drop("_links")
+
+
 def surviving_frames(frames: DataFrame, kept: DataFrame) -> DataFrame:
     """Frames that are kept, with the ids they have."""
     return frames.join(kept.select(KEY, "frame_id"), [KEY, "frame_id"], "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from intervale.operators import memo, selection
 from intervale.settling import settle
-from intervale.sources import connector
+from intervale.sources import connector, sinks
 
 
 def names(root):
@@ -42,6 +42,28 @@ def test_a_repeated_run_adds_no_row(spark, tmp_path):
     assert json.loads((tmp_path / "r/refined/0002.json").read_text())["topic"] == "b"
 
 
+def test_images_are_copied_to_their_notes(spark, tmp_path):
+    cache, root = tmp_path / "cache", tmp_path / "out"
+    (cache / "f").mkdir(parents=True)
+    for i in range(9):
+        (cache / f"f/{i}.png").write_bytes(bytes([i]) * (connector.PIECE + i if i == 3 else i))
+    seen = [("r", [f"f/{i}.png" for i in (0, 3, 3, 5)]), ("r", ["f/5.png"]), ("q", ["f/8.png"]), ("empty", [])]
+    blocks = spark.createDataFrame([(r, [(x,) for x in v]) for r, v in seen], "recording_id string, visuals array<struct<image_path:string>>")
+    note = F.concat(F.col("recording_id"), F.lit("/n.md"))
+    assets = sinks.published_assets(blocks, note=note, latest=note, cache="cache", resolved=str(cache))
+    connector.write_files(connector.asset_files(assets, below=str(tmp_path)), str(root), run_id="run", stage="publish")
+    assert names(root) == ["manifest/run.json", "q/n_assets/8.png", "r/n_assets/0.png", "r/n_assets/3.png", "r/n_assets/5.png"]
+    assert all((root / f"{r}/n_assets/{i}.png").read_bytes() == (cache / f"f/{i}.png").read_bytes() for r, i in (("r", 0), ("r", 3), ("r", 5), ("q", 8)))
+    sizes = {o.path: o["size"] for o in connector.manifest(spark, str(root)).first().outputs}
+    assert sizes["r/n_assets/3.png"] == connector.PIECE + 3 and sizes["r/n_assets/0.png"] == 0
+    notes = spark.createDataFrame([("r", f"![x]({cache}/f/3.png) ![y](f/8.png)"), ("empty", "![x](f/3.png)"), ("none", None)], "recording_id string, text string")
+    assert {r.recording_id: r.text for r in sinks.published_notes(notes, assets).collect()} == {"r": "![x](n_assets/3.png) ![y](f/8.png)", "empty": "![x](f/3.png)", "none": None}
+    (cache / "f/5.png").unlink()
+    with pytest.raises(Exception, match="5.png"):
+        connector.write_files(connector.asset_files(assets, below=str(tmp_path)), str(root), run_id="again", stage="publish")
+    assert names(root) == ["manifest/run.json", "q/n_assets/8.png", "r/n_assets/0.png", "r/n_assets/3.png", "r/n_assets/5.png"]
+
+
 def test_a_failed_run_leaves_the_target_whole(spark, tmp_path):
     connector.write_files(connector.segment_files(refined(spark, 3)), str(tmp_path), run_id="good", stage="refine")
     before = {n: (tmp_path / n).read_bytes() for n in names(tmp_path)}
