@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,11 +53,20 @@ def artifact_paths(inputs: DataFrame, *, cache: str, output: str) -> DataFrame:
 
 
 def artifact_states(inputs: DataFrame, files: DataFrame, *, cache: str, output: str) -> DataFrame:
-    """(path, input_hash, artifact, stage, there): each input's artifacts against a listing (path)."""
-    paths = artifact_paths(inputs, cache=cache, output=output)
-    rows = paths.select("path", "input_hash", F.explode(F.array(*[F.struct(F.lit(n).alias("artifact"), F.lit(s).alias("stage"), F.col(n).alias("at")) for n, (_, s) in ARTIFACTS.items()])).alias("a"))
-    there = files.select(F.col("path").alias("at"), F.lit(True).alias("there")).distinct()
-    return rows.select("path", "input_hash", "a.*").join(there, "at", "left").select("path", "input_hash", "artifact", "stage", F.coalesce("there", F.lit(False)).alias("there"))
+    """(path, input_hash, artifact, stage, there): each input's artifacts against a listing (path).
+
+    The listing is gathered to a row for each run, which meets the inputs before
+    they are taken apart.  It can be much larger than the planner takes it for,
+    so it is never broadcast.
+    """
+    paths = artifact_paths(inputs, cache=cache, output=output).select("path", "input_hash", "run_dir")
+    # None of these names is the end of another one, so a path belongs to one run.
+    pattern = r"(?s)^(.*)/(" + "|".join(re.escape(p) for p, _ in ARTIFACTS.values()) + r")\z"
+    made = files.select(F.regexp_extract("path", pattern, 1).alias("run_dir"), F.regexp_extract("path", pattern, 2).alias("p")).where("p <> ''")
+    runs = made.groupBy("run_dir").agg(F.collect_set("p").alias("made"))  # so many artifacts at most
+    there = lambda p: F.coalesce(F.array_contains("made", p), F.lit(False))
+    states = F.array(*[F.struct(F.lit(n).alias("artifact"), F.lit(s).alias("stage"), there(p).alias("there")) for n, (p, s) in ARTIFACTS.items()])
+    return paths.join(runs.hint("merge"), "run_dir", "left").select("path", "input_hash", F.explode(states).alias("a")).select("path", "input_hash", "a.*")
 
 
 def completeness(states: DataFrame) -> DataFrame:
