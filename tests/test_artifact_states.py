@@ -25,8 +25,8 @@ def test_states_of_odd_listings(spark):
 def test_a_listing_is_not_broadcast(spark):
     """The planner takes what an explode makes for small, whatever it makes; gathered in the driver it fills its memory."""
     from intervale.plans.bindings import Tables
-    from intervale.plans.catalogue_stages import artifact_states
+    from intervale.plans.catalogue_stages import artifact_completeness, artifact_states
 
-    for run in (artifact_states,):
+    for run in (artifact_states, artifact_completeness):
         frame = run(Tables(spark, "/root/testdata/sf0.001"))
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
