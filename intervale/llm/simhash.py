@@ -345,8 +345,11 @@ SAMPLE_TEXTS, MOST_COMMON = 50_000, 1 << 18
 #: Pairs of different components are all compared once they are at most so many an entry (or in all); before that, after
 #: at most so many rounds, each key's texts are compared with one of them.
 PAIRS_AN_ENTRY, FEW_PAIRS, STAR_ROUNDS = 1, 100_000, 1
-#: Classes of shingles whose parities rule out pairs that differ in too many.
-PARITIES = 512
+#: Classes of shingles whose parities rule out pairs that differ in too many: so many, and for candidates twice as many as
+#: a set has shingles, up to the larger number.
+PARITIES, MOST_PARITIES = 512, 1 << 20
+#: Bytes of shingle sets up to which all pairs of a round are confirmed at once; beyond, a quarter of all sets' bytes.
+SET_BYTES_AT_ONCE = 64 << 20
 #: Sets that share a shingle, up to which all their pairs are candidates at once.
 FEW_SETS = 4
 #: A key with more entries is a grid of blocks of about so many, of which any two meet in a cell of their own.
@@ -389,19 +392,21 @@ def shingles_of(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def set_column(spark: SparkSession, text: Column, width: int, share: Fraction, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """struct<cid, n, fp, keys, odd>: 64 bits of a digest of the shingle set, its size, the SimHash of all shingles, a prefix and parities.
+    """struct<cid, n, fp, keys, odd, wide>: 64 bits of a digest of the shingle set, its size, the SimHash of all shingles, a prefix and parities.
 
     With the shingles of every set in one order, rare ones first, two sets of
     that Jaccard similarity share one of the first n - ceil(share * n) + 1,
     which are the prefix.  ``odd`` has a bit for each of PARITIES classes of
     shingles, set if the set has an odd number of them: two sets differ in as
-    many shingles as bits at least.  All zero and empty without words.
+    many shingles as bits at least.  ``wide`` has the same of more classes, the
+    longer the set: a power of two, so that its parts fold to fewer classes.
+    All zero and empty without words.
     """
     shared = spark.sparkContext.broadcast(common)  # at most MOST_COMMON
 
-    def one(shingles: np.ndarray) -> tuple[int, int, int, bytes, bytes]:
+    def one(shingles: np.ndarray) -> tuple[int, int, int, bytes, bytes, bytes]:
         if not len(shingles):
-            return 0, 0, 0, b"", bytes(PARITIES // 8)
+            return 0, 0, 0, b"", bytes(PARITIES // 8), bytes(PARITIES // 8)
         hashes, counts = shared.value
         s = np.unique(shingles)
         cid = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes(), SEED), "big", signed=True)
@@ -412,18 +417,20 @@ def set_column(spark: SparkSession, text: Column, width: int, share: Fraction, c
             at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
             weight = np.where(hashes[at] == s, counts[at], 0)
         length = len(s) - -(-share.numerator * len(s) // share.denominator) + 1
-        odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
-        return cid, len(s), fp, s[np.lexsort((s, weight))[:length]].tobytes(), np.packbits(odd.astype(bool)).tobytes()
+        classes = max(PARITIES, min(MOST_PARITIES, 1 << (2 * len(s) - 1).bit_length()))
+        wide = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % classes, minlength=classes) & 1).astype(bool))
+        odd = np.bitwise_xor.reduce(wide.reshape(-1, PARITIES // 8), axis=0)
+        return cid, len(s), fp, s[np.lexsort((s, weight))[:length]].tobytes(), odd.tobytes(), wide.tobytes()
 
     def compute(texts: pa.Array) -> pa.Array:
         rows = [one(x) for part in parts(texts.fill_null(b""), PART_BYTES) for x in shingles_of(part, width)]
         give_back()
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cid", "n", "fp", "keys", "odd"])
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cid", "n", "fp", "keys", "odd", "wide"])
 
     compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(compute, "cid long, n long, fp long, keys binary, odd binary")(text.cast("binary"))
+    return F.arrow_udf(compute, "cid long, n long, fp long, keys binary, odd binary, wide binary")(text.cast("binary"))
 
 
 def common_shingles(docs: DataFrame, scratch: Scratch, *, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -604,6 +611,28 @@ def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: i
     return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(pair, "u long, v long").distinct()
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v, size) of the pairs that sizes and wide parities of (cid, size, wide) allow, with the sum of both sizes.
+
+    Parities are a fraction of the bytes of a set, so that few pairs are left for which sets have to move.
+    """
+    p, q = share.numerator, share.denominator
+
+    def check(batches):
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            near = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                few, many = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
+                near[i] = np.bitwise_count(few ^ np.bitwise_xor.reduce(many.reshape(-1, len(few)), axis=0)).sum()
+            fits = pa.array((near * (q + p) <= (n + m) * (q - p)) & (np.minimum(n, m) * q >= p * np.maximum(n, m)))
+            yield pa.record_batch({"u": batch.column(0).filter(fits), "v": batch.column(1).filter(fits), "size": pa.array(n + m).filter(fits)})
+
+    u, v = classes.select(F.col("cid").alias("u"), F.col("size").alias("n"), F.col("wide").alias("x")), classes.select(F.col("cid").alias("v"), F.col("size").alias("m"), F.col("wide").alias("y"))
+    both = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u").select("u", "v", "n", "x", "m", "y")
+    return both.mapInArrow(check, "u long, v long, size long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """The pairs whose shingle sets (cid, shingles) have that Jaccard similarity or more."""
     p, q = share.numerator, share.denominator
@@ -625,19 +654,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(text, row, cid) -> (cid, shingles) of the wanted rows (keeper), and of few others that a filter takes for them."""
+    """(text, row, cid) -> (cid, shingles) of the wanted rows (keeper): one of each cid, not its copies that a filter takes for it."""
 
     def shingles(batches):
         for batch in batches:
             at = 0
             for part in parts(batch.column(1).fill_null(b""), PART_BYTES):
                 sets = [np.unique(s).tobytes() for s in shingles_of(part, width)]
-                yield pa.record_batch({"cid": batch.column(0).slice(at, len(part)), "shingles": pa.array(sets, pa.binary())})
+                yield pa.record_batch({"cid": batch.column(0).slice(at, len(part)), "shingles": pa.array(sets, pa.binary()), "keeper": batch.column(2).slice(at, len(part))})
                 at += len(part)
             give_back()
 
     some = rows.where(bit_filter(wanted)(F.col("row")))
-    return some.select("cid", F.col("text").cast("binary")).mapInArrow(shingles, "cid long, shingles binary")
+    found = some.select("cid", F.col("text").cast("binary"), "row").mapInArrow(shingles, "cid long, shingles binary, keeper long")
+    return found.join(wanted, "keeper", "left_semi").select("cid", "shingles")
 
 
 def near_prints(classes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
@@ -649,25 +679,30 @@ def near_prints(classes: DataFrame, distance: int, scratch: Scratch) -> DataFram
 
 
 def similar_roots(entries: DataFrame, near: DataFrame, classes: DataFrame, sets: Callable[[DataFrame], DataFrame], scratch: Scratch, share: Fraction) -> DataFrame:
-    """(node, root) of the sets that link with another.  ``sets`` gives those of (cid), ``classes`` their parities (cid, odd).
+    """(node, root) of the sets that link with another.  ``sets`` gives those of (cid), ``classes`` their sizes and parities (cid, size, odd, wide).
 
-    First the pairs ``near`` (u, v) and those of shingles that few sets share are
+    Pairs that parities allow are confirmed in as many parts as hold a bounded
+    share of all sets each.  First the pairs ``near`` (u, v) and those of shingles that few sets share are
     compared, then the entries of all other shingles.  Texts of one component
     need no comparison.  So each key's are first compared with one of them, which
     joins large groups by few pairs, until the pairs left over are few; these are
     then all compared.
     """
     links, roots, done = None, None, None
+    most = max(SET_BYTES_AT_ONCE, 2 * (classes.agg(F.sum("size")).first()[0] or 0))  # 8 bytes a shingle
 
     def compare_pairs(pairs: DataFrame, name: str) -> None:
         nonlocal links, roots, done
-        pairs = scratch.table(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), f"pairs-{name}")
-        done = pairs if done is None else done.unionByName(pairs)
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-        held = scratch.table(sets(ends), f"sets-{name}")
-        found = scratch.table(confirmed(pairs, held, share), f"links-{name}")
-        scratch.free(f"sets-{name}")
-        links = found if links is None else links.unionByName(found)
+        pairs = scratch.table(plausible(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), classes, share), f"pairs-{name}")
+        done = pairs.select("u", "v") if done is None else done.unionByName(pairs.select("u", "v"))
+        turns = -(-8 * (pairs.agg(F.sum("size")).first()[0] or 0) // most)
+        for turn in range(max(1, turns)):
+            part = pairs.select("u", "v").where(F.pmod(F.xxhash64("u", "v"), F.lit(max(1, turns))) == turn)
+            ends = part.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
+            held = scratch.table(sets(ends), f"sets-{name}-{turn}")
+            found = scratch.table(confirmed(part, held, share), f"links-{name}-{turn}")
+            scratch.free(f"sets-{name}-{turn}")
+            links = found if links is None else links.unionByName(found)
         roots = scratch.table(components(links, scratch, f"similar-{name}"), f"roots-{name}")
 
     few = entries.where("other is not null").select(F.col("cid").alias("u"), F.col("other").alias("v"))
@@ -714,8 +749,8 @@ def without_similar(
     common = common_shingles(docs, scratch, text_col=text_col, width=width)
     landed = scratch.table(docs.withColumns({row: F.monotonically_increasing_id(), mark: set_column(spark, F.col(text_col), width, share, common)}), "landed")
     rank = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    marked = landed.select(*[F.col(f"{mark}.{c}").alias(c) for c in ("cid", "fp", "odd")], rank.alias("rank"))
-    classes = scratch.table(marked.groupBy("cid").agg(F.min("rank").alias("least"), F.min("fp").alias("fp"), F.first("odd").alias("odd"), F.count("*").alias("n")), "classes")
+    marked = landed.select(*[F.col(f"{mark}.{c}").alias(c) for c in ("cid", "fp", "odd", "wide")], F.col(f"{mark}.n").alias("size"), rank.alias("rank"))
+    classes = scratch.table(marked.groupBy("cid").agg(F.min("rank").alias("least"), F.min("fp").alias("fp"), F.first("odd").alias("odd"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.count("*").alias("n")), "classes")
     rows = landed.select(F.col(text_col).alias("text"), F.col(row).alias("row"), F.col(f"{mark}.cid").alias("cid"))
 
     def sets(ends: DataFrame) -> DataFrame:
