@@ -537,8 +537,9 @@ def shared_prefixes(sets: DataFrame, entries: int, common: tuple[np.ndarray, np.
 def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: int | None, total: int) -> DataFrame:
     """(u, v) of entries (key, cid, n, pos, root) of one key and different roots that may be similar.
 
-    With a turn, each key's entries are paired with one of them, another one
-    each turn; without, all with all, and entries have parities (odd).  A key of ``hot`` (key, blocks) is dealt to
+    With a turn, each key's entries are paired with one of them: at first the one
+    in which the fewest rarer shingles come before the key, since of copies with
+    changes the least changed one is similar to most, then others; without, all with all, and entries have parities (odd).  A key of ``hot`` (key, blocks) is dealt to
     blocks: with a turn each is on its own, without every two meet.  Only pairs
     that sizes, places or parities rule out are left out: sets of that similarity
     differ in at most (1 - share) / (1 + share) of their sizes' sum.  ``total`` is
@@ -575,7 +576,7 @@ def candidate_pairs(entries: DataFrame, hot: DataFrame, share: Fraction, turn: i
         got = [[c.to_numpy() for c in b.columns[:8]] + [words(b.columns[-1], b.num_rows)] for b in batches]
         *numbers, odd = (np.concatenate(x) for x in zip(*got, strict=True))
         key, cid, n, pos, root, low, high, block = (x.astype(np.int64) for x in numbers)
-        order = np.lexsort((_mix(cid + (turn or 0)), block, high, low, key))
+        order = np.lexsort((_mix(cid + (turn or 0)), pos if turn == 0 else block, block, high, low, key))
         key, cid, n, pos, root, low, high, block, odd = (x[order] for x in (key, cid, n, pos, root, low, high, block, odd))
         starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
         sizes = np.diff([*starts.tolist(), len(key)])

@@ -28,6 +28,16 @@ def changed(rng, words, times):
     return " ".join(out)
 
 
+def test_copies_with_changes_meet_in_the_least_changed(spark, monkeypatch):
+    """Of 240 copies any two of few changes are similar; as pairs they would be thousands."""
+    rng = random.Random(41)
+    base = fresh(rng, 150)
+    rows = [(k, changed(rng, base, k % 7)) for k in range(240)]
+    kept, seen = kept_and_confirmed(spark, rows, monkeypatch)
+    assert kept == first_of_each(rows)
+    assert sum(pairs for pairs, _ in seen) < 4 * len(rows)
+
+
 def test_long_texts_below_the_similarity_need_no_sets(spark, monkeypatch):
     rng = random.Random(42)
     shared = fresh(rng, 2600)
